@@ -2,16 +2,16 @@
 
 Every document becomes the ordered set of the 64-bit hashes of its word n-grams;
 the hash value is the global order. Two documents with Jaccard similarity of at
-least ``num/den`` share an n-gram among the first ``n - ceil(n * num / den) + 1``
-of each, so only documents that meet in such a prefix can link. The steps:
-
-1. one pass over the whole texts makes the set, a fingerprint of it and the prefix.
-   Within an Arrow batch an n-gram is sent on once, with the first document that
-   has it (a combine before the shuffle); the batch's other documents only note
-   that document.
-2. prefix n-grams that several batches have connect their documents; the
-   connected groups are the candidates. No pair is emitted, each document gets one
-   edge a group.
+least ``num/den`` share ``k`` n-grams or more among the first
+``n - ceil(n * num / den) + k`` of each, for every ``k``. The steps:
+
+1. one pass over the whole texts makes a fingerprint of the set and the prefix for
+   ``k`` of 7 % of the set. Documents with fewer than ``k`` prefix n-grams that any
+   other document has can't link and leave; a shared passage alone doesn't keep
+   them. Within an Arrow batch an n-gram is sent on once (a combine before the shuffle).
+2. the sets of the rest are written; n-grams of the prefix for ``k = 1`` that
+   several have connect their documents, and the connected groups are the
+   candidates. No pair is emitted, each document gets one edge a group.
 3. within a group of candidates the sets are stored in a trie in the global order.
    A traversal carries the partial overlaps of all sets with the path and drops
    those that the remaining lengths can't lift over the threshold, and subtrees
@@ -29,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import Scratch, broadcast_if_small, connected_components, cut
 from .shingles import shingle_sets
@@ -39,7 +38,8 @@ BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
 #: Ids of candidates that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
-_SETS = "doc_id long, n_shingles long, f1 long, f2 long, prefix array<long>, near array<long>"
+#: Share of a set that must be met again in its longer prefix, in hundredths.
+EXTRA = 7
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -53,34 +53,85 @@ def _texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def _describe(width: int, num: int, den: int):
+class Combined:
+    """Prefixes of a batch: each n-gram once, with the first set that has it."""
+
+    def __init__(self, prefix: list[np.ndarray]):
+        n = len(prefix)
+        self.owner = np.repeat(np.arange(n), [len(p) for p in prefix])
+        self.flat = np.concatenate(prefix) if prefix else _EMPTY
+        _, at, which, count = np.unique(self.flat, return_index=True, return_inverse=True, return_counts=True)
+        self.first = self.owner[at][which]
+        self.mine = self.first == self.owner
+        self.seen = np.bincount(self.owner[count[which] > 1], minlength=n)
+        self.n = n
+
+    def sent(self) -> list[np.ndarray]:
+        return self._split(self.flat[self.mine], self.owner[self.mine])
+
+    def near(self, ids: np.ndarray) -> list[np.ndarray]:
+        """Ids of the first sets that each set meets."""
+        pair = np.unique(self.owner[~self.mine] * max(1, self.n) + self.first[~self.mine])
+        return self._split(ids[pair % max(1, self.n)], pair // max(1, self.n))
+
+    def _split(self, values: np.ndarray, owner: np.ndarray) -> list[np.ndarray]:
+        return np.split(values, np.cumsum(np.bincount(owner, minlength=self.n))[:-1]) if self.n else []
+
+
+def _least(n: int, num: int, den: int) -> int:
+    """The fewest n-grams that a set shares with one it links with."""
+    return -(-n * num // den)
+
+
+_SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, need long, seen long, prefix array<long>"
+
+
+def _sketch(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0).to_pylist(), dtype=np.int64)
-            n, f1, f2, prefix = [], [], [], []
+            n, f1, f2, need, prefix = [], [], [], [], []
             for s in shingle_sets(_texts(batch.column(1)), width):
-                k = len(s)
+                k, least = len(s), _least(len(s), num, den)
                 n.append(k)
                 f1.append(int(s.sum(dtype=np.uint64)) if k else 0)
                 f2.append(int(np.bitwise_xor.reduce(s * np.uint64(0xC2B2AE3D27D4EB4F) ^ (s >> np.uint64(29)))) if k else 0)
-                prefix.append(s[: k - -(-k * num // den) + 1].copy() if k else _EMPTY)
-            owner = np.repeat(np.arange(len(n)), [len(p) for p in prefix])
-            flat = np.concatenate(prefix) if prefix else _EMPTY
-            _, at, which = np.unique(flat, return_index=True, return_inverse=True)
-            first = owner[at][which]
-            mine = first == owner
-            near = np.unique(owner[~mine] * len(n) + first[~mine]) if len(n) else np.zeros(0, np.int64)
-            near_of = np.bincount(near // max(1, len(n)), minlength=len(n)).astype(int) if len(near) else np.zeros(len(n), int)
-            mine_of = np.bincount(owner[mine], minlength=len(n)).astype(int)
-            split = lambda flat, of: np.split(flat, np.cumsum(of)[:-1]) if len(of) else []
+                need.append(max(1, -(-least * EXTRA // 100)))  # what the smallest partner needs
+                prefix.append(s[: k - least + max(1, -(-k * EXTRA // 100))].copy())
+            met = Combined(prefix)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), _lists(split(flat[mine], mine_of)), _lists(split(ids[near % max(1, len(n))], near_of))],
-                names=["doc_id", "n_shingles", "f1", "f2", "prefix", "near"],
+                [pa.array(ids), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(need, pa.int64()), pa.array(met.seen, pa.int64()), _lists(met.sent())],
+                names=["doc_id", "n_shingles", "f1", "f2", "need", "seen", "prefix"],
             )
 
     return run
 
 
+_SETS = "doc_id long, shingles array<long>, prefix array<long>, near array<long>"
+
+
+def _sets(width: int, num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(0).to_pylist(), dtype=np.int64)
+            sets, texts = [], _texts(batch.column(1))
+
+            def given(at: int, sets: list[np.ndarray], ids: np.ndarray = ids) -> pa.RecordBatch:
+                some = ids[at : at + len(sets)]
+                met = Combined([s[: len(s) - _least(len(s), num, den) + 1] for s in sets])
+                return pa.RecordBatch.from_arrays([pa.array(some), _lists(sets), _lists(met.sent()), _lists(met.near(some))], names=["doc_id", "shingles", "prefix", "near"])
+
+            at = 0
+            for s in shingle_sets(texts, width):  # few large sets a batch, so that memory stays bounded
+                sets.append(s)
+                if sum(map(len, sets[-64:])) > 1_000_000 or len(sets) == 2048:
+                    yield given(at, sets)
+                    at, sets = at + len(sets), []
+            yield given(at, sets)
+
+    return run
+
+
 class Trie:
     """Sets of integer tokens in one global order, with shared beginnings stored once.
 
@@ -188,22 +239,6 @@ def group_labels(ids: np.ndarray, sets: list[np.ndarray], num: int = NUM, den: i
     return ids[rank][label]
 
 
-def _sets_of(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(_texts(batch.column(1)), width))
-            at = 0
-            while at < len(sets):  # few large sets a batch, so that memory stays bounded
-                to, total = at, 0
-                while to < len(sets) and (to == at or total < 1_000_000):
-                    total += len(sets[to])
-                    to += 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), _lists(sets[at:to]), batch.column(2).slice(at, to - at), batch.column(3).slice(at, to - at)], names=["doc_id", "shingles", "candidate", "blocks"])
-                at = to
-
-    return run
-
-
 def _join_block(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_numpy()
@@ -228,26 +263,30 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = NUM, den: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id is not null")
     with Scratch(spark) as scratch:
-        sets = scratch.table(known.mapInArrow(_describe(width, num, den), _SETS))
+        sketch = scratch.table(known.mapInArrow(_sketch(width, num, den), _SKETCH))
+        same = sketch.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("m")).where("class_id <> m").drop("m")
+        classes = cut(sketch.join(same, ["f1", "f2", "n_shingles"]).select("doc_id", "class_id").where("class_id <> doc_id").distinct())
+        posting = sketch.select("doc_id", F.explode("prefix").alias("g"))
+        met = posting.groupBy("g").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("m")).where("b <> m").select("g")
+        met = posting.join(met, "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("met"))
+        alive = sketch.where("n_shingles > 0").select("doc_id", "need", "seen").join(met, "doc_id", "left").where("seen + coalesce(met, 0) >= need").select("doc_id").distinct()
+        alive = cut(alive.join(classes, "doc_id", "left_anti"))
+        few = broadcast_if_small(alive, alive.count(), BROADCAST_IDS)
+        sets = scratch.table(known.join(few, "doc_id").mapInArrow(_sets(width, num, den), _SETS))
         posting = sets.select("doc_id", F.explode("prefix").alias("g"))
         meets = posting.groupBy("g").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("m")).where("b <> m").select("g", "b")
         edges = posting.join(meets, "g").select(F.col("doc_id").alias("a"), "b").union(sets.select(F.col("doc_id").alias("a"), F.explode("near").alias("b"))).where("a <> b").distinct()
-        same = sets.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("m")).where("class_id <> m").drop("m")
-        classes = cut(sets.join(same, ["f1", "f2", "n_shingles"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")).where("class_id <> doc_id").distinct())
-        edges = cut(_classed(_classed(edges, classes, "a"), classes, "b").where("a <> b").distinct())
         candidate = connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("candidate"))
-        sized = candidate.join(sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
+        sized = candidate.join(sets.select("doc_id", F.size("shingles").alias("n")), "doc_id")
         blocks = sized.groupBy("candidate").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
-        candidate = cut(candidate.join(blocks, "candidate").select("doc_id", "candidate", "blocks"))
-        few = broadcast_if_small(candidate, candidate.count(), BROADCAST_IDS)
-        chosen = known.join(few, "doc_id").select("doc_id", "text", "candidate", "blocks").mapInArrow(_sets_of(width), "doc_id long, shingles array<long>, candidate long, blocks int")
+        chosen = sets.select("doc_id", "shingles").join(candidate.join(blocks, "candidate"), "doc_id")
         mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
         placed = chosen.withColumn("mine", mine).withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != mine))))
         placed = placed.select("doc_id", "shingles", "candidate", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
         links = cut(placed.groupBy("candidate", "lo", "hi").applyInArrow(_join_block(num, den), "a long, b long").where("a <> b"))
         linked = connected_components(links.union(classes.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))))
         linked = linked.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-        out = sets.select("doc_id", "n_shingles").join(linked, "doc_id", "left").join(classes, "doc_id", "left")
+        out = sketch.select("doc_id", "n_shingles").join(linked, "doc_id", "left").join(classes, "doc_id", "left")
         out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.col("component_id").isNotNull().alias("linked"))
         out = cut(out)
     nameless = docs.where("doc_id is null").mapInArrow(_count_only(width), "n_shingles long")
@@ -262,13 +301,6 @@ def _count_only(width: int):
     return run
 
 
-def _classed(edges: DataFrame, classes: DataFrame, end: str) -> DataFrame:
-    """``edges`` with the representative of the class in place of ``end``."""
-    other = "b" if end == "a" else "a"
-    moved = edges.join(classes.withColumnRenamed("doc_id", end), end, "left")
-    return moved.select(F.coalesce("class_id", end).alias(end), other).select("a", "b")
-
-
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """The documents with one of each linked group: the one with the smallest doc_id.
 
