@@ -1,16 +1,17 @@
 """N-gram Jaccard self-join with a prefix tree.
 
-Every document becomes the ordered set of the 64-bit hashes of its word n-grams;
-the hash value is the global order. Two documents with Jaccard similarity of at
+Every document becomes the ordered set of the 64-bit hashes of its word n-grams.
+In any global order two documents with Jaccard similarity of at
 least ``num/den`` share ``k`` n-grams or more among the first
 ``n - ceil(n * num / den) + k`` of each, for every ``k``. The steps:
 
 1. one pass over the whole texts makes a fingerprint of the set and the prefix for
-   ``k`` of 7 % of the set. Documents with fewer than ``k`` prefix n-grams that any
+   ``k`` of 7 % of the set in the order of the hash. Documents with fewer than ``k`` prefix n-grams that any
    other document has can't link and leave; a shared passage alone doesn't keep
    them. Within an Arrow batch an n-gram is sent on once (a combine before the shuffle).
-2. the sets of the rest are written; n-grams of the prefix for ``k = 1`` that
-   several have connect their documents, and the connected groups are the
+2. the frequent n-grams of those prefixes, a bounded number, go to the end of the
+   global order. The sets of the rest are written; n-grams of the prefix for ``k = 1``
+   that several have connect their documents, and the connected groups are the
    candidates. No pair is emitted, each document gets one edge a group.
 3. within a group of candidates the sets are stored in a trie in the global order.
    A traversal carries the partial overlaps of all sets with the path and drops
@@ -38,6 +39,8 @@ BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
 #: Ids of candidates that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
+#: N-grams met this often are frequent; the number is doubled until no more than the second are.
+FREQUENT, MOST_FREQUENT = 10, 1 << 18
 #: Share of a set that must be met again in its longer prefix, in hundredths.
 EXTRA = 7
 _EMPTY = np.zeros(0, np.uint64)
@@ -63,12 +66,18 @@ class Combined:
         _, at, which, count = np.unique(self.flat, return_index=True, return_inverse=True, return_counts=True)
         self.first = self.owner[at][which]
         self.mine = self.first == self.owner
-        self.seen = np.bincount(self.owner[count[which] > 1], minlength=n)
+        self.times = count[which]
+        self.seen = np.bincount(self.owner[self.times > 1], minlength=n)
         self.n = n
 
     def sent(self) -> list[np.ndarray]:
         return self._split(self.flat[self.mine], self.owner[self.mine])
 
+    def sent_apart(self) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """N-grams of one set of the batch; those of several, and of how many."""
+        once, often = self.mine & (self.times == 1), self.mine & (self.times > 1)
+        return self._split(self.flat[once], self.owner[once]), self._split(self.flat[often], self.owner[often]), self._split(self.times[often], self.owner[often])
+
     def near(self, ids: np.ndarray) -> list[np.ndarray]:
         """Ids of the first sets that each set meets."""
         pair = np.unique(self.owner[~self.mine] * max(1, self.n) + self.first[~self.mine])
@@ -83,7 +92,7 @@ def _least(n: int, num: int, den: int) -> int:
     return -(-n * num // den)
 
 
-_SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, need long, seen long, prefix array<long>"
+_SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, need long, seen long, once array<long>, often array<long>, times array<long>"
 
 
 def _sketch(width: int, num: int, den: int):
@@ -99,9 +108,10 @@ def _sketch(width: int, num: int, den: int):
                 need.append(max(1, -(-least * EXTRA // 100)))  # what the smallest partner needs
                 prefix.append(s[: k - least + max(1, -(-k * EXTRA // 100))].copy())
             met = Combined(prefix)
+            once, often, times = met.sent_apart()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(need, pa.int64()), pa.array(met.seen, pa.int64()), _lists(met.sent())],
-                names=["doc_id", "n_shingles", "f1", "f2", "need", "seen", "prefix"],
+                [pa.array(ids), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(need, pa.int64()), pa.array(met.seen, pa.int64()), _lists(once), _lists(often), _lists(times)],
+                names=["doc_id", "n_shingles", "f1", "f2", "need", "seen", "once", "often", "times"],
             )
 
     return run
@@ -110,7 +120,15 @@ def _sketch(width: int, num: int, den: int):
 _SETS = "doc_id long, shingles array<long>, prefix array<long>, near array<long>"
 
 
-def _sets(width: int, num: int, den: int):
+def _prefix(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first n-grams of a set, of which one is shared with each that it links with; frequent ones come last."""
+    if len(frequent) and len(s):
+        last = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+        s = np.concatenate((s[~last], s[last]))
+    return s[: len(s) - _least(len(s), num, den) + 1]
+
+
+def _sets(width: int, num: int, den: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0).to_pylist(), dtype=np.int64)
@@ -118,7 +136,7 @@ def _sets(width: int, num: int, den: int):
 
             def given(at: int, sets: list[np.ndarray], ids: np.ndarray = ids) -> pa.RecordBatch:
                 some = ids[at : at + len(sets)]
-                met = Combined([s[: len(s) - _least(len(s), num, den) + 1] for s in sets])
+                met = Combined([_prefix(s, frequent.value, num, den) for s in sets])
                 return pa.RecordBatch.from_arrays([pa.array(some), _lists(sets), _lists(met.sent()), _lists(met.near(some))], names=["doc_id", "shingles", "prefix", "near"])
 
             at = 0
@@ -251,6 +269,15 @@ def _join_block(num: int, den: int):
     return run
 
 
+def _frequent(met: DataFrame):
+    """The most frequent n-grams, sorted, as a broadcast of ``MOST_FREQUENT`` at most (2 MB)."""
+    least = FREQUENT
+    while met.where(F.col("n") >= least).count() > MOST_FREQUENT:
+        least *= 2
+    found = np.array([r["g"] for r in met.where(F.col("n") >= least).select("g").collect()], np.int64).view(np.uint64)
+    return met.sparkSession.sparkContext.broadcast(np.sort(found))
+
+
 def ngram_components(docs: DataFrame, width: int = 5, num: int = NUM, den: int = DEN, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, class_id, linked``.
 
@@ -266,13 +293,17 @@ def ngram_components(docs: DataFrame, width: int = 5, num: int = NUM, den: int =
         sketch = scratch.table(known.mapInArrow(_sketch(width, num, den), _SKETCH))
         same = sketch.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("m")).where("class_id <> m").drop("m")
         classes = cut(sketch.join(same, ["f1", "f2", "n_shingles"]).select("doc_id", "class_id").where("class_id <> doc_id").distinct())
-        posting = sketch.select("doc_id", F.explode("prefix").alias("g"))
-        met = posting.groupBy("g").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("m")).where("b <> m").select("g")
-        met = posting.join(met, "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("met"))
+        posting = sketch.select("doc_id", F.explode("once").alias("g"), F.lit(1).cast("long").alias("n"))
+        often = sketch.select("doc_id", F.explode(F.arrays_zip("often", "times")).alias("x")).select("doc_id", F.col("x.often").alias("g"), F.col("x.times").alias("n"))
+        posting = posting.union(often)
+        met = posting.groupBy("g").agg((F.min("doc_id") != F.max("doc_id")).alias("apart"), F.sum("n").alias("n")).where(f"apart or n >= {FREQUENT}")
+        met = cut(met)
+        frequent = _frequent(met)
+        met = posting.join(met.where("apart").select("g"), "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("met"))
         alive = sketch.where("n_shingles > 0").select("doc_id", "need", "seen").join(met, "doc_id", "left").where("seen + coalesce(met, 0) >= need").select("doc_id").distinct()
         alive = cut(alive.join(classes, "doc_id", "left_anti"))
         few = broadcast_if_small(alive, alive.count(), BROADCAST_IDS)
-        sets = scratch.table(known.join(few, "doc_id").mapInArrow(_sets(width, num, den), _SETS))
+        sets = scratch.table(known.join(few, "doc_id").mapInArrow(_sets(width, num, den, frequent), _SETS))
         posting = sets.select("doc_id", F.explode("prefix").alias("g"))
         meets = posting.groupBy("g").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("m")).where("b <> m").select("g", "b")
         edges = posting.join(meets, "g").select(F.col("doc_id").alias("a"), "b").union(sets.select(F.col("doc_id").alias("a"), F.explode("near").alias("b"))).where("a <> b").distinct()

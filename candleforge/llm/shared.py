@@ -69,23 +69,30 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` of the undirected graph ``edges(a, b)`` of longs.
 
-    ``component`` is the smallest node reachable. Every round takes the smallest
-    label among the neighbours and then the label of the label, so long chains
-    halve. Minima are combined before they are shuffled; a node with very many
-    edges is only a large side of a join, which adaptive execution splits.
-    Loops and repeated edges don't matter; null ends are left out; without edges
-    the result is empty.
+    ``component`` is the smallest node reachable. A round merges every node into its
+    smallest neighbour, follows these steps twice and relabels the edges, so that
+    at least half of the nodes that still have edges vanish. Minima are combined before
+    they are shuffled; a node with very many edges is only a large side of a
+    join, which adaptive execution splits. Loops and repeated edges don't matter;
+    null ends are left out; without edges the result is empty.
     """
-    e = edges.select("a", "b").where("a is not null and b is not null and a <> b")
-    e = cut(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
-    for _ in range(max_rounds):
-        near = e.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
-        up = labels.select(F.col("node").alias("c"), F.col("component").alias("up"))
-        new = cut(step.join(up, "c", "left").select("node", "old", F.least("c", "up").alias("component")))
-        moved = new.where("component <> old").limit(1).count()
-        labels = new.select("node", "component")
-        if not moved:
-            return labels
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+    spark = edges.sparkSession
+    with Scratch(spark) as scratch:
+        e = scratch.table(edges.select("a", "b").where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        labels = None
+        for _ in range(max_rounds):
+            ends = e.union(e.select("b", "a"))
+            step = scratch.table(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")))
+            for _ in range(2):
+                step = step.join(step.select(F.col("node").alias("to"), F.col("to").alias("up")), "to", "left").select("node", F.coalesce("up", "to").alias("to"))
+            step = scratch.table(step)
+            if labels is None:
+                labels = step.withColumnRenamed("to", "component")
+            else:
+                labels = labels.join(step.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            labels = scratch.table(labels)
+            moved = e.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+            e = scratch.table(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+            if e.isEmpty():
+                return cut(labels)
+    raise RuntimeError(f"not connected after {max_rounds} rounds")
