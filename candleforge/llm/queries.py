@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, ngram_join, packing, repair, tokens
+from . import embeddings, langid, ngram_join, packing, repair, tokens
 
 _OPERATORS = [
     ngram_join.op1_ngram_jaccard_join,
     repair.op3_token_id_output,
     packing.op4_best_fit_packing,
     tokens.op7_token_counts,
+    embeddings.op8_embedding_near_dedup,
     langid.op10_language_id,
 ]
 
