@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, langid, ngram_join, packing, repair, tokens
+from . import chat, decontaminate, embeddings, htmltext, langid, licences, ngram_join, packing, repair, tokens
 
 _OPERATORS = [
     ngram_join.op1_ngram_jaccard_join,
+    chat.op2_chat_formatting,
     repair.op3_token_id_output,
     packing.op4_best_fit_packing,
+    htmltext.op5_html_extraction,
+    decontaminate.op6_benchmark_decontamination,
     tokens.op7_token_counts,
     embeddings.op8_embedding_near_dedup,
+    licences.op9_license_scan,
     langid.op10_language_id,
 ]
 
@@ -23,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_benchmark_decontamination": decontaminate.ORACLE_SQL}

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candleforge.llm import ngram_join
+from candleforge.llm import decontaminate, langid, ngram_join, packing
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language classifier, trained on the labelled rows of ``docs``, rejects go."""
+    return langid.drop_unidentified(docs, langid.fit(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,8 +17,24 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return ngram_join.drop_near_copies(docs)
 
 
-STAGES = [("n-gram Jaccard join", one_of_each_group)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in bins of permitted lengths, measured in words and an end mark."""
+    return packing.pack_documents(docs, packing.word_length())
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", without_benchmark),
+    ("best-fit packing", packed),
+]
 
+#: A trained classifier and a greedy packing are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
