@@ -78,8 +78,8 @@ define("long_upper_wick", lambda p, wick_ratio_threshold=0.6: flag(f"{UPPER_SHAR
 define("long_lower_wick", lambda p, wick_ratio_threshold=0.6: flag(f"{LOWER_SHARE} >= {wick_ratio_threshold}"))
 define("no_upper_wick", lambda p, threshold=0.05: flag(f"{UPPER_SHARE} <= {threshold}"))
 define("no_lower_wick", lambda p, threshold=0.05: flag(f"{LOWER_SHARE} <= {threshold}"))
-define("pin_bar_bullish", lambda p, body_ratio_max=0.3, wick_ratio_min=0.6: flag(f"{BODY_SHARE} <= {body_ratio_max} and {LOWER_SHARE} >= {wick_ratio_min} and {LOWER_SHARE} > {UPPER_SHARE}"))
-define("pin_bar_bearish", lambda p, body_ratio_max=0.3, wick_ratio_min=0.6: flag(f"{BODY_SHARE} <= {body_ratio_max} and {UPPER_SHARE} >= {wick_ratio_min} and {UPPER_SHARE} > {LOWER_SHARE}"))
+define("pin_bar_bullish", lambda p, body_ratio_max=0.3, wick_ratio_min=0.6: flag(f"{BODY_SHARE} <= {body_ratio_max} and {LOWER_SHARE} >= {wick_ratio_min}"))
+define("pin_bar_bearish", lambda p, body_ratio_max=0.3, wick_ratio_min=0.6: flag(f"{BODY_SHARE} <= {body_ratio_max} and {UPPER_SHARE} >= {wick_ratio_min}"))
 for _n in ("hammer", "hanging_man"):
     define(_n, lambda p, body_ratio_max=0.3, lower_wick_ratio_min=0.6, upper_wick_ratio_max=0.1: flag(f"{BODY_SHARE} <= {body_ratio_max} and {LOWER_SHARE} >= {lower_wick_ratio_min} and {UPPER_SHARE} <= {upper_wick_ratio_max}"))
 for _n in ("inverted_hammer", "shooting_star"):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import log10
 
+from candleforge.operators.patterns import NAMES, STATES
+
 from . import indicators as I
 from .compiler import Plan, flag
 from .indicators import BODY, LOWER, RANGE, TYPICAL, UPPER, define, indicator, ratio
@@ -385,3 +387,19 @@ def correlation(p: Plan, a: str, b: str, n: int) -> str:
 
 define("correlation_close_ema", lambda p, length=20, ema_length=20: correlation(p, "close", I.ema(p, ema_length), length))
 define("correlation_oscillator", lambda p, length=20: correlation(p, "close", p.let("cast(bar_index as double)"), length))
+
+
+# chart patterns
+
+
+def pattern(name: str, state: str) -> str:
+    """The column that :func:`candleforge.operators.kernels.with_kernels` adds for a pattern's state."""
+    if state not in STATES:
+        raise ValueError(f"unknown state: {state}")
+    column = f"pattern_{name}_{state}"
+    I.KERNELS[column] = ("pattern", {"name": name, "state": state})
+    return column
+
+
+for _n in NAMES:
+    define(_n, lambda p, state="confirmed", _n=_n: pattern(_n, state))

@@ -5,6 +5,7 @@ A series (symbol and timeframe) is one group; its bars are a few columns of numb
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -12,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from candleforge.functions.indicators import KERNELS
+from candleforge.operators.patterns import events
 
 
 def wilder(x: np.ndarray, n: int) -> np.ndarray:
@@ -32,28 +34,26 @@ def supertrend(h: np.ndarray, l: np.ndarray, c: np.ndarray, length: int, multipl
     width, mid = multiplier * wilder(true_range(h, l, c), length), (h + l) / 2
     above, below, close = (mid + width).tolist(), (mid - width).tolist(), c.tolist()
     line, side = np.empty(len(c)), np.empty(len(c))
-    top, bottom, way = 0.0, 0.0, -1
+    top, bottom, way = above[0] if above else 0.0, below[0] if below else 0.0, -1
     for i, (a, b) in enumerate(zip(above, below, strict=True)):
         if i:
-            last = close[i - 1]
+            last, was_top, was_bottom = close[i - 1], top, bottom
             top = a if a < top or last > top else top
             bottom = b if b > bottom or last < bottom else bottom
-            way = (-1 if close[i] <= top else 1) if way < 0 else (1 if close[i] >= bottom else -1)
-        else:
-            top, bottom = a, b
+            # the side turns on a close beyond the band as it stood on the bar before
+            way = 1 if way < 0 and close[i] > was_top else -1 if way > 0 and close[i] < was_bottom else way
         line[i], side[i] = (bottom if way > 0 else top), way
     return line, side
 
 
 def sar(h: np.ndarray, l: np.ndarray, c: np.ndarray, af_start: float, af_step: float, af_max: float) -> tuple[np.ndarray, np.ndarray]:  # noqa: E741
-    """Parabolic stop and side, from the second bar's direction on."""
+    """Parabolic stop and side; the first bar counts as rising."""
     n = len(c)
     line, side = np.full(n, np.nan), np.full(n, np.nan)
-    if n < 2:
+    if not n:
         return line, side
-    up = c[1] >= c[0]
-    stop, best, af = (l[0], h[0], af_start) if up else (h[0], l[0], af_start)
-    line[0], side[0] = stop, 1.0 if up else -1.0
+    up, stop, best, af = True, l[0], h[0], af_start
+    line[0], side[0] = stop, 1.0
     for i in range(1, n):
         stop += af * (best - stop)
         if up:
@@ -76,18 +76,26 @@ _PASSES: dict[str, Callable[..., tuple[np.ndarray, np.ndarray]]] = {"supertrend"
 
 
 def with_kernels(bars: DataFrame, wanted: str) -> DataFrame:
-    """``bars`` with the line and side columns of the kernels named in ``wanted``, one pass over a series for all."""
-    need = {k: v for k, v in KERNELS.items() if k in wanted}
+    """``bars`` with the columns of the kernels named in ``wanted``: lines and sides, and where patterns enter a state; one pass over a series for all."""
+    need = {k: v for k, v in KERNELS.items() if re.search(rf"\b{k}(_line|_direction)?\b", wanted)}
     if not need:
         return bars
+    shapes = {k: v[1] for k, v in need.items() if v[0] == "pattern"}
+    lines = {k: v for k, v in need.items() if v[0] != "pattern"}
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("bar_index")
         h, l, c = (table.column(x).to_numpy() for x in ("high", "low", "close"))  # noqa: E741
-        for name, (kind, params) in need.items():
+        if shapes:
+            found = events(h, l)
+            for name, params in shapes.items():
+                hit = np.zeros(len(c))
+                hit[[e[2] for e in found if e[0] == params["name"] and e[1] == params["state"]]] = 1
+                table = table.append_column(name, pa.array(hit))
+        for name, (kind, params) in lines.items():
             line, side = _PASSES[kind](h, l, c, **params)
             table = table.append_column(f"{name}_line", pa.array(line, from_pandas=True)).append_column(f"{name}_direction", pa.array(side, from_pandas=True))
         return table
 
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in bars.schema), *(f"{n}_{x} double" for n in need for x in ("line", "direction"))])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in bars.schema), *(f"{n} double" for n in shapes), *(f"{n}_{x} double" for n in lines for x in ("line", "direction"))])
     return bars.groupBy("symbol", "timeframe").applyInArrow(run, schema)

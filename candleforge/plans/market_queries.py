@@ -10,6 +10,7 @@ from candleforge.functions import candles, derived, indicators  # noqa: F401  (t
 from candleforge.functions.compiler import DUCKDB, SPARK, Dialect, Plan
 from candleforge.functions.indicators import REGISTRY, build
 from candleforge.operators import bars as B
+from candleforge.operators import patterns
 
 #: Fixed families of the registry, a query each.
 FAMILIES: dict[str, list[str]] = {
@@ -82,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out |= {"bars_check": lambda spark, sf_dir: B.checked(hourly(spark, sf_dir)).drop("timeframe")}
     out |= {k: _family(v) for k, v in FAMILIES.items()}
     out["ind_kernels"] = _family(KERNEL_FAMILY)
+    out["chart_patterns"] = lambda spark, sf_dir: patterns.detect(hourly(spark, sf_dir))
     return out
 
 

@@ -36,6 +36,8 @@ d1 as (select symbol, lead(t) over (partition by symbol order by t) as known, o,
 select b.symbol, b.datetime, coalesce(b.close > h4.v, false) and coalesce(d1.c > d1.o, false) as signal
 from bars b asof left join (select * from h4 where known is not null) h4 on b.symbol = h4.symbol and b.datetime >= h4.known asof left join (select * from d1 where known is not null) d1 on b.symbol = d1.symbol and b.datetime >= d1.known"""
 
+PATTERN_TREE = {"op": "OR", "children": [{"indicator": "double_top_zigzag", "operator": "==", "value": 1.0}, {"indicator": "supertrend_flip_bearish", "operator": "==", "value": 1.0}, {"indicator": "abc_bearish", "operator": "==", "value": 1.0, "params": {"state": "candidate"}}]}
+
 #: Settings that suit the test bars, whose prices are in tens.
 SETTINGS = {"pip_size": 1.0, "min_body_pips": 1, "ema_distance_pips": 1, "max_body_pips": 500, "max_wick_pips": 800, "ema_length": 20, "round_number_pips": 50}
 
@@ -184,6 +186,7 @@ def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _tree(n) for n in TREES}
     out["tree_multi_timeframe"] = lambda spark, sf_dir: evaluate(hourly(spark, sf_dir), {"signal": MULTI}, pip=1.0).select("symbol", "datetime", "signal")
+    out["tree_patterns"] = lambda spark, sf_dir: evaluate(hourly(spark, sf_dir), {"signal": PATTERN_TREE}, pip=1.0).select("symbol", "datetime", "signal")
     out |= {"legacy_signals": legacy_signals, "legacy_signals_kernels": lambda spark, sf_dir: legacy_signals(spark, sf_dir, True), "legacy_candidate": legacy_candidate}
     out |= {"backtest_strategies": backtest_strategies, "backtest_concurrent": concurrent_trades}
     out |= {n: _analysis(n) for n in _statements("spark")}
