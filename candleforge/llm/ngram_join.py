@@ -97,7 +97,7 @@ _SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, need long, seen long,
 
 def _sketch(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 4096) for b in batches for at in range(0, b.num_rows, 4096)):
             ids = np.asarray(batch.column(0).to_pylist(), dtype=np.int64)
             n, f1, f2, need, prefix = [], [], [], [], []
             for s in shingle_sets(_texts(batch.column(1)), width):

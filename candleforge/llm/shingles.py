@@ -13,7 +13,7 @@ import numpy as np
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C55
 _INVERSE = pow(_STEP, -1, 2**64)
-_PIECE = 1 << 21
+_PIECE = 1 << 20
 
 _BYTE = np.random.default_rng(20240917).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + np.random.default_rng(5).integers(0, 2, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
@@ -80,7 +80,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(starts or [np.zeros(0, np.int64)]), np.concatenate(hashes or [np.zeros(0, np.uint64)])
 
 
-def text_groups(texts: list[bytes | None], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def text_groups(texts: list[bytes | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Index ranges whose texts have about ``most`` bytes together; a longer text stands alone."""
     at, total = 0, 0
     for i, t in enumerate(texts):
