@@ -9,8 +9,9 @@ be normal to the plane, and in ``d`` dimensions its component there is about
 ``1/sqrt(d)`` of it, so that half is 4 standard deviations for 64 dimensions. Recall against
 brute force is tested; where it must be certain, give the larger margin.
 
-Equal vectors are one class with a multiplicity. A cell larger than a block is compared
-by pairs of blocks; what leaves a task is a number of links and a label a vector, no pairs.
+Equal vectors are one class with a multiplicity. The rows at home in a cell are compared,
+in blocks, with all rows of the cell, in blocks; what leaves a task is a number of links
+and a label a vector, no pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .shared import Scratch, connected_components, cut
 COSINE = 0.9
 #: The documented bounds of the index: sampled vectors, cells and vectors a cell aimed at, rows of a block.
 SAMPLE, MOST_CELLS, CELL_ROWS, BLOCK_ROWS = 20_000, 2048, 500, 1024
+#: A home block meets the rows of a cell in blocks of so many times its size.
+WIDE = 8
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -83,42 +86,30 @@ def _place(centroids: np.ndarray, margin: float):
     return run
 
 
-def compare(left: tuple, right: tuple | None, cell: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(links of left, links of right, linked pairs as a matrix)`` of two blocks of a cell.
+def compare(home: tuple, every: tuple, cell: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(links of home, links of every, linked pairs as a matrix)`` of a home block with a block of all rows of a cell.
 
-    A block is ``(unit, multiplicity, home cell, visited cells)``. At least one of a
-    pair is at home; a pair that also meets in a smaller cell is left to that.
+    A block is ``(ids, unit, multiplicity, home cell, visited cells as a matrix)``. Two
+    rows at home are counted from either's side; a visitor's links are counted here unless
+    the pair also meets in a smaller cell, its own.
     """
-    x, n, home, visits = left
-    y, k, there, others = right if right else left
+    ids, x, n, _, visits = home
+    others, y, k, there, _ = every
     close = (x @ y.T) >= cosine
-    a, b = home == cell, there == cell
-    close &= a[:, None] | b[None, :]
-    for visited, own, at, axis in ((visits, a, there, 0), (others, b, home, 1)):
-        for h in np.unique(at[at < cell]).tolist():
-            also = own & np.array([h in v for v in visited])
-            if also.any():
-                if axis == 0:
-                    close[np.ix_(also, at == h)] = False
-                else:
-                    close[np.ix_(at == h, also)] = False
-    if not right:
-        close &= ~np.eye(len(x), dtype=bool)
-        return close @ k, np.zeros(0, np.int64), close
-    return close @ k, n @ close, close
-
-
-def _labels(ids: np.ndarray, close: np.ndarray, split: int | None) -> np.ndarray:
-    """The smallest id that each row reaches through ``close`` (rows against columns; against themselves if ``split`` is None)."""
-    label = ids.copy()
-    top = np.iinfo(np.int64).max
+    close &= ids[:, None] != others[None, :]
+    if len(ids) and len(others):
+        close &= ~(visits[:, there] & (there < cell)[None, :])
+    visitor = there != cell
+    return close @ k, np.where(visitor, n @ close, 0), close
+
+
+def _labels(ids: np.ndarray, close: np.ndarray, split: int) -> np.ndarray:
+    """The smallest id that each row and column of ``close`` reaches through it."""
+    label, top = ids.copy(), np.iinfo(np.int64).max
     while True:
-        if split is None:
-            new = np.minimum(label, np.where(close, label[None, :], top).min(axis=1, initial=top))
-        else:
-            a, b = label[:split], label[split:]
-            a = np.minimum(a, np.where(close, b[None, :], top).min(axis=1, initial=top))
-            new = np.concatenate((a, np.minimum(b, np.where(close, a[:, None], top).min(axis=0, initial=top))))
+        a, b = label[:split], label[split:]
+        a = np.minimum(a, np.where(close, b[None, :], top).min(axis=1, initial=top))
+        new = np.concatenate((a, np.minimum(b, np.where(close, a[:, None], top).min(axis=0, initial=top))))
         if (new == label).all():
             return label
         label = new
@@ -126,26 +117,20 @@ def _labels(ids: np.ndarray, close: np.ndarray, split: int | None) -> np.ndarray
 
 def _compare_blocks(cosine: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        cell, lo, hi = key[1].as_py(), key[2].as_py(), key[3].as_py()
-        ids, mine = table.column("vec_id").to_numpy(), table.column("mine").to_numpy()
-        unit = np.stack(table.column("unit").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)) if len(ids) else np.zeros((0, 1))
-        n, home = table.column("n").to_numpy(), table.column("home").to_numpy()
-        visits = [frozenset(v) for v in table.column("visits").to_pylist()]
-
-        def block(which: int) -> tuple[np.ndarray, tuple]:
-            at = np.flatnonzero(mine == which)
-            return at, (unit[at], n[at], home[at], [visits[i] for i in at])
-
-        i, left = block(lo)
-        if lo == hi:
-            links, _, close = compare(left, None, cell, cosine)
-            order, label = i, _labels(ids[i], close, None)
-        else:
-            j, right = block(hi)
-            a, b, close = compare(left, right, cell, cosine)
-            order, links = np.concatenate((i, j)), np.concatenate((a, b))
-            label = _labels(ids[order], close, len(i))
-        return pa.table({"vec_id": pa.array(ids[order], pa.int64()), "links": pa.array(links, pa.int64()), "label": pa.array(label, pa.int64())})
+        cell = key[1].as_py()
+        ids, n, home = (table.column(c).to_numpy() for c in ("vec_id", "n", "home"))
+        unit = table.column("unit").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        lists = table.column("visits").combine_chunks()
+        visits = np.zeros((len(ids), int(max(home.max(initial=0), lists.flatten().to_numpy().max(initial=0))) + 1), bool)
+        visits[np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
+        pick = lambda c: np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False))
+        i, j = pick("is_home"), pick("is_any")
+        block = lambda at: (ids[at], unit[at], n[at], home[at], visits[at])
+        a, b, close = compare(block(i), block(j), cell, cosine)
+        rows, columns = close.any(axis=1), close.any(axis=0)
+        some = np.concatenate((i[rows], j[columns]))
+        label = _labels(ids[some], close[np.ix_(rows, columns)], int(rows.sum()))
+        return pa.table({"vec_id": pa.array(ids[some], pa.int64()), "links": pa.array(np.concatenate((a[rows], b[columns])), pa.int64()), "label": pa.array(label, pa.int64())})
 
     return run
 
@@ -179,10 +164,15 @@ def near_copies(vectors: DataFrame, cosine: float = COSINE, margin: float | None
                 sample = _unit(pa.array([r["v"] for r in got], pa.list_(pa.float64())), dim)
                 centroids = k_means(sample, max(1, min(MOST_CELLS, -(-count // CELL_ROWS))))
         placed = scratch.table(reps.select("vec_id", "n", "dim", "v").mapInArrow(_place(centroids, margin), _PLACED))
-        blocks = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-        mine = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
-        dealt = placed.join(blocks, ["dim", "cell"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("dim", "cell", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "vec_id", "n", "home", "visits", "unit", "mine")
+        at_home = F.col("home") == F.col("cell")
+        blocks = placed.groupBy("dim", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.when(at_home, 1)) / block_rows)).cast("int").alias("tall"), F.ceil(F.count("*") / (WIDE * block_rows)).cast("int").alias("wide"))
+        hashed = F.xxhash64("vec_id")
+        dealt = placed.join(blocks, ["dim", "cell"]).withColumns({"i": F.pmod(hashed, F.col("tall")).cast("int"), "j": F.pmod(F.shiftright(hashed, 20), F.col("wide")).cast("int")})
+        # a row stands in all home blocks as one of the others, and in all other blocks as one at home
+        others = F.transform(F.sequence(F.lit(0), F.col("tall") - 1), lambda t: F.struct(t.alias("lo"), F.col("j").alias("hi")))
+        own = F.when(at_home, F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda t: F.struct(F.col("i").alias("lo"), t.alias("hi")))).otherwise(F.array().cast("array<struct<lo:int,hi:int>>"))
+        dealt = dealt.withColumn("to", F.explode(F.array_union(others, own)))
+        dealt = dealt.select("dim", "cell", "to.lo", "to.hi", "vec_id", "n", "home", "visits", "unit", (at_home & (F.col("to.lo") == F.col("i"))).alias("is_home"), (F.col("to.hi") == F.col("j")).alias("is_any"))
         found = cut(dealt.groupBy("dim", "cell", "lo", "hi").applyInArrow(_compare_blocks(cosine), "vec_id long, links long, label long").groupBy("vec_id", "label").agg(F.sum("links").alias("links")))
         links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
         component = connected_components(found.select(F.col("vec_id").alias("a"), F.col("label").alias("b"))).withColumnRenamed("node", "rep").withColumnRenamed("component", "c")
