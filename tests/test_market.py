@@ -89,7 +89,7 @@ def test_stateful_lines_by_hand():
 
     h, l, c = (np.array(x, float) for x in ([11, 11, 20, 30, 30], [9, 9, 10, 28, 5], [10, 10, 19, 29, 6]))
     line, side = supertrend(h, l, c, 1, 1.0)
-    assert side.tolist() == [-1, -1, 1, 1, -1] and line[0] == 12 and line[2] == 15 - 10
+    assert side.tolist() == [-1, -1, 1, 1, -1] and line[0] == 12 and line[2] == 8
     line, side = sar(h, l, c, 0.02, 0.02, 0.2)
     assert line[0] == 9 and side.tolist() == [1, 1, 1, 1, -1] and line[4] == 30
 
