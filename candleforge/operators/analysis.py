@@ -88,6 +88,21 @@ OUT_OF_SAMPLE = f"""select series, part, {{n}} as trades, round(net_profit + 1e-
 select series, case when k <= floor(n * {{share}}) then 'in' else 'out' end as part, {_COUNTS} from (select *, row_number() over (partition by series order by exit_time, trade_number) as k, count(*) over (partition by series) as n from {{trades}}) o group by series, case when k <= floor(n * {{share}}) then 'in' else 'out' end) x""".replace("{n}", "trades")
 
 
+#: All series merged by exit time; the peak begins at 0.
+COMPOSITE = f"""select trades, series_merged, round(net_profit + 1e-9, 6) as net_profit, round({factor('gain', 'loss')} + 1e-9, 6) as profit_factor, round(max_dd + 1e-9, 6) as max_dd from (
+select count(*) as trades, count(distinct series) as series_merged, sum(profit) as net_profit, sum(case when profit > 0 then profit else 0.0 end) as gain, sum(case when profit < 0 then -profit else 0.0 end) as loss, max(greatest(high, 0) - equity) as max_dd from (
+select *, max(equity) over (order by exit_time, series, trade_number rows between unbounded preceding and current row) as high from (
+select *, sum(profit) over (order by exit_time, series, trade_number rows between unbounded preceding and current row) as equity from {{trades}}) e) h) x"""
+
+#: Series that pass the thresholds, the best first by a linear score.
+RERANKING = f"""select series, round(score + 1e-9, 6) as score, row_number() over (order by round(score + 1e-9, 6) desc, series) as rank from (
+select series, profit_factor * 10 + win_rate * 0.5e0 + recovery_factor * 5 - max_dd * 0.01e0 as score from ({SUMMARY}) s where trades >= {{least}} and win_rate between 1 and 99 and profit_factor < {NO_LOSS}) x"""
+
+#: The mean of grades A to D (100, 75, 50, 25) of ``{{grades}}(series, component, grade)`` and its own grade.
+CONFIDENCE = """select series, components, round(score + 1e-9, 6) as score, case when score >= 87.5 then 'A' when score >= 62.5 then 'B' when score >= 37.5 then 'C' else 'D' end as grade from (
+select series, count(*) as components, avg(case grade when 'A' then 1e2 when 'B' then 75e0 when 'C' then 5e1 else 25e0 end) as score from ({grades}) g group by series) x"""
+
+
 def run(statement: str, trades: DataFrame) -> DataFrame:
     """A statement of this module on Spark."""
     return trades.sparkSession.sql(statement, trades=trades)

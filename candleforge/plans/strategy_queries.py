@@ -154,6 +154,9 @@ def _statements(dialect: str) -> dict[str, str]:
         "analysis_monte_carlo": A.MONTE_CARLO.format(q50=quantile(0.5), q95=quantile(0.95), text=text, numbers=numbers, trades=t),
         "analysis_ranking": A.ranking(),
         "analysis_walk_forward": A.walk_forward(day, 10, 3),
+        "analysis_composite": A.COMPOSITE,
+        "analysis_reranking": A.RERANKING.format(least=5, trades=t),
+        "analysis_confidence": A.CONFIDENCE.format(grades=f"select series, 'stability' as component, grade from ({A.STABILITY.format(unit='week', trades=t)}) s union all select series, 'profit', case when profit_factor >= 1.5 then 'A' when profit_factor >= 1.2 then 'B' when profit_factor >= 1 then 'C' else 'D' end from ({A.SUMMARY}) p"),
         "analysis_out_of_sample": A.OUT_OF_SAMPLE.format(share="0.7", trades=t),
     }
 
