@@ -14,9 +14,9 @@ so that one document is decoded without the rest of the block.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +30,26 @@ from .shingles import text_groups
 END = 2
 BLOCK = 1 << 20
 ROUNDS, RULES_A_ROUND, LEAST_COUNT = 5, 3000, 12
-CACHE = 1_500_000
+#: Words that an encoder remembers, and that go through the library at once.
+CACHE, AT_ONCE = 500_000, 4096
 
-#: What Python's white space and the tokenizer's may not agree on, and special strings.
-_WHOLE = re.compile("<\\||[\x0b\x1c-\x1f\x85]")
+#: Stands between texts while they are split together.
+_MARK = "\ue000"
+#: What Python's white space and the tokenizer's may not agree on, and beginnings of special strings.
+_WHOLE = ("<|", _MARK, "\x0b", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def _stops_apart(raw: bytes) -> bytes:
+    """A space before each full stop or comma that ends a word of ASCII letters: it is a piece of its own there."""
+    buf = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero((buf[1:-1] == 46) | (buf[1:-1] == 44)) + 1
+    before, after = buf[at - 1], buf[at + 1]
+    return np.insert(buf, at[(before >= 97) & (before <= 122) & ((after == 32) | (after == 10))], 32).tobytes()
 
 
 class WordEncoder:
-    """Ids of texts from a tokenizer whose pieces never cross white space.
+    """Ids of texts from a tokenizer that ignores case and whose pieces never cross white space.
 
     Each distinct word goes through the library once for as long as the (bounded)
     cache holds it; texts with special strings or unusual control characters go
@@ -51,7 +63,7 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = {_MARK: 0}
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
@@ -60,6 +72,10 @@ class WordEncoder:
         return a if n <= len(a) else np.concatenate((a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)))
 
     def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), AT_ONCE):
+            self._learn_some(words[at : at + AT_ONCE])
+
+    def _learn_some(self, words: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         k, sizes = len(self.index), np.array([len(x) for x in found], np.int32)
         total = int(sizes.sum())
@@ -72,26 +88,32 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        for lo, hi in text_groups(texts, 1 << 21):
-            whole = {i for i in range(lo, hi) if texts[i] and _WHOLE.search(texts[i])}
-            words = [[] if i in whole or not texts[i] else texts[i].split() for i in range(lo, hi)]
-            flat = [w for x in words for w in x]
+        for lo, hi in text_groups(texts, 1 << 20):
+            whole = {i for i in range(lo, hi) if texts[i] and any(x in texts[i] for x in _WHOLE)}
+            plain = ["" if i in whole else texts[i] or "" for i in range(lo, hi)]
+            flat = _stops_apart(f"\n{_MARK}\n".join([*plain, ""]).encode().translate(_LOWER)).decode().split()
             new = set(flat).difference(self.index)
             if len(self.index) + len(new) > CACHE:
                 self._clear()
-                new = set(flat)
+                new = set(flat) - {_MARK}
             if new:
                 self._learn(sorted(new))
             at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
             size = self.size[at].astype(np.int64)
             ends = np.cumsum(size)
-            ids = self.ids[np.repeat(self.begin[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-            edge = np.concatenate(([0], ends))[np.cumsum([0, *map(len, words)])]
+            ids = self.ids[np.repeat(self.begin[at] - (ends - size), size) + np.arange(int(ends[-1]))]
+            edge = np.concatenate(([0], ends[at == 0]))
             for i in range(lo, hi):
                 out.append(np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32) if i in whole else ids[edge[i - lo] : edge[i - lo + 1]])
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(file: str) -> WordEncoder:
+    """The encoder of a worker process, whose cache later tasks find."""
+    return WordEncoder(file)
+
+
 def compress(ids: np.ndarray, starts: np.ndarray, first_rule: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(symbols, rules, lengths, starts)``: Re-Pair of ``ids``, whose documents begin at ``starts``.
 
@@ -108,7 +130,9 @@ def compress(ids: np.ndarray, starts: np.ndarray, first_rule: int, rounds: int =
             break
         bucket = ((seq[:-1] * np.uint32(2654435761)) ^ (seq[1:] * np.uint32(2246822519))) >> np.uint32(13)
         count = np.bincount(bucket, minlength=1 << 19)
-        at = np.flatnonzero((count >= LEAST_COUNT)[bucket] & ~head[1 : len(seq)])
+        # a pair is no oftener than its bucket, so the best pairs are in the fullest buckets
+        least = max(LEAST_COUNT, int(np.partition(count, -2 * RULES_A_ROUND)[-2 * RULES_A_ROUND]))
+        at = np.flatnonzero((count >= least)[bucket] & ~head[1 : len(seq)])
         code = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
         pair, times = np.unique(code, return_counts=True)
         best = np.flatnonzero(times >= LEAST_COUNT)
@@ -171,14 +195,14 @@ def _block(part: int, block: int, docs: list[tuple[int | None, np.ndarray]], fir
 
 def _encode(file: str, end: int, block_size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(file)
-        first_rule = encoder.tokenizer.get_vocab_size()
+        words = encoder(file)
+        first_rule = words.tokenizer.get_vocab_size()
         part, block, docs, total = TaskContext.get().partitionId(), 0, [], 0
         tail = np.array([end], np.uint32)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in text_groups(texts, 1 << 22):
-                for d, x in zip(ids[lo:hi], encoder.encode(texts[lo:hi]), strict=True):
+            for lo, hi in text_groups(texts, 1 << 21):
+                for d, x in zip(ids[lo:hi], words.encode(texts[lo:hi]), strict=True):
                     docs.append((d, np.concatenate((x, tail))))
                     total += len(x) + 1
                     if total >= block_size:
