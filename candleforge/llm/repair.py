@@ -114,6 +114,13 @@ def encoder(file: str) -> WordEncoder:
     return WordEncoder(file)
 
 
+_BUCKETS = 1 << 19
+
+
+def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return ((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(13)
+
+
 def compress(ids: np.ndarray, starts: np.ndarray, first_rule: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(symbols, rules, lengths, starts)``: Re-Pair of ``ids``, whose documents begin at ``starts``.
 
@@ -128,10 +135,11 @@ def compress(ids: np.ndarray, starts: np.ndarray, first_rule: int, rounds: int =
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        bucket = ((seq[:-1] * np.uint32(2654435761)) ^ (seq[1:] * np.uint32(2246822519))) >> np.uint32(13)
-        count = np.bincount(bucket, minlength=1 << 19)
+        bucket = _bucket(seq[:-1], seq[1:])
+        count = np.bincount(bucket, minlength=_BUCKETS)
         # a pair is no oftener than its bucket, so the best pairs are in the fullest buckets
-        least = max(LEAST_COUNT, int(np.partition(count, -2 * RULES_A_ROUND)[-2 * RULES_A_ROUND]))
+        full = np.cumsum(np.bincount(np.minimum(count, 4095), minlength=4096)[::-1])[::-1]  # buckets that are as full, or fuller
+        least = max(LEAST_COUNT, int(np.flatnonzero(full >= 2 * RULES_A_ROUND)[-1]))
         at = np.flatnonzero((count >= least)[bucket] & ~head[1 : len(seq)])
         code = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
         pair, times = np.unique(code, return_counts=True)
@@ -139,15 +147,21 @@ def compress(ids: np.ndarray, starts: np.ndarray, first_rule: int, rounds: int =
         best = np.sort(best[np.argsort(-times[best], kind="stable")[:RULES_A_ROUND]])
         if not len(best):
             break
-        pair = pair[best]
-        slot = np.minimum(np.searchsorted(pair, code), len(pair) - 1)
-        hit = pair[slot] == code
+        pair, times = pair[best], times[best]
+        left, right = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        own = _bucket(left, right)
+        table = np.full(_BUCKETS, -1, np.int32)
+        table[own[np.argsort(times, kind="stable")]] = np.argsort(times, kind="stable")
+        kept = np.flatnonzero(table[own] == np.arange(len(pair)))  # of pairs in one bucket, the rarer ones wait
+        pair, left, right = pair[kept], left[kept], right[kept]
+        table[own[kept]] = np.arange(len(kept))
+        slot = table[bucket[at]]
+        hit = (slot >= 0) & (pair[slot] == code)
         at, slot = at[hit], slot[hit]
         new_run = np.concatenate(([True], np.diff(at) != 1))
         run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run_start) % 2 == 0
         at, slot = at[take], slot[take]
-        left, right = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         rules.append(np.stack((left, right), axis=1))
         lengths.append(length[left] + length[right])
         length = np.concatenate((length, lengths[-1]))
