@@ -158,9 +158,13 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) ->
     return train(lowered, [r["lang"] for r in got])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
 def _predict(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column(1)
             plain = texts.to_pylist()
             has = np.array([t is not None and _LETTER.search(t) is not None for t in plain], bool)
@@ -192,7 +196,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def _keep(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             at = batch.schema.get_field_index("text")
             given = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], names=["row", "text"])
             (found,) = _predict(model)(iter([given]))

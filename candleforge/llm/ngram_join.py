@@ -25,6 +25,7 @@ Equal sets are classes: they are one member of a trie and never make pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from .shared import Scratch, broadcast_if_small, connected_components, cut
 from .shingles import shingle_sets
 
 NUM, DEN = 80, 100
-BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1_000_000
 #: Ids of candidates that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -139,12 +140,13 @@ def _sets(width: int, num: int, den: int, frequent):
                 met = Combined([_prefix(s, frequent.value, num, den) for s in sets])
                 return pa.RecordBatch.from_arrays([pa.array(some), _lists(sets), _lists(met.sent()), _lists(met.near(some))], names=["doc_id", "shingles", "prefix", "near"])
 
-            at = 0
+            at = size = 0
             for s in shingle_sets(texts, width):  # few large sets a batch, so that memory stays bounded
                 sets.append(s)
-                if sum(map(len, sets[-64:])) > 1_000_000 or len(sets) == 2048:
+                size += len(s)
+                if size > 500_000 or len(sets) == 2048:
                     yield given(at, sets)
-                    at, sets = at + len(sets), []
+                    at, sets, size = at + len(sets), [], 0
             yield given(at, sets)
 
     return run
@@ -228,7 +230,7 @@ def group_labels(ids: np.ndarray, sets: list[np.ndarray], num: int = NUM, den: i
     for i, (d, s) in enumerate(zip(ids.tolist(), sets, strict=True)):
         union(label[i], label[by_id.setdefault(d, i)])
         if len(s):
-            union(label[i], label[by_set.setdefault(s.tobytes(), i)])
+            union(label[i], label[by_set.setdefault(blake2b(s, digest_size=16).digest(), i)])
     alive = np.array(sorted(by_set.values()), dtype=np.int64)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     _, token = np.unique(np.concatenate([sets[i] for i in alive]) if len(alive) else _EMPTY, return_inverse=True)
