@@ -186,3 +186,13 @@ def near_copies(vectors: DataFrame, cosine: float = COSINE, margin: float | None
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: The same over all pairs, for tables small enough for that.
+ORACLE_SQL = """
+with recursive v as (select vec_id, cast(embedding as double[]) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.9),
+r(node, reach) as (select vec_id, vec_id from embeddings union select r.node, l.b from r join l on r.reach = l.a),
+c as (select node, min(reach) as component_id from r group by node)
+select e.vec_id, (select count(*) from l where l.a = e.vec_id) as n_links, c.component_id, e.vec_id = c.component_id as kept from embeddings e join c on c.node = e.vec_id
+"""

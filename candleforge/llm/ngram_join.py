@@ -352,3 +352,17 @@ def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same over all pairs, for tables small enough for that.
+ORACLE_SQL = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then ['#' || array_to_string(w, ' ')] else [] end) as s from w),
+n as (select doc_id, count(*) as n, md5(string_agg(s, chr(10) order by s)) as f from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r(node, reach) as (select doc_id, doc_id from w union select r.node, e.b from r join e on r.reach = e.a)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, coalesce(k.class_id, w.doc_id) as class_id, w.doc_id in (select a from e) as linked
+from w left join n on n.doc_id = w.doc_id join (select node, min(reach) as component_id from r group by node) c on c.node = w.doc_id left join (select f, min(doc_id) as class_id from n group by f) k on k.f = n.f
+"""

@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": decontaminate.ORACLE_SQL}
+    return {"op1_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op6_benchmark_decontamination": decontaminate.ORACLE_SQL, "op8_embedding_near_dedup": embeddings.ORACLE_SQL}

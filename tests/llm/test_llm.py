@@ -310,3 +310,14 @@ def test_every_operator_is_registered():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(names)
+
+
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op8_embedding_near_dedup"])
+def test_queries_equal_their_sql(spark, name):
+    got = queries.queries()[name](spark, SF)
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall())
