@@ -31,7 +31,7 @@ END = 2
 BLOCK = 1 << 20
 ROUNDS, RULES_A_ROUND, LEAST_COUNT = 5, 3000, 12
 #: Words that an encoder remembers, and that go through the library at once.
-CACHE, AT_ONCE = 500_000, 4096
+CACHE, AT_ONCE, JOINED = 1_000_000, 4096, 64
 
 #: Stands between texts while they are split together.
 _MARK = "\ue000"
@@ -60,6 +60,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -72,18 +74,32 @@ class WordEncoder:
         return a if n <= len(a) else np.concatenate((a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)))
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), AT_ONCE):
-            self._learn_some(words[at : at + AT_ONCE])
-
-    def _learn_some(self, words: list[str]) -> None:
+        """Words of letters alone are one piece each and go through the library joined; its end-of-word ids part them again."""
+        letters = [w for w in words if w.isalpha()]
+        for at in range(0, len(letters), AT_ONCE):
+            groups = [letters[i : i + JOINED] for i in range(at, min(at + AT_ONCE, len(letters)), JOINED)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                ends = np.flatnonzero(self.is_end[ids]) + 1
+                if len(ends) == len(group) and ends[-1] == len(ids):
+                    self._add(group, ids, np.diff(ends, prepend=0))
+                else:
+                    self._learn_apart(group)
+        rest = [w for w in words if not w.isalpha()]
+        for at in range(0, len(rest), AT_ONCE):
+            self._learn_apart(rest[at : at + AT_ONCE])
+
+    def _learn_apart(self, words: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        k, sizes = len(self.index), np.array([len(x) for x in found], np.int32)
-        total = int(sizes.sum())
-        self.ids, self.begin, self.size = self._grown(self.ids, self.n_ids + total), self._grown(self.begin, k + len(words)), self._grown(self.size, k + len(words))
-        self.ids[self.n_ids : self.n_ids + total] = np.concatenate([np.array(x, np.uint32) for x in found]) if total else []
-        self.begin[k : k + len(words)] = self.n_ids + np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        self._add(words, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        k, n = len(self.index), self.n_ids + len(ids)
+        self.ids, self.begin, self.size = self._grown(self.ids, n), self._grown(self.begin, k + len(words)), self._grown(self.size, k + len(words))
+        self.ids[self.n_ids : n] = ids
+        self.begin[k : k + len(words)] = self.n_ids + np.cumsum(sizes) - sizes
         self.size[k : k + len(words)] = sizes
-        self.n_ids += total
+        self.n_ids = n
         self.index.update(zip(words, range(k, k + len(words)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
