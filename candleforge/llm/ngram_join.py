@@ -36,7 +36,7 @@ from .shared import Scratch, broadcast_if_small, connected_components, cut
 from .shingles import shingle_sets
 
 NUM, DEN = 80, 100
-BLOCK_DOCS, BLOCK_SHINGLES = 4096, 1_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
 #: Ids of candidates that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -233,8 +233,15 @@ def group_labels(ids: np.ndarray, sets: list[np.ndarray], num: int = NUM, den: i
             union(label[i], label[by_set.setdefault(blake2b(s, digest_size=16).digest(), i)])
     alive = np.array(sorted(by_set.values()), dtype=np.int64)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    _, token = np.unique(np.concatenate([sets[i] for i in alive]) if len(alive) else _EMPTY, return_inverse=True)
-    tokens = np.split(token, np.cumsum(sizes[alive])[:-1]) if len(alive) else []
+    # hashes of one set only can't overlap; the others are numbered in the global order
+    flat = np.concatenate([sets[i] for i in alive]) if len(alive) else _EMPTY.copy()
+    flat.sort()
+    shared = np.unique(flat[1:][flat[1:] == flat[:-1]])
+    del flat
+    tokens = []
+    for i in alive:
+        at = np.minimum(np.searchsorted(shared, sets[i]), max(0, len(shared) - 1))
+        tokens.append(at[shared[at] == sets[i]] if len(shared) else at[:0])
     while len(alive):  # tokens of one set only can't overlap; sets with too few others can't link
         flat = np.concatenate(tokens)
         often = np.bincount(flat, minlength=int(flat.max()) + 1 if len(flat) else 1) > 1
@@ -261,10 +268,10 @@ def group_labels(ids: np.ndarray, sets: list[np.ndarray], num: int = NUM, den: i
 
 def _join_block(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
-        flat = table.column("shingles").combine_chunks()
-        values, offsets = flat.values.to_numpy(zero_copy_only=False).view(np.uint64), flat.offsets.to_numpy()
-        sets = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        ids, sets = table.column("doc_id").to_numpy(), []
+        for chunk in table.column("shingles").chunks:
+            values, offsets = chunk.values.to_numpy(zero_copy_only=False).view(np.uint64), chunk.offsets.to_numpy()
+            sets += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         label = group_labels(ids, sets, num, den)
         return pa.table({"a": pa.array(ids, pa.int64()), "b": pa.array(label, pa.int64())})
 
