@@ -36,7 +36,7 @@ from .shared import Scratch, broadcast_if_small, connected_components, cut
 from .shingles import shingle_sets
 
 NUM, DEN = 80, 100
-BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 4096, 2_000_000
 #: Ids of candidates that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -165,12 +165,13 @@ class Trie:
         self.sets, self.sizes = [sets[i] for i in order], sizes[self.order]
         self.num, self.den = num, den
         self.common = np.array([0] + [self._shared(a, b) for a, b in zip(self.sets, self.sets[1:], strict=False)], dtype=np.int64)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in self.sets])
-        flat = np.concatenate(self.sets) if self.sets else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in self.sets])
+        flat = np.concatenate(self.sets) if self.sets else np.zeros(0, np.int32)
         self.span = int(flat.max()) + 1 if len(flat) else 1
-        by = np.argsort(flat, kind="stable")
-        self.who, self.begin = owner[by], np.searchsorted(flat[by], np.arange(self.span + 1))
-        self.keys, self.end = owner * self.span + flat, np.cumsum([len(s) for s in self.sets])
+        self.who = owner[np.argsort(flat, kind="stable")]
+        self.begin = np.concatenate(([0], np.cumsum(np.bincount(flat, minlength=self.span))))
+        self.keys, self.end = owner.astype(np.int64) * self.span, np.cumsum([len(s) for s in self.sets])
+        self.keys += flat
 
     @staticmethod
     def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -241,7 +242,7 @@ def group_labels(ids: np.ndarray, sets: list[np.ndarray], num: int = NUM, den: i
     tokens = []
     for i in alive:
         at = np.minimum(np.searchsorted(shared, sets[i]), max(0, len(shared) - 1))
-        tokens.append(at[shared[at] == sets[i]] if len(shared) else at[:0])
+        tokens.append((at[shared[at] == sets[i]] if len(shared) else at[:0]).astype(np.int32))
     while len(alive):  # tokens of one set only can't overlap; sets with too few others can't link
         flat = np.concatenate(tokens)
         often = np.bincount(flat, minlength=int(flat.max()) + 1 if len(flat) else 1) > 1
