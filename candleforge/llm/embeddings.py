@@ -3,11 +3,9 @@
 Centroids are fitted on a bounded sample; every vector is indexed. A vector belongs
 to its nearest cell and also visits each cell whose bounding plane it is near:
 two vectors with cosine ``c`` are ``sqrt(2 - 2 c)`` apart, so one of two that a plane parts
-lies within half of that of it. With ``margin = sqrt(2 - 2 c) / 2`` no link is lost.
-The default takes half as much: the difference of two near copies has no reason to
-be normal to the plane, and in ``d`` dimensions its component there is about
-``1/sqrt(d)`` of it, so that half is 4 standard deviations for 64 dimensions. Recall against
-brute force is tested; where it must be certain, give the larger margin.
+lies within half of that of it. With ``margin = sqrt(2 - 2 c) / 2``, the default, no link is
+lost, however the vectors lie. A smaller margin visits fewer cells and loses links whose
+difference lies along a plane's normal, as it does among vectors of few intrinsic dimensions.
 
 Equal vectors are one class with a multiplicity. The rows at home in a cell are compared,
 in blocks, with all rows of the cell, in blocks; what leaves a task is a number of links
@@ -28,6 +26,8 @@ from .shared import Scratch, connected_components, cut
 COSINE = 0.9
 #: The documented bounds of the index: sampled vectors, cells and vectors a cell aimed at, rows of a block.
 SAMPLE, MOST_CELLS, CELL_ROWS, BLOCK_ROWS = 20_000, 2048, 500, 1024
+#: What rounding may take from a vector's distance to a plane.
+SLACK = 1e-8
 #: A home block meets the rows of a cell in blocks of so many times its size.
 WIDE = 8
 
@@ -50,7 +50,20 @@ def _unit(batch_column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-_PLACED = "vec_id long, n long, dim int, home int, cell int, visits array<int>, unit array<double>"
+def _packed(x: np.ndarray) -> pa.Array:
+    """The rows of ``x`` as binaries, which cost Spark far less than arrays."""
+    at = (np.arange(len(x) + 1) * x.itemsize * x.shape[1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    x = pa.concat_arrays(column.chunks)
+    at = np.frombuffer(x.buffers()[1], np.int32, len(x) + 1, 4 * x.offset)
+    return np.frombuffer(x.buffers()[2], np.uint8, int(at[-1] - at[0]), int(at[0])).view(kind).reshape(len(x), -1)
+
+
+#: ``visits`` again as bits, and the unit vector's doubles.
+_PLACED = "vec_id long, n long, dim int, home int, visits array<int>, bits binary, unit binary"
 
 
 def _place(centroids: np.ndarray, margin: float):
@@ -69,18 +82,16 @@ def _place(centroids: np.ndarray, margin: float):
                         p = x @ centroids.T
                         home = p.argmax(axis=1)
                         apart = gap[home] if gap is not None else np.sqrt(np.maximum(0.0, 2 - 2 * centroids[home] @ centroids.T))
-                        near = (p[np.arange(m), home][:, None] - p) <= margin * apart
+                        near = (p[np.arange(m), home][:, None] - p) <= margin * apart + SLACK
                         near[np.arange(m), home] = True
                     else:
                         home, near = np.zeros(m, np.int64), np.ones((m, 1), bool)
-                    row, cell = np.nonzero(near)
+                    cell = np.nonzero(near)[1]
                     ends = np.cumsum(near.sum(axis=1))
                     visits = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(cell.astype(np.int32)))
-                    unit = pa.ListArray.from_arrays(pa.array((np.arange(m + 1) * dim).astype(np.int32)), pa.array(x.ravel()))
-                    take = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(take), part.column(1).take(take), pa.array(np.full(len(row), dim), pa.int32()), pa.array(home[row], pa.int32()), pa.array(cell, pa.int32()), visits.take(take), unit.take(take)],
-                        names=["vec_id", "n", "dim", "home", "cell", "visits", "unit"],
+                        [part.column(0), part.column(1), pa.array(np.full(m, dim), pa.int32()), pa.array(home, pa.int32()), visits, _packed(np.packbits(near, axis=1, bitorder="little")), _packed(x)],
+                        names=["vec_id", "n", "dim", "home", "visits", "bits", "unit"],
                     )
 
     return run
@@ -119,10 +130,8 @@ def _compare_blocks(cosine: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         cell = key[1].as_py()
         ids, n, home = (table.column(c).to_numpy() for c in ("vec_id", "n", "home"))
-        unit = table.column("unit").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        lists = table.column("visits").combine_chunks()
-        visits = np.zeros((len(ids), int(max(home.max(initial=0), lists.flatten().to_numpy().max(initial=0))) + 1), bool)
-        visits[np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
+        unit = _unpacked(table.column("unit"), np.float64)
+        visits = np.unpackbits(_unpacked(table.column("bits"), np.uint8), axis=1, bitorder="little").view(bool)
         pick = lambda c: np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False))
         i, j = pick("is_home"), pick("is_any")
         block = lambda at: (ids[at], unit[at], n[at], home[at], visits[at])
@@ -145,7 +154,7 @@ def near_copies(vectors: DataFrame, cosine: float = COSINE, margin: float | None
     """
     spark = vectors.sparkSession
     if margin is None:
-        margin = float(np.sqrt(2 - 2 * cosine) / 4)
+        margin = float(np.sqrt(2 - 2 * cosine) / 2)
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     good = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
@@ -165,6 +174,7 @@ def near_copies(vectors: DataFrame, cosine: float = COSINE, margin: float | None
                 centroids = k_means(sample, max(1, min(MOST_CELLS, -(-count // CELL_ROWS))))
         placed = scratch.table(reps.select("vec_id", "n", "dim", "v").mapInArrow(_place(centroids, margin), _PLACED))
         at_home = F.col("home") == F.col("cell")
+        placed = placed.select("vec_id", "n", "dim", "home", "bits", "unit", F.explode("visits").alias("cell"))
         blocks = placed.groupBy("dim", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.when(at_home, 1)) / block_rows)).cast("int").alias("tall"), F.ceil(F.count("*") / (WIDE * block_rows)).cast("int").alias("wide"))
         hashed = F.xxhash64("vec_id")
         dealt = placed.join(blocks, ["dim", "cell"]).withColumns({"i": F.pmod(hashed, F.col("tall")).cast("int"), "j": F.pmod(F.shiftright(hashed, 20), F.col("wide")).cast("int")})
@@ -172,7 +182,7 @@ def near_copies(vectors: DataFrame, cosine: float = COSINE, margin: float | None
         others = F.transform(F.sequence(F.lit(0), F.col("tall") - 1), lambda t: F.struct(t.alias("lo"), F.col("j").alias("hi")))
         own = F.when(at_home, F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda t: F.struct(F.col("i").alias("lo"), t.alias("hi")))).otherwise(F.array().cast("array<struct<lo:int,hi:int>>"))
         dealt = dealt.withColumn("to", F.explode(F.array_union(others, own)))
-        dealt = dealt.select("dim", "cell", "to.lo", "to.hi", "vec_id", "n", "home", "visits", "unit", (at_home & (F.col("to.lo") == F.col("i"))).alias("is_home"), (F.col("to.hi") == F.col("j")).alias("is_any"))
+        dealt = dealt.select("dim", "cell", "to.lo", "to.hi", "vec_id", "n", "home", "bits", "unit", (at_home & (F.col("to.lo") == F.col("i"))).alias("is_home"), (F.col("to.hi") == F.col("j")).alias("is_any"))
         found = cut(dealt.groupBy("dim", "cell", "lo", "hi").applyInArrow(_compare_blocks(cosine), "vec_id long, links long, label long").groupBy("vec_id", "label").agg(F.sum("links").alias("links")))
         links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
         component = connected_components(found.select(F.col("vec_id").alias("a"), F.col("label").alias("b"))).withColumnRenamed("node", "rep").withColumnRenamed("component", "c")

@@ -252,6 +252,15 @@ def test_near_vectors_equal_brute_force(spark):
     assert embeddings.near_copies(vectors.limit(0)).count() == 0
 
 
+def test_no_near_vectors_are_lost_in_few_dimensions(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 4)) @ np.linalg.qr(rng.normal(size=(64, 4)))[0].T
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n = ((x @ x.T) >= 0.9).sum(axis=1) - 1
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert {r.vec_id: r.n_links for r in embeddings.near_copies(vectors).collect()} == dict(enumerate(n.tolist()))
+
+
 def test_licence_notices_are_found(spark):
     rows = [(1, "Text.\nReleased under the MIT License.\nMore."), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "Licensed under CC BY-NC 4.0."), (4, "He took the licence and was released under bail. Mit."), (5, None), (6, ""), (7, "See the license for details."), (None, "Licensed under the Apache License, Version 2.0.")]
     base = spark.read.parquet(f"{SF}/documents.parquet")
