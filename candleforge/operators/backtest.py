@@ -312,6 +312,57 @@ def simulate(bars: DataFrame, strategies: dict[str, Strategy]) -> DataFrame:
     return bars.select(*wanted).crossJoin(F.broadcast(names)).groupBy("symbol", "param_id").applyInPandas(run, TRADES)
 
 
+def first_touch(low: np.ndarray, high: np.ndarray, begin: np.ndarray, stop: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """For each position the first bar from ``begin`` on whose low is at most ``stop`` or whose high is at least ``target``; -1 without one.
+
+    Lowest lows and highest highs of blocks of 1, 2, 4, ... bars are climbed until a block touches and then descended.
+    """
+    lows, highs = [low], [high]
+    while len(lows[-1]) > 1:
+        odd = len(lows[-1]) % 2
+        lows.append(np.fmin.reduceat(lows[-1], np.arange(0, len(lows[-1]) + odd, 2)))
+        highs.append(np.fmax.reduceat(highs[-1], np.arange(0, len(highs[-1]) + odd, 2)))
+    at, height, left = begin.copy(), np.full(len(begin), -1), np.arange(len(begin))
+    for k in range(len(lows)):
+        left = left[at[left] < len(lows[k])]
+        own = left[(at[left] % 2 == 1) | (k == len(lows) - 1)]  # even blocks are looked at with their neighbour
+        met = (lows[k][at[own]] <= stop[own]) | (highs[k][at[own]] >= target[own])
+        height[own[met]] = k
+        left = left[height[left] < 0]
+        at[left] = (at[left] + 1) // 2
+    for k in range(len(lows) - 1, 0, -1):
+        down = np.flatnonzero(height == k)
+        at[down] *= 2
+        met = (lows[k - 1][at[down]] <= stop[down]) | (highs[k - 1][at[down]] >= target[down])
+        at[down] += ~met
+        height[down] = k - 1
+    return np.where(height == 0, at, -1)
+
+
+def concurrent(bars: DataFrame, rr: float, first: int) -> DataFrame:
+    """Trades of a position for each ``long_signal`` from bar ``first`` on, held until its stop or target, however long; open ones have no row."""
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("bar_index", ignore_index=True)
+        bar, price, low, high = x["bar_index"].to_numpy(), *(x[c].to_numpy(dtype=float) for c in ("open", "low", "high"))
+        i = np.flatnonzero(x["long_signal"].fillna(False).to_numpy(dtype=bool)[:-1] & (bar[:-1] >= first) & (bar[1:] == bar[:-1] + 1) & (price[1:] > low[:-1]))
+        entry, stop = price[i + 1], low[i]
+        target = entry + rr * (entry - stop)
+        out = first_touch(low, high, i + 1, stop, target)
+        done = out >= 0
+        i, out, entry, stop, target = i[done], out[done], entry[done], stop[done], target[done]
+        return pd.DataFrame({"symbol": x["symbol"].iloc[0], "signal_bar_index": bar[i], "entry_bar_index": bar[i + 1], "exit_bar_index": bar[out], "entry_price": entry, "sl": stop, "tp": target, "low": low[out], "high": high[out]})
+
+    given = bars.select("symbol", F.col("bar_index").cast("long").alias("bar_index"), *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low")], "long_signal")
+    x = given.groupBy("symbol").applyInPandas(run, "symbol string, signal_bar_index long, entry_bar_index long, exit_bar_index long, entry_price double, sl double, tp double, low double, high double")
+    return x.selectExpr(
+        "symbol", "signal_bar_index", "entry_bar_index", "exit_bar_index", "round(entry_price, 5) as entry_price",
+        "case when low <= sl and high >= tp then 'SL_and_TP_SL_first' when low <= sl then 'SL' else 'TP' end as exit_reason",
+        "round(case when low <= sl then sl else tp end - entry_price + 1e-9, 5) as profit",
+    )
+
+
+#: The same by a range join, for exits within ``most`` bars.
 CONCURRENT_SQL = """
 with c as (select s.symbol, s.bar_index as signal_bar_index, e.bar_index as entry_bar_index, e.open as entry_price, s.low as sl, e.open + {rr} * (e.open - s.low) as tp
   from {bars} s join {bars} e on s.symbol = e.symbol and e.bar_index = s.bar_index + 1 where s.long_signal and s.bar_index >= {first} and e.open > s.low),

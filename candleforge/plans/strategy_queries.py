@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from candleforge.functions.compiler import DUCKDB, SPARK, Plan
 from candleforge.operators import analysis as A
 from candleforge.operators import search
-from candleforge.operators.backtest import CONCURRENT_SQL, Strategy, simulate
+from candleforge.operators.backtest import CONCURRENT_SQL, Strategy, concurrent, simulate
 from candleforge.operators.kernels import with_kernels
 from candleforge.plans import signals
 from candleforge.plans.conditions import Compiler, evaluate, parse
@@ -104,13 +104,14 @@ def backtest_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: An entry that stands in for a signal wherever standard SQL has to follow.
 _CONCURRENT = {"op": "AND", "children": [{"indicator": "close", "operator": ">", "value": "sma", "value_params": {"length": 20}}, {"indicator": "bullish_candle", "operator": "==", "value": 1.0}]}
+#: The SQL looks so many bars ahead; on the given tables no trade lasts longer.
 _LONGEST = 200
 
 
 def concurrent_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every signal opens a position; exits are the first touch within a bounded number of bars, by a range join."""
+    """Every signal opens a position; exits are the first touch, however many bars later."""
     x = evaluate(hourly(spark, sf_dir), {"long_signal": _CONCURRENT}, pip=1.0).select("symbol", "bar_index", "datetime", "open", "high", "low", "long_signal")
-    return spark.sql(CONCURRENT_SQL.format(rr=1.5, first=50, most=_LONGEST, bars="{bars}"), bars=x)
+    return concurrent(x, rr=1.5, first=50)
 
 
 def _concurrent_sql() -> str:

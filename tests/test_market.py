@@ -192,6 +192,20 @@ def test_concurrent_form_equals_the_pass(spark):
     assert sorted(map(tuple, x[["symbol", "signal_bar_index", "exit_bar_index", "exit_reason"]].to_numpy().tolist())) == sorted(want)
 
 
+def test_concurrent_positions_are_held_until_their_exit(spark, monkeypatch):
+    x = series(4000, 5)
+    calm = slice(100, 3500)  # hardly moves for 3,400 bars
+    x.loc[x.index[calm], "open"] = x.loc[x.index[calm], "close"] = x.close[99]
+    x.loc[x.index[calm], "high"], x.loc[x.index[calm], "low"] = x.close[99] + 0.01, x.close[99] - 0.01
+    x["long_signal"] = np.arange(len(x)) % 7 == 0
+    monkeypatch.setattr(strategy_queries, "evaluate", lambda *a, **b: frame(spark, x))
+    got = strategy_queries.concurrent_trades(spark, SF).toPandas()
+    s = Strategy(direction="long", rr=1.5, first_bar=50, allow_concurrent_positions=True)
+    want = [(t["signal_bar_index"], t["exit_bar_index"], t["exit_reason"]) for t in Simulator(Bars.of(x), s).run()]
+    assert max(b - a for a, b, _ in want) > 3000
+    assert sorted(map(tuple, got[["signal_bar_index", "exit_bar_index", "exit_reason"]].to_numpy().tolist())) == sorted(want)
+
+
 def test_bars_are_cleaned_merged_and_checked(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Time (EET),Open,High,Low,Close,Volume\n2024.01.01 00:00:00,10,9,11,10.5,1\n2024.01.01 01:00:00,10,11,9,,1\n2024.01.01 02:00:00,1,2,0.5,1.5,\n2024.01.01 02:00:00,7,8,6,7,\n")
     raw = files.read_csv(spark, str(tmp_path / "a.csv"), "USDJPY", "1h", "EET")
