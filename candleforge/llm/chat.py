@@ -3,8 +3,8 @@
 The lines of a message are parsed into levels of quotation (``>`` marks). A quoted
 passage, a run of lines of one level, is normalised and hashed, and so is each message's own
 text: whole, by runs between quotes, by paragraphs and by lines. A passage is linked
-to the last message before it in its conversation that has the hash; the longest
-passage of level 1 names the message replied to. Threads follow the replies to their
+to the last message before it in its conversation that has the hash, at any level; the longest
+passage of the shallowest level that links names the message replied to. Threads follow the replies to their
 first message, and every message is given without its quotes, in reply order.
 """
 
@@ -85,10 +85,12 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """A row a message: ``conv_id, turn, role, text, reply_to, thread_turn, depth, n_quotes, n_linked, formatted``.
+    """A row a message: ``conv_id, turn, role, text, reply_to, thread_turn, depth, n_quotes, n_linked, links, formatted``.
 
     ``text`` is without quotes, ``reply_to`` the turn replied to (null if nothing quoted is
-    found), ``thread_turn`` the first turn of its thread and ``depth`` the replies between. The
+    found). ``n_quotes`` counts the quoted passages of all levels, ``links`` names the turns they are
+    from, each once a level (``level, source``, sorted), and ``n_linked`` counts these turns, each
+    once. ``thread_turn`` is the first turn of its thread and ``depth`` the replies between. The
     order of a conversation is ``thread_turn, turn``. Null text is empty; rows without
     conversation or turn, and rows that repeat a turn, are kept; the latter share their
     links. Other columns aren't read.
@@ -105,8 +107,9 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         both = has.select("conv_id", "hash", "turn", F.col("turn").alias("source"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("size")).union(asked.select("conv_id", "hash", "turn", F.lit(None).cast("long"), "level", "size"))
         before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
         linked = both.withColumn("source", F.when(F.col("level").isNotNull(), F.last("source", ignorenulls=True).over(before))).where("level is not null and source is not null")
-        best = F.max(F.when(F.col("level") == 1, F.struct("size", "source"))).getField("source")
-        links = scratch.table(linked.groupBy("conv_id", "turn").agg(best.alias("reply_to"), F.count_distinct(F.when(F.col("level") == 1, F.col("source"))).alias("n_linked")))
+        best = F.max(F.struct(-F.col("level"), "size", "source")).getField("source")
+        found = F.array_sort(F.collect_set(F.struct("level", "source")))
+        links = scratch.table(linked.groupBy("conv_id", "turn").agg(best.alias("reply_to"), F.count_distinct("source").alias("n_linked"), found.alias("links")))
         jumps = scratch.table(links.where("reply_to is not null").select("conv_id", "turn", F.col("reply_to").alias("root"), F.lit(1).alias("depth")))
         while True:
             up = jumps.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
@@ -115,9 +118,9 @@ def link_quotes(messages: DataFrame) -> DataFrame:
             if step.where("moved").isEmpty():
                 break
         out = parsed.join(links, ["conv_id", "turn"], "left").join(jumps, ["conv_id", "turn"], "left")
-        n_quotes = F.size(F.filter("quotes", lambda q: q["level"] == 1))
         out = out.select(
-            "conv_id", "turn", "role", "text", "reply_to", F.coalesce("root", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), n_quotes.alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+            "conv_id", "turn", "role", "text", "reply_to", F.coalesce("root", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), F.size("quotes").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+            F.coalesce("links", F.array().cast("array<struct<level:int,source:bigint>>")).alias("links"),
             F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("text"), F.lit("\n")).alias("formatted"),
         )
         return cut(out)

@@ -110,6 +110,15 @@ def test_chat_links_quotes(spark):
     assert chat.op2_chat_formatting(spark, SF).count() == spark.read.parquet(f"{SF}/conversations.parquet").count()
 
 
+def test_chat_links_nested_quotes(spark):
+    rows = [(1, 0, "user", "How is it going?"), (1, 1, "assistant", "> How is it going?\nFine, thanks."), (1, 2, "user", "> > How is it going?\nStill fine?"), (1, 3, "user", ">> How is it going?\n> Fine, thanks.\nGreat"), (1, 4, "user", ">>> How is it going?\n>> Fine, thanks.\n> trimmed away\nok"), (1, 5, "user", "no quote")]
+    got = {r.turn: r for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[i].reply_to for i in range(6)] == [None, 0, 0, 1, 1, None]
+    assert [got[i].thread_turn for i in range(6)] == [0, 0, 0, 0, 0, 5]
+    assert [[tuple(x) for x in got[i].links] for i in range(6)] == [[], [(1, 0)], [(2, 0)], [(1, 1), (2, 0)], [(2, 1), (3, 0)], []]
+    assert [(got[i].n_quotes, got[i].n_linked) for i in range(6)] == [(0, 0), (1, 1), (1, 1), (2, 2), (3, 2), (0, 0)]
+
+
 def test_repair_round_trip(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = docs_of(spark, [(-5, None), (10**6, ""), (10**6 + 1, "x <|endoftext|> É ½ it's"), (10**6 + 2, "a\x85b\x1cc")]).select("doc_id", "text")
