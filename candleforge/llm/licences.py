@@ -99,10 +99,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def _featured(rows: DataFrame, *keys: str) -> DataFrame:
-    """``keys, f``: hashes of the pairs of neighbouring words (ASCII letters and digits, lower case)."""
+    """``keys, f, own``: hashes of the pairs of neighbouring words (ASCII letters and digits, lower case), each once, and their number."""
     w = rows.select(*keys, F.split(F.lower("text"), "[^a-z0-9]+").alias("w"))
     both = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))
-    return w.where("size(w) >= 2").select(*keys, F.explode(both).alias("f"))
+    w = w.where("size(w) >= 2").select(*keys, F.array_distinct(both).alias("both"))
+    return w.select(*keys, F.explode("both").alias("f"), F.size("both").alias("own"))
 
 
 class Classifier:
@@ -176,14 +177,16 @@ def scan(docs: DataFrame, classifier: Classifier, templates: DataFrame, similar:
     """A row for each notice: ``doc_id, paragraph, family, probability, similarity, confirmed``.
 
     ``unknown`` is what is a notice by the classifier but of no family with enough
-    probability. Null and empty texts have no notices; rows that repeat an id have
+    probability. ``similarity`` is the share of a template's pairs that the paragraph holds or the
+    share of the paragraph's that the template holds, the greater of the two; the latter
+    confirms the lines of a wrapped notice. Null and empty texts have no notices; rows that repeat an id have
     theirs counted once; a null id is kept as null. Ties go to the family first in
     alphabetical order. Other columns aren't read.
     """
     spark = docs.sparkSession
     k = len(classifier.families)
     weights = spark.createDataFrame([(f, [float(x) for x in w]) for f, w in classifier.weights.items()], "f long, w array<double>")
-    found = _featured(paragraphs(docs), "doc_id", "paragraph").join(F.broadcast(weights.select("f")), "f").groupBy("doc_id", "paragraph", "f").agg(F.lit(1).alias("one"))
+    found = _featured(paragraphs(docs), "doc_id", "paragraph").join(F.broadcast(weights.select("f")), "f").groupBy("doc_id", "paragraph", "f").agg(F.min("own").alias("own"))
     hits = found.join(F.broadcast(weights), "f")
     z = hits.groupBy("doc_id", "paragraph").agg(*[(F.sum(F.get("w", F.lit(i))) + float(classifier.bias[i])).alias(f"z{i}") for i in range(k)])
     top = F.greatest(*[F.col(f"z{i}") for i in range(k)])
@@ -195,8 +198,8 @@ def scan(docs: DataFrame, classifier: Classifier, templates: DataFrame, similar:
     notices = z.where(p(k - 1) < 0.5).withColumn("best", best)
     notices = notices.select("doc_id", "paragraph", F.when((F.col("best.p") >= classifier.least), name).otherwise(F.lit("unknown")).alias("family"), F.when(F.col("best.p") >= classifier.least, F.col("best.p")).otherwise(p(k - 2)).alias("probability"))
     notices = cut(notices)
-    met = found.select("doc_id", "paragraph", "f").join(F.broadcast(templates), "f").groupBy("doc_id", "paragraph", "family", "template", "size").agg(F.count("*").alias("met"))
-    near = met.groupBy("doc_id", "paragraph", "family").agg(F.max(F.col("met") / F.col("size")).alias("similarity"))
+    met = found.join(F.broadcast(templates), "f").groupBy("doc_id", "paragraph", "family", "template", "size").agg(F.count("*").alias("met"), F.min("own").alias("own"))
+    near = met.groupBy("doc_id", "paragraph", "family").agg(F.max(F.col("met") / F.least("size", "own")).alias("similarity"))
     same = notices.join(near, [notices["doc_id"].eqNullSafe(near["doc_id"]), notices["paragraph"] == near["paragraph"], notices["family"] == near["family"]], "left")
     similarity = F.coalesce(near["similarity"], F.lit(0.0))
     return same.select(notices["doc_id"], notices["paragraph"], notices["family"], F.round(notices["probability"], 6).alias("probability"), F.round(similarity, 6).alias("similarity"), (similarity >= similar).alias("confirmed"))

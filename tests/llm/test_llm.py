@@ -281,6 +281,14 @@ def test_licence_notices_are_found(spark):
     assert full == lines
 
 
+def test_lines_of_a_wrapped_notice_are_confirmed(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {(r.doc_id, r.paragraph): (r.family, r.similarity, r.confirmed) for r in licences.scan(docs_of(spark, [(1, gpl), (2, mit)]), *licences.fit(base)).collect()}
+    assert got[1, 1] == ("gpl", 1.0, True) and got[2, 0] == ("mit", 1.0, True)
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.op10_language_id(spark, "/root/testdata/sf0.01")
