@@ -52,22 +52,13 @@ STABILITY = """select series, n as periods, round(score + 1e-9, 6) as score, cas
 select series, n, greatest(0e0, least(1e2, case when mean <= 0 then rate * 0.5e0 when coalesce(sd, 0) <= 0 then 1e2 else rate * 0.7e0 + least(30 * mean / nullif(sd, 0), 30e0) end)) as score from (
 select series, count(*) as n, 1e2 * sum(case when r > 0 then 1 else 0 end) / count(*) as rate, avg(r) as mean, stddev_samp(r) as sd from (select series, date_trunc('{unit}', entry_time) as p, sum(profit) as r from {trades} group by series, date_trunc('{unit}', entry_time)) g group by series) x) y"""
 
-#: Greatest drawdowns of ``{runs}`` orders of the trades, drawn by a hash; their quantiles and a rating.
-MONTE_CARLO = """select series, round(avg(dd) + 1e-9, 6) as dd_mean, round({q50} + 1e-9, 6) as dd_median, round({q95} + 1e-9, 6) as dd_95, round(max(dd) + 1e-9, 6) as dd_worst, count(*) as runs from (
+#: Greatest drawdowns of many orders of the trades, drawn by a hash; their quantiles and a rating.
+MONTE_CARLO = """select series, round(avg(dd) + 1e-9, 6) as dd_mean, round({q50} + 1e-9, 6) as dd_median, round({q90} + 1e-9, 6) as dd_90, round({q95} + 1e-9, 6) as dd_95, round({q99} + 1e-9, 6) as dd_99, round(max(dd) + 1e-9, 6) as dd_worst, round(min(dd) + 1e-9, 6) as dd_best, count(*) as runs,
+case when {q95} <= 2 then 'A' when {q95} <= 3 then 'B' when {q95} <= 4 then 'C' else 'D' end as rating from (
 select series, run, max(high - equity) as dd from (select series, run, equity, max(equity) over (partition by series, run order by draw, trade_number rows between unbounded preceding and current row) as high from (
 select series, run, draw, trade_number, sum(profit) over (partition by series, run order by draw, trade_number rows between unbounded preceding and current row) as equity from (
 select series, run, trade_number, profit, md5(concat(cast(run as {text}), '-', cast(trade_number as {text}))) as draw from {trades} cross join (select {numbers} as run) n) d) e) h group by series, run) m group by series"""
 
-#: Min-max normalised metrics, weighted; the best first. Drawdown counts downwards.
-RANKING = """select series, round(score + 1e-9, 6) as score, row_number() over (order by round(score + 1e-9, 6) desc, series) as rank from (
-select series, 100 * (0.3e0 * pf + 0.2e0 * net + 0.15e0 * (1 - dd) + 0.1e0 * win + 0.25e0 * rec) as score from (select series, {pf} as pf, {net} as net, {dd} as dd, {win} as win, {rec} as rec from ({summary}) s) n) x"""
-
-
-def ranking() -> str:
-    norm = lambda c: f"coalesce(({c} - min({c}) over ()) / nullif(max({c}) over () - min({c}) over (), 0), 0e0)"
-    return RANKING.format(pf=norm("profit_factor"), net=norm("net_profit"), dd=norm("max_dd"), win=norm("win_rate"), rec=norm("recovery_factor"), summary=SUMMARY.format(trades="{trades}"), trades="{trades}")
-
-
 #: Windows of ``{train}`` periods to fit and ``{test}`` to prove, each beginning ``{step}`` later; what the best series of the first does in the second.
 WALK_FORWARD = """with p as (select series, trade_number, exit_time, profit, {period} as period from {trades}),
 w as (select distinct period as begin from p where period + {train} + {test} - 1 <= (select max(period) from p)),
@@ -88,12 +79,6 @@ OUT_OF_SAMPLE = f"""select series, part, {{n}} as trades, round(net_profit + 1e-
 select series, case when k <= floor(n * {{share}}) then 'in' else 'out' end as part, {_COUNTS} from (select *, row_number() over (partition by series order by exit_time, trade_number) as k, count(*) over (partition by series) as n from {{trades}}) o group by series, case when k <= floor(n * {{share}}) then 'in' else 'out' end) x""".replace("{n}", "trades")
 
 
-#: All series merged by exit time; the peak begins at 0.
-COMPOSITE = f"""select trades, series_merged, round(net_profit + 1e-9, 6) as net_profit, round({factor('gain', 'loss')} + 1e-9, 6) as profit_factor, round(max_dd + 1e-9, 6) as max_dd from (
-select count(*) as trades, count(distinct series) as series_merged, sum(profit) as net_profit, sum(case when profit > 0 then profit else 0.0 end) as gain, sum(case when profit < 0 then -profit else 0.0 end) as loss, max(greatest(high, 0) - equity) as max_dd from (
-select *, max(equity) over (order by exit_time, series, trade_number rows between unbounded preceding and current row) as high from (
-select *, sum(profit) over (order by exit_time, series, trade_number rows between unbounded preceding and current row) as equity from {{trades}}) e) h) x"""
-
 #: Series that pass the thresholds, the best first by a linear score.
 RERANKING = f"""select series, round(score + 1e-9, 6) as score, row_number() over (order by round(score + 1e-9, 6) desc, series) as rank from (
 select series, profit_factor * 10 + win_rate * 0.5e0 + recovery_factor * 5 - max_dd * 0.01e0 as score from ({SUMMARY}) s where trades >= {{least}} and win_rate between 1 and 99 and profit_factor < {NO_LOSS}) x"""

@@ -12,7 +12,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FIRST_BAR = 250
@@ -293,23 +293,63 @@ class Simulator:
 TRADES = "symbol string, param_id string, trade_number long, direction string, entry_time timestamp_ntz, entry_bar_index long, entry_price double, exit_time timestamp_ntz, exit_bar_index long, exit_price double, sl double, tp double, profit double, exit_reason string, mae double, mfe double, signal_time timestamp_ntz, signal_bar_index long, signal_low double, signal_high double, lot_size double, profit_currency double, account_balance double, partial_exit_prices array<double>"
 
 
-def simulate(bars: DataFrame, strategies: dict[str, Strategy]) -> DataFrame:
+#: Strategies that share one copy of a series' bars.
+SHARED = 4
+
+
+def simulate(bars: DataFrame, strategies: dict[str, Strategy], shared: int = SHARED) -> DataFrame:
     """Trades of every strategy on every series; ``bars`` has ``long_signal``, ``short_signal``, ``exit_signal`` and ``atr`` as needed.
 
-    Strategies are rows that are joined to the series, so that each pair is a task's group.
+    Strategies come in blocks of ``shared``, each of which gets one copy of a series as a task's group.
     """
     spark = bars.sparkSession
-    names = spark.createDataFrame([(k,) for k in strategies], "param_id string")
+    names = list(strategies)
+    blocks = [names[i : i + shared] for i in range(0, len(names), shared)]
     wanted = [c for c in ("symbol", "bar_index", "datetime", "open", "high", "low", "close", "atr", "long_signal", "short_signal", "exit_signal") if c in bars.columns]
+    columns = [c.split()[0] for c in TRADES.split(", ")]
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("bar_index")
-        trades = Simulator(Bars.of(x), strategies[x["param_id"].iloc[0]]).run()
-        out = pd.DataFrame(trades, columns=[c.split()[0] for c in TRADES.split(", ")])
-        out["symbol"], out["param_id"], out["trade_number"] = x["symbol"].iloc[0], x["param_id"].iloc[0], np.arange(1, len(out) + 1)
-        return out
+        series, symbol, parts = Bars.of(x), x["symbol"].iloc[0], []
+        for name in blocks[int(x["block"].iloc[0])]:
+            trades = Simulator(series, strategies[name]).run()
+            if trades:
+                part = pd.DataFrame(trades, columns=columns)
+                part["symbol"], part["param_id"], part["trade_number"] = symbol, name, np.arange(1, len(part) + 1)
+                parts.append(part)
+        return pd.concat(parts) if parts else pd.DataFrame(columns=columns)
+
+    numbers = spark.createDataFrame([(i,) for i in range(len(blocks))], "block int")
+    return bars.select(*wanted).crossJoin(F.broadcast(numbers)).groupBy("symbol", "block").applyInPandas(run, TRADES)
+
+
+def walk_forward(bars: DataFrame, strategies: dict[str, Strategy], windows: list[tuple], top: int = 3) -> DataFrame:
+    """Strategies fitted on one span of bars and proven on the next.
+
+    ``windows`` are ``(train_start, train_end, test_end)``; a test begins where its training ends. In each window
+    and series every strategy is run on the bars of the training; the ``top`` by profit factor, then
+    profit, are run on the bars of the test. A row each: ``window, symbol, rank, param_id, train_*, test_*``;
+    a strategy without a trade in the test has 0 there.
+    """
+    from candleforge.operators import analysis as A
 
-    return bars.select(*wanted).crossJoin(F.broadcast(names)).groupBy("symbol", "param_id").applyInPandas(run, TRADES)
+    spark = bars.sparkSession
+    spans = [(i, part, lo, hi) for i, (a, b, c) in enumerate(windows, 1) for part, lo, hi in (("train", a, b), ("test", b, c))]
+    table = spark.createDataFrame(spans, "window int, part string, lo timestamp_ntz, hi timestamp_ntz")
+    cut = bars.join(F.broadcast(table), (F.col("datetime") >= F.col("lo")) & (F.col("datetime") < F.col("hi"))).drop("lo", "hi")
+    first = cut.groupBy("symbol", "window", "part").agg(F.min("bar_index").alias("first"))
+    cut = cut.join(first, ["symbol", "window", "part"]).withColumn("bar_index", F.col("bar_index") - F.col("first"))
+    cut = cut.withColumn("symbol", F.to_json(F.struct("symbol", "window", "part"))).drop("window", "part", "first")
+    trades = simulate(cut, strategies).select(F.to_json(F.struct("symbol", "param_id")).alias("series"), "trade_number", "entry_time", "exit_time", "profit")
+    of = F.from_json("series", "symbol string, param_id string")
+    where = F.from_json(of["symbol"], "symbol string, window int, part string")
+    rows = A.run(A.SUMMARY, trades).select(where["symbol"].alias("symbol"), where["window"].alias("window"), where["part"].alias("part"), of["param_id"].alias("param_id"), "trades", "win_rate", "net_profit", "profit_factor", "max_dd")
+    values = ["trades", "win_rate", "net_profit", "profit_factor", "max_dd"]
+    best = Window.partitionBy("window", "symbol").orderBy(F.col("profit_factor").desc(), F.col("net_profit").desc(), "param_id")
+    train = rows.where("part = 'train'").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    train = train.select("window", "symbol", F.col("rank").cast("long").alias("rank"), "param_id", *[F.col(v).alias(f"train_{v}") for v in values])
+    test = rows.where("part = 'test'").select("window", "symbol", "param_id", *[F.col(v).alias(f"test_{v}") for v in values])
+    return train.join(test, ["window", "symbol", "param_id"], "left").fillna(0, [f"test_{v}" for v in values])
 
 
 def first_touch(low: np.ndarray, high: np.ndarray, begin: np.ndarray, stop: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -362,12 +402,12 @@ def concurrent(bars: DataFrame, rr: float, first: int) -> DataFrame:
     )
 
 
-#: The same by a range join, for exits within ``most`` bars.
+#: The same by a range join.
 CONCURRENT_SQL = """
 with c as (select s.symbol, s.bar_index as signal_bar_index, e.bar_index as entry_bar_index, e.open as entry_price, s.low as sl, e.open + {rr} * (e.open - s.low) as tp
   from {bars} s join {bars} e on s.symbol = e.symbol and e.bar_index = s.bar_index + 1 where s.long_signal and s.bar_index >= {first} and e.open > s.low),
 x as (select c.symbol, c.signal_bar_index, c.entry_bar_index, c.entry_price, c.sl, c.tp, min(b.bar_index) as exit_bar_index
-  from c join {bars} b on b.symbol = c.symbol and b.bar_index >= c.entry_bar_index and b.bar_index <= c.entry_bar_index + {most} and (b.low <= c.sl or b.high >= c.tp) group by 1, 2, 3, 4, 5, 6)
+  from c join {bars} b on b.symbol = c.symbol and b.bar_index >= c.entry_bar_index and (b.low <= c.sl or b.high >= c.tp) group by 1, 2, 3, 4, 5, 6)
 select x.symbol, x.signal_bar_index, x.entry_bar_index, x.exit_bar_index, round(x.entry_price, 5) as entry_price,
   case when b.low <= x.sl and b.high >= x.tp then 'SL_and_TP_SL_first' when b.low <= x.sl then 'SL' else 'TP' end as exit_reason,
   round(case when b.low <= x.sl then x.sl else x.tp end - x.entry_price + 1e-9, 5) as profit

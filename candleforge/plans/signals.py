@@ -29,12 +29,16 @@ TRIGGERS = {
 
 
 def _session(p: Plan, s: dict) -> str:
+    """Hours from start to end, over midnight if need be; equal ends and bars of a day or longer let everything pass."""
     h, a, b = "extract(hour from datetime)", int(s["session_start"]), int(s["session_end"])
-    return f"({h} >= {a} and {h} < {b})" if a <= b else f"({h} >= {a} or {h} < {b})"
+    if not s["intraday"]:
+        return "true"
+    return f"({h} >= {a} and {h} < {b})" if a < b else f"({h} >= {a} or {h} < {b})"
 
 
 def _limit(x: str, most: float, pip: float) -> str:
-    return "true" if most == 0 else f"{x} <= {float(most) * pip!r}"
+    """At most so many pips; none or less is no limit."""
+    return "true" if most <= 0 else f"{x} <= {float(most) * pip!r}"
 
 
 #: Filters by flag, in the order in which they apply.
@@ -60,7 +64,7 @@ FILTERS = {
     "use_adx_filter": lambda p, s: f"{I.adx(p)} > {float(s['adx_threshold'])!r}",
 }
 #: Settings where a strategy gives none.
-DEFAULTS = {"breakout_bars": 20, "donchian_period": 20, "ema_length": 200, "stochastic_level": 80, "session_start": 9, "session_end": 18, "min_body_pips": 5, "max_body_pips": 0, "max_wick_pips": 0, "ema_distance_pips": 5, "rsi_min": 50, "round_number_pips": 30, "weekdays": (0, 1, 2, 3, 4), "adx_threshold": 25, "pip_size": 0.01}
+DEFAULTS = {"breakout_bars": 20, "donchian_period": 20, "ema_length": 200, "stochastic_level": 80, "session_start": 9, "session_end": 18, "min_body_pips": 5, "max_body_pips": 0, "max_wick_pips": 0, "ema_distance_pips": 5, "rsi_min": 50, "round_number_pips": 30, "weekdays": (0, 1, 2, 3, 4), "adx_threshold": 25, "pip_size": 0.01, "intraday": True}
 
 
 def candidate(plan: Plan, trigger: str, filters: list[str], **settings: object) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from candleforge.functions.compiler import DUCKDB, SPARK, Plan
 from candleforge.operators import analysis as A
+from candleforge.operators import rankings as R
 from candleforge.operators import search
-from candleforge.operators.backtest import CONCURRENT_SQL, Strategy, concurrent, simulate
+from candleforge.operators.backtest import CONCURRENT_SQL, Strategy, concurrent, simulate, walk_forward
 from candleforge.operators.kernels import with_kernels
+from candleforge.operators.ordering import ranked
 from candleforge.plans import signals
 from candleforge.plans.conditions import Compiler, evaluate, parse
 from candleforge.plans.market_queries import HOURLY_SQL, hourly
@@ -81,6 +84,7 @@ def _candidate_sql() -> str:
 
 ENTRY = {"op": "AND", "children": [{"indicator": "close", "operator": ">", "value": "sma", "value_params": {"length": 50}}, {"indicator": "rsi", "operator": "crosses_above", "value": 50.0}]}
 EXIT = {"indicator": "rsi", "operator": ">", "value": 70.0}
+SIGNALS = {"long_signal": ENTRY, "short_signal": {"op": "AND", "children": [{"op": "NOT", "children": [ENTRY["children"][0]]}, {"indicator": "rsi", "operator": "crosses_below", "value": 50.0}]}, "exit_signal": EXIT}
 STRATEGIES = {
     "long_rr": Strategy(direction="long", rr=1.5),
     "short_atr": Strategy(direction="short", sl_basis="atr", use_atr_trailing_stop=True),
@@ -94,8 +98,7 @@ STRATEGIES = {
 
 
 def signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trees = {"long_signal": ENTRY, "short_signal": {"op": "AND", "children": [{"op": "NOT", "children": [ENTRY["children"][0]]}, {"indicator": "rsi", "operator": "crosses_below", "value": 50.0}]}, "exit_signal": EXIT}
-    return evaluate(hourly(spark, sf_dir), trees, pip=1.0, extra={"atr": ("atr", {})})
+    return evaluate(hourly(spark, sf_dir), SIGNALS, pip=1.0, extra={"atr": ("atr", {})})
 
 
 def backtest_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,10 +107,6 @@ def backtest_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: An entry that stands in for a signal wherever standard SQL has to follow.
 _CONCURRENT = {"op": "AND", "children": [{"indicator": "close", "operator": ">", "value": "sma", "value_params": {"length": 20}}, {"indicator": "bullish_candle", "operator": "==", "value": 1.0}]}
-#: The SQL looks so many bars ahead; on the given tables no trade lasts longer.
-_LONGEST = 200
-
-
 def concurrent_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every signal opens a position; exits are the first touch, however many bars later."""
     x = evaluate(hourly(spark, sf_dir), {"long_signal": _CONCURRENT}, pip=1.0).select("symbol", "bar_index", "datetime", "open", "high", "low", "long_signal")
@@ -118,7 +117,7 @@ def _concurrent_sql() -> str:
     c = Compiler(DUCKDB, pip=1.0)
     x = c.tree(parse(_CONCURRENT))
     inner = c.plan.sql("bars", {"long_signal": x}, keys="symbol, bar_index, datetime, open, high, low")
-    body = CONCURRENT_SQL.format(rr=1.5, first=50, most=_LONGEST, bars="sig").strip().removeprefix("with ")
+    body = CONCURRENT_SQL.format(rr=1.5, first=50, bars="sig").strip().removeprefix("with ")
     return f"with {HOURLY_SQL}, sig as ({inner}), {body}"
 
 
@@ -141,7 +140,7 @@ def _statements(dialect: str) -> dict[str, str]:
     spark = dialect == "spark"
     t = "{trades}"
     text = "string" if spark else "varchar"
-    numbers = "explode(sequence(1, 50))" if spark else "unnest(range(1, 51))"
+    numbers = "explode(sequence(1, 1000))" if spark else "unnest(range(1, 1001))"
     quantile = lambda q: f"percentile(dd, {q})" if spark else f"quantile_cont(dd, {q})"
     day = "datediff(exit_time, timestamp_ntz'2024-01-01 00:00:00')" if spark else "date_diff('day', timestamp '2024-01-01 00:00:00', exit_time)"
     return {
@@ -150,12 +149,10 @@ def _statements(dialect: str) -> dict[str, str]:
         "analysis_summary": A.SUMMARY,
         "analysis_streaks": A.STREAKS,
         "analysis_equity": f"select series, trade_number, exit_time, profit, round(equity + 1e-9, 6) as equity, round(equity_high + 1e-9, 6) as equity_high, round(drawdown + 1e-9, 6) as drawdown from ({A.EQUITY}) e",
-        "analysis_ratios": A.RATIOS.format(per_year=12, unit="week", days=_DAYS[dialect], trades=t),
+        "analysis_ratios": A.RATIOS.format(per_year=52, unit="week", days=_DAYS[dialect], trades=t),
         "analysis_stability": A.STABILITY.format(unit="week", trades=t),
-        "analysis_monte_carlo": A.MONTE_CARLO.format(q50=quantile(0.5), q95=quantile(0.95), text=text, numbers=numbers, trades=t),
-        "analysis_ranking": A.ranking(),
+        "analysis_monte_carlo": A.MONTE_CARLO.format(q50=quantile(0.5), q90=quantile(0.9), q95=quantile(0.95), q99=quantile(0.99), text=text, numbers=numbers, trades=t),
         "analysis_walk_forward": A.walk_forward(day, 10, 3),
-        "analysis_composite": A.COMPOSITE,
         "analysis_reranking": A.RERANKING.format(least=5, trades=t),
         "analysis_confidence": A.CONFIDENCE.format(grades=f"select series, 'stability' as component, grade from ({A.STABILITY.format(unit='week', trades=t)}) s union all select series, 'profit', case when profit_factor >= 1.5 then 'A' when profit_factor >= 1.2 then 'B' when profit_factor >= 1 then 'C' else 'D' end from ({A.SUMMARY}) p"),
         "analysis_out_of_sample": A.OUT_OF_SAMPLE.format(share="0.7", trades=t),
@@ -187,6 +184,93 @@ def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("flatness", F.round(F.coalesce(F.try_divide("pf_min", "pf_max"), F.lit(0.0)) * 100, 6))
 
 
+#: Orders of the merged trades of all series.
+_MERGED = "select 'all' as series, {concat} as trade_number, entry_time, exit_time, profit from {trades}"
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result row a series of the concurrent trades; the bars span weeks, which stand for years and months here."""
+    return R.metrics(trade_list(spark, sf_dir), year="week", month="day")
+
+
+def composite_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = A.run(_MERGED.replace("{concat}", "concat(series, '/', trade_number)"), trade_list(spark, sf_dir))
+    return A.run(_statements("spark")["analysis_monte_carlo"], merged)
+
+
+#: Thresholds and exclusions that the test tables pass in part.
+THRESHOLDS = R.Thresholds(trades=20, profit_factor=0.1, max_dd=1_000_000.0, win_rate=10.0)
+EXCLUSIONS = R.Exclusions(minimum_trades=20, maximum_consecutive_losses=12, minimum_win_rate=30.0)
+
+
+def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series that no exclusion hits, the best first by a linear score."""
+    x = results(spark, sf_dir)
+    score = F.col("profit_factor") * 10 + F.col("win_rate") * 0.5 + F.col("recovery_factor") * 5 - F.col("max_dd") * 0.01
+    x = x.where(~EXCLUSIONS.excluded(x.columns)).withColumn("score", F.round(score + 1e-9, 6))
+    return ranked(x, F.col("score").desc(), F.col("series")).select("series", "score", F.col("rank").cast("long").alias("rank"))
+
+
+WINDOWS = [(datetime.datetime(2024, 1, 1) + datetime.timedelta(days=a), datetime.datetime(2024, 1, 1) + datetime.timedelta(days=a + 20), datetime.datetime(2024, 1, 1) + datetime.timedelta(days=a + 30)) for a in (0, 10, 20)]
+
+
+def walk_forward_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strategies fitted on 20 days and proven on the next 10, with a judgement of each test."""
+    base = {"direction": "long", "sl_basis": "fixed_pips", "pip_size": 1.0, "first_bar": 1}
+    grid = {f"{a}/{b}": Strategy.of({**base, "rr": a, "sl_fixed_pips": b}) for a in (1.0, 1.5, 2.0) for b in (40.0, 80.0)}
+    return R.judged(walk_forward(signalled(spark, sf_dir), grid, WINDOWS))
+
+
+SINGLE = {"backtest_long_rr": Strategy(direction="long", rr=1.5), "backtest_short_rr": Strategy(direction="short", rr=1.0, spread_pips=2, pip_size=0.5)}
+
+
+def single(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: simulate(signalled(spark, sf_dir), {name: SINGLE[name]}).select("symbol", "trade_number", "direction", "signal_bar_index", "entry_bar_index", "entry_price", "exit_bar_index", "exit_price", "sl", "tp", "exit_reason", *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("profit", "mae", "mfe")])
+
+
+#: One position at a time: each signal's trade by a range join, and a walk from trade to trade by recursion.
+_SINGLE_SQL = """c as (select s.symbol, s.bar_index as g, e.bar_index as k, e.open as entry, {side} * (e.open - {behind}) as risk, {behind} as sl, e.open + {side} * {rr} * ({side} * (e.open - {behind})) as tp
+  from sig s join sig e on s.symbol = e.symbol and e.bar_index = s.bar_index + 1 where s.{signal} and s.bar_index >= 250 and {side} * (e.open - {behind}) > 0),
+o as (select c.symbol, c.g, min(b.bar_index) as x from c join sig b on b.symbol = c.symbol and b.bar_index >= c.k and ({side} * b.{against} <= {side} * c.sl or {side} * b.{along} >= {side} * c.tp) group by 1, 2),
+t as (select c.*, o.x from c left join o on o.symbol = c.symbol and o.g = c.g),
+walk as (select symbol, min(g) as g, 1 as n from t group by symbol union all
+  select w.symbol, (select min(n.g) from t n where n.symbol = w.symbol and n.g > t.x), w.n + 1 from walk w join t on t.symbol = w.symbol and t.g = w.g where exists (select 1 from t n where n.symbol = w.symbol and n.g > t.x)),
+y as (select t.*, w.n, (select {worst}(b.{against}) from sig b where b.symbol = t.symbol and b.bar_index between t.k and t.x) as worst, (select {best}(b.{along}) from sig b where b.symbol = t.symbol and b.bar_index between t.k and t.x) as best from walk w join t on t.symbol = w.symbol and t.g = w.g where t.x is not null),
+z as (select y.*, {side} * b.{against} <= {side} * sl as stopped, {side} * b.{along} >= {side} * tp as reached from y join sig b on b.symbol = y.symbol and b.bar_index = y.x)
+select symbol, cast(n as bigint) as trade_number, '{direction}' as direction, g as signal_bar_index, k as entry_bar_index, round(entry, 5) as entry_price, x as exit_bar_index, round(case when stopped then sl else tp end, 5) as exit_price, round(sl, 5) as sl, round(tp, 5) as tp,
+  case when stopped and reached then 'SL_and_TP_SL_first' when stopped then 'SL' else 'TP' end as exit_reason, round(round({side} * (case when stopped then sl else tp end - entry) - {cost}, 5) + 1e-9, 4) as profit,
+  round(round(greatest(0, {side} * (entry - worst)), 5) + 1e-9, 4) as mae, round(round(greatest(0, {side} * (best - entry)), 5) + 1e-9, 4) as mfe from z"""
+
+
+def _single_sql(name: str) -> str:
+    s = SINGLE[name]
+    c = Compiler(DUCKDB, pip=1.0)
+    inner = c.plan.sql("bars", {k: c.tree(parse(v)) for k, v in SIGNALS.items()}, keys="symbol, bar_index, datetime, open, high, low")
+    long = s.direction == "long"
+    body = _SINGLE_SQL.format(side=1 if long else -1, behind="s.low" if long else "s.high", against="low" if long else "high", along="high" if long else "low", worst="min" if long else "max", best="max" if long else "min", rr=s.rr, cost=s.cost, direction=s.direction, signal=f"{s.direction}_signal")
+    return f"with recursive {HOURLY_SQL}, sig as ({inner}), {body}"
+
+
+#: Rankings in standard SQL, from the statements of the result rows.
+_RESULTS_SQL = f"""res as (select s.*, k.max_consecutive_wins, k.max_consecutive_losses, y.score as year_stability, m.score as month_stability, round((y.score + m.score) / 2 + 1e-9, 6) as overall_stability, 0e0 as walk_forward_score
+from ({A.SUMMARY}) s join ({A.STREAKS}) k on k.series = s.series join ({A.STABILITY.format(unit="week", trades="{trades}")}) y on y.series = s.series join ({A.STABILITY.format(unit="day", trades="{trades}")}) m on m.series = s.series)""".format(trades="trades")
+
+
+def _ranking_sql() -> str:
+    norm = lambda c, down: f"case when max({c}) over () = min({c}) over () then 1e0 else {f'(max({c}) over () - {c})' if down else f'({c} - min({c}) over ())'} / (max({c}) over () - min({c}) over ()) end"
+    score = " + ".join(f"{w!r} * {norm(k, k == 'max_dd')}" for k, w in R.WEIGHTS.items())
+    return f"{_trades_sql()}, {_RESULTS_SQL}, p as (select * from res where trades >= 20 and profit_factor >= 0.1 and max_dd <= 1000000 and win_rate >= 10), q as (select *, round({score} + 1e-9, 6) as rank_score from p) select series, rank_score, row_number() over (order by rank_score desc, profit_factor desc, net_profit desc, year_stability desc, month_stability desc, win_rate desc, series) as rank from q"
+
+
+def _ten_sql() -> str:
+    parts = [f"select '{n}' as ranking, row_number() over (order by {', '.join(k[1:] + ' desc' if k[0] == '-' else k for k in o.split())}, series) as rank, series from res" for n, o in R.RANKINGS.items()]
+    return f"{_trades_sql()}, {_RESULTS_SQL} {' union all '.join(parts)}"
+
+
+_COMPOSITE_SQL = """select count(*) as trades, count(distinct series) as series_merged, round(sum(profit) + 1e-9, 6) as net_profit, round(case when sum(case when profit < 0 then -profit else 0 end) > 0 then sum(case when profit > 0 then profit else 0 end) / sum(case when profit < 0 then -profit else 0 end) when max(profit) > 0 then 999.0 else 0 end + 1e-9, 6) as profit_factor, round(max(greatest(high, 0) - equity) + 1e-9, 6) as max_dd from (
+select *, max(equity) over (order by exit_time, series, trade_number rows between unbounded preceding and current row) as high from (select *, sum(profit) over (order by exit_time, series, trade_number rows between unbounded preceding and current row) as equity from trades) e) h"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _tree(n) for n in TREES}
     out["tree_multi_timeframe"] = lambda spark, sf_dir: evaluate(hourly(spark, sf_dir), {"signal": MULTI}, pip=1.0).select("symbol", "datetime", "signal")
@@ -195,6 +279,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out |= {"backtest_strategies": backtest_strategies, "backtest_concurrent": concurrent_trades}
     out |= {n: _analysis(n) for n in _statements("spark")}
     out["analysis_sensitivity"] = sensitivity
+    out |= {n: single(n) for n in SINGLE}
+    out["analysis_ranking"] = lambda spark, sf_dir: R.weighted(results(spark, sf_dir), THRESHOLDS).select("series", "rank_score", F.col("rank").cast("long").alias("rank"))
+    out["analysis_ten_rankings"] = lambda spark, sf_dir: R.ten_rankings(results(spark, sf_dir))
+    out["analysis_composite"] = lambda spark, sf_dir: R.composite(trade_list(spark, sf_dir))
+    out["analysis_composite_monte_carlo"] = composite_monte_carlo
+    out["analysis_exclusions"] = reranked
+    out["walk_forward_fit"] = walk_forward_fit
+    out["walk_forward_rating"] = lambda spark, sf_dir: R.overall(walk_forward_fit(spark, sf_dir))
     out["search_grid"] = lambda spark, sf_dir: search.grid_table(spark, SPACE)
     return out
 
@@ -208,6 +300,11 @@ def oracle_sql() -> dict[str, str]:
     out["legacy_candidate"] = _candidate_sql()
     out["backtest_concurrent"] = _concurrent_sql()
     out |= {n: _analysis_sql(n) for n in _statements("duckdb")}
+    out |= {n: _single_sql(n) for n in SINGLE}
+    out |= {"analysis_ranking": _ranking_sql(), "analysis_ten_rankings": _ten_sql(), "analysis_composite": f"{_trades_sql()} {_COMPOSITE_SQL}"}
+    merged = _MERGED.replace("{concat}", "concat(series, '/', trade_number)").format(trades="trades")
+    out["analysis_composite_monte_carlo"] = f"{_trades_sql()}, merged as ({merged}) {_statements('duckdb')['analysis_monte_carlo'].format(trades='merged')}"
+    out["analysis_exclusions"] = f"{_trades_sql()}, {_RESULTS_SQL}, q as (select series, round(profit_factor * 10 + win_rate * 0.5 + recovery_factor * 5 - max_dd * 0.01 + 1e-9, 6) as score from res where not (trades < 20 or max_consecutive_losses > 12 or win_rate < 30)) select series, score, row_number() over (order by score desc, series) as rank from q"
     rows = {k: ", ".join(f"({i}, '{v}')" for i, v in enumerate(vs)) for k, vs in SPACE.items()}
     tables = " cross join ".join(f"(values {r}) as d_{k}(i_{k}, {k})" for k, r in rows.items())
     out["search_grid"] = f"select cast(i_rr * 6 + i_breakout_bars * 2 + i_ema_length as bigint) as param_id, rr, breakout_bars, ema_length from {tables}"
