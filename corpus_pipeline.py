@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candleforge.llm import decontaminate, langid, ngram_join, packing
+from candleforge.llm import decontaminate, langid, ngram_join, packing, shared
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what each other stage keeps is written once to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    with shared.Scratch(spark) as scratch:
+        for _, stage in STAGES[:-1]:
+            docs = scratch.table(stage(spark, docs, sf_dir))
+        return shared.cut(STAGES[-1][1](spark, docs, sf_dir))
