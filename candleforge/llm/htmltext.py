@@ -1,9 +1,12 @@
 """Main text of web pages by composite text density.
 
 Every node of the parsed tree gets a density: its characters for each of its tags,
-lessened by its link characters and link tags (composite text density). The article is
-the node with the greatest sum of its children's densities; what else on the path from
-the body to it reaches the least density of that path belongs to it.
+lessened by its link characters and link tags (composite text density). Text of menus, footers,
+forms and the like counts as link text: elements, roles and names are features of the density.
+The node with the greatest sum of its children's densities is the heart of the article; from it on
+a single child that holds most of the sum is followed. The article is the ``article`` or ``main``
+element around it; without one, the heart and, on the path to the body, what reaches the least
+density of the path and a share of the heart's sum, and paragraphs, headings, lists and sections beside it.
 """
 
 from __future__ import annotations
@@ -24,198 +27,313 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-#: Elements that close an open element of the same row when they begin.
-CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
-SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",), "option": ("select",)}
-#: Elements, roles and names that are never part of an article.
-ASIDE = frozenset("nav header footer aside form button dialog menu".split())
+#: Elements of text: beside the heart of an article, they belong to it.
+TEXTUAL = HEADINGS | frozenset("p ul ol dl blockquote pre table figure section details hgroup address center".split())
+#: Elements whose names say nothing, because they are parts of a text.
+PARTS = HEADINGS | frozenset("p blockquote pre li dd dt td th tr tbody figure figcaption caption summary".split())
+#: Elements and roles that are no part of an article, and names of such elements.
+ASIDE = frozenset("nav footer aside form button dialog menu".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-ASIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsbygoogle|banner|breadcrumbs?|comments?|comment\w*|cookies?|consent|disqus|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notice|notices|pagination|pager|popup|promo\w*|related|replies|respond|sharing|share|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
-)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_GAP = re.compile(r"[ \t\n\r\f\v ]+")
+ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertising adsbygoogle sponsor sponsors sponsored".split())
+COMMENTS = frozenset("comment comments commentlist commentform respond replies disqus".split())
+ASIDE_NAMES = ADVERTS | COMMENTS | frozenset("breadcrumb breadcrumbs cookie cookies consent footer gdpr menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promos promotion related share sharing sidebar skip social subscribe toolbar widget widgets".split())
+TOP_NAMES = frozenset("banner header masthead".split())
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: The parts of a tag: its name, and an attribute without its quoted value.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(\s*/?>)?")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:(?=[\"'])|([^\s>]*)))?")
+_GAP = re.compile(r"\s+")
 #: The least divisor, for pages without links.
 LEAST_LOG = 0.1
+#: A child with this share of a sum of densities is followed.
+MOST = 0.6
+#: What else of the page is as dense and has this share of the heart's sum belongs to the article.
+PART = 0.25
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+_NOWHERE = {"p": None, "li": None, "dd": None, "td": None, "tr": None, "tbody": None}
 
 
 class Node:
-    __slots__ = ("attributes", "children", "chars", "density", "link_chars", "links", "parent", "tag", "tags", "total")
+    __slots__ = ("attributes", "block_depth", "chars", "children", "density", "depth", "in_article", "link_chars", "links", "noise", "parent", "scope", "tag", "tags", "total", "whole")
 
-    def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
+    def __init__(self, tag: str, parent: Node | None, attributes: dict[str, str]):
         self.tag, self.parent, self.attributes = tag, parent, attributes
         self.children: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.links = 0
         self.density = self.total = 0.0
-
-    def is_aside(self) -> bool:
-        if self.tag in ASIDE:
-            return not (self.tag == "header" and self._within("article", "main"))
-        if not self.attributes or self.tag in ("html", "body", "article", "main"):
-            return False
-        for name, *values in _ATTRIBUTE.findall(self.attributes):
-            name, value = name.lower(), "".join(values)
-            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ASIDE_ROLES):
-                return True
-            if name in ("class", "id") and ASIDE_NAME.search(value):
-                return True
-            if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        return False
-
-    def _within(self, *tags: str) -> bool:
-        node = self.parent
-        while node:
-            if node.tag in tags:
-                return True
-            node = node.parent
-        return False
+        self.noise = False
+        self.whole = tag in ("article", "main", "h1")
+        self.depth = parent.depth + 1 if parent else 0
+        self.block_depth = self.depth if tag in BLOCK or not parent else parent.block_depth
+        self.in_article = bool(parent) and (parent.in_article or parent.tag in ("article", "main"))
+        self.scope = _scope(tag, self, parent.scope if parent else _NOWHERE)
+
+    def names(self) -> set[str]:
+        return {x.lower() for k in ("class", "id") for x in _NAME.findall(self.attributes.get(k, ""))}
+
+
+def _scope(tag: str, node: Node, of: dict) -> dict:
+    """The open elements that a later tag may close, as seen from within ``node``."""
+    if tag == "p":
+        return of | {"p": node}
+    if tag == "li":
+        return of | {"li": node, "p": None}
+    if tag in ("dt", "dd"):
+        return of | {"dd": node, "p": None}
+    if tag in ("td", "th"):
+        return _NOWHERE | {"td": node, "tr": of["tr"], "tbody": of["tbody"]}
+    if tag == "tr":
+        return of | {"tr": node, "td": None}
+    if tag in ("thead", "tbody", "tfoot"):
+        return of | {"tbody": node, "tr": None, "td": None}
+    if tag == "table":
+        return _NOWHERE
+    if tag in ("ul", "ol", "menu", "dl"):
+        return of | {"li": None, "dd": None, "p": None}
+    return of | {"p": None} if tag in BLOCK and of["p"] else of
+
+
+class Tags:
+    """The tags of a page, each read once; no search is begun again for what isn't there."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.missing: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int, bool]:
+        """Attributes from ``at`` on, the place behind the tag's ``>`` and whether it ends with ``/``."""
+        page, found = self.page, {}
+        while (m := _ATTRIBUTE.match(page, at)) is not None:
+            name, at = m[1].lower(), m.end()
+            value = m[2] or ""
+            if m[2] is None and at < len(page) and page[at] in "\"'":
+                end = self.find(page[at], at + 1)
+                value = page[at + 1 : end] if end >= 0 else ""
+                after = page[end + 1 : end + 2]
+                if end < 0 or ("<" in value and ">" in value and after not in (">", "/", "") and not after.isspace()):
+                    end = page.find(">", at)  # the quote isn't closed: the tag ends at the next >
+                    value, at = page[at + 1 : end], end
+                    found.setdefault(name, value)
+                    break
+                at = end + 1
+            found.setdefault(name, value)
+        end = page.find(">", at)
+        return found, (end + 1 if end >= 0 else len(page)), end > 0 and page[end - 1] == "/"
 
 
 def parse(page: str) -> Node:
     """The tree of a page; missing ends and strays are repaired, raw elements and comments left out."""
-    root = Node("html", None)
-    at, here, open_tags = 0, root, {}
-
-    def close(node: Node) -> Node:
-        open_tags[node.tag] = open_tags.get(node.tag, 1) - 1
-        return node.parent
+    root = Node("html", None, {})
+    tags, here, opened = Tags(page), root, {}
+    at = text_from = 0
+
+    def text_to(end: int) -> None:
+        if end > text_from:
+            here.children.append(page[text_from:end])
+
+    def close(last: Node, node: Node) -> Node:
+        """The parent of ``node``, which is closed with all that is open within it."""
+        while True:
+            if opened.get(last.tag):
+                opened[last.tag].pop()
+            if last is node:
+                return node.parent
+            last = last.parent
 
     while True:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text:
-            here.children.append(text)
-        if not m:
+        at = tags.find("<", at)
+        if at < 0 or tags.find(">", at) < 0:  # what never ends is text
+            text_to(len(page))
             return root
-        at = m.end()
-        tag = m[2].lower() if m[2] else ""
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                here.children.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+        if page.startswith("<!--", at):
+            text_to(at)
+            end = tags.find("-->", at + 4) if not page.startswith("<!-->", at) else at + 2
+            at = text_from = end + 3 if end >= 0 else len(page)
+            continue
+        m = _TAG.match(page, at)
+        if not m:
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                text_to(at)
+                at = text_from = page.find(">", at) + 1
+            else:
+                at += 1
             continue
+        text_to(at)
+        tag = m[2].lower()
+        if m[3]:
+            attributes, at, empty = {}, m.end(), m[3].endswith("/>")
+        else:
+            attributes, at, empty = tags.attributes(m.end())
+        text_from = at
         if m[1]:
-            if open_tags.get(tag, 0) > 0 and tag != "html":
-                while here.tag != tag:
-                    here = close(here)
-                here = close(here)
+            depths = opened.get(tag)
+            if depths and tag not in ("html", "body"):
+                if tag in BLOCK or tag == "a" or depths[-1].depth > here.block_depth:
+                    here = close(here, depths[-1])
             elif tag == "br":
-                here.children.append(Node("br", here))
+                here.children.append(Node("br", here, {}))
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                end = _ENDS[tag].search(page, at)
-                at = page.find(">", end.end()) + 1 or len(page) if end else len(page)
-            continue
-        if tag in ("html", "head"):
+            if not (empty and tag in ("svg", "math")):
+                end = _ENDS[tag].search(page, at) if f"</{tag}" not in tags.missing else None
+                if end is None:
+                    tags.missing.add(f"</{tag}")
+                at = text_from = (page.find(">", end.end()) + 1 or len(page)) if end else len(page)
             continue
-        if tag == "body" and open_tags.get("body"):
+        if tag in ("html", "head") or (tag == "body" and opened.get("body")):
             continue
-        if tag in CLOSES or tag in BLOCK:
-            stop = SCOPE.get(tag, ())
-            targets = CLOSES.get(tag, ()) if tag in CLOSES else ()
-            if tag in BLOCK and open_tags.get("p", 0) > 0:
-                targets = (*targets, "p")
-            node, found = here, None
-            while node.parent and any(open_tags.get(t, 0) > 0 for t in targets):
-                if node.tag in stop or (node.tag in BLOCK and node.tag not in targets and node.tag != "p" and not stop):
-                    break
-                if node.tag in targets:
-                    found = node
-                node = node.parent
-            if found:
-                while here is not found:
-                    here = close(here)
-                here = close(here)
-        node = Node(tag, here, m[3])
+        if tag in BLOCK:
+            scope = here.scope
+            ends = [scope["p"]]
+            if tag == "li":
+                ends.append(scope["li"])
+            elif tag in ("dt", "dd"):
+                ends.append(scope["dd"])
+            elif tag in ("td", "th"):
+                ends.append(scope["td"])
+            elif tag == "tr":
+                ends += [scope["td"], scope["tr"]]
+            elif tag in ("thead", "tbody", "tfoot"):
+                ends += [scope["td"], scope["tr"], scope["tbody"]]
+            ends = [x for x in ends if x is not None]
+            if ends:
+                here = close(here, min(ends, key=lambda x: x.depth))
+        node = Node(tag, here, attributes)
         here.children.append(node)
-        if tag not in VOID and not (m[3].rstrip().endswith("/") and tag not in BLOCK and tag != "a"):
+        if tag not in VOID and not (empty and tag not in BLOCK and tag != "a"):
             here = node
-            open_tags[tag] = open_tags.get(tag, 0) + 1
+            opened.setdefault(tag, []).append(node)
 
 
-def _prune(root: Node) -> None:
-    stack = [root]
+def _order(root: Node) -> list[Node]:
+    """All nodes, parents first."""
+    order, stack = [], [root]
     while stack:
         node = stack.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not c.is_aside()]
+        order.append(node)
         stack += [c for c in node.children if not isinstance(c, str)]
+    return order
 
 
-def measure(root: Node) -> list[Node]:
+def _is_aside(node: Node, of_all: float) -> bool:
+    """Whether elements, roles or names speak against a node; ``of_all`` is its share of the page's text."""
+    tag, given = node.tag, node.attributes
+    if tag in ("body", "main", "html"):
+        return False
+    if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(given.get("style", "")):
+        return True
+    wraps = node.whole and of_all > 0.5  # most of the page and its article or title
+    if given.get("role", "").lower() in ASIDE_ROLES or (tag in ASIDE and not (tag == "form" and wraps)):
+        return True
+    names = node.names()
+    if tag == "article":
+        return bool(names & COMMENTS) and not wraps
+    if (tag == "header" or names & TOP_NAMES) and tag not in PARTS and not wraps:
+        # the header of an article holds its title; that of a page stands in the body
+        if not (node.in_article and tag == "header") and not (node.whole and (node.in_article or node.parent.tag != "body")):
+            return True
+    if tag in PARTS:
+        return bool(names & ADVERTS)
+    return bool(names & ASIDE_NAMES) and not wraps and not (node.in_article and node.whole)
+
+
+def measure(body: Node, hints: bool = True) -> list[Node]:
     """All nodes, parents first, with composite text densities and the sums of their children's."""
-    order, stack = [], [(root, False)]
-    while stack:
-        node, linked = stack.pop()
-        order.append(node)
-        linked = linked or node.tag == "a"
-        own = sum(len(_GAP.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
-        node.chars, node.link_chars = own, own if linked else 0
-        node.tags, node.links = 0, 0
-        stack += [(c, linked) for c in node.children if not isinstance(c, str)]
+    order = _order(body)
+    own = [sum(len(_GAP.sub(" ", c).strip()) for c in node.children if isinstance(c, str)) for node in order]
+    for node, n in zip(order, own, strict=True):
+        node.chars = n
     for node in reversed(order):
-        if node.parent:
+        if node is not body:
             node.parent.chars += node.chars
+            node.parent.whole = node.parent.whole or node.whole
+    for node in order:
+        node.noise = (node is not body and node.parent.noise) or (hints and _is_aside(node, node.chars / max(1, body.chars)))
+    linked: dict[int, bool] = {}
+    for node, n in zip(order, own, strict=True):
+        linked[id(node)] = node.noise or node.tag == "a" or (node is not body and linked[id(node.parent)])
+        node.link_chars = n if linked[id(node)] else 0
+    for node in reversed(order):
+        if node is not body:
             node.parent.link_chars += node.link_chars
             node.parent.tags += node.tags + 1
-            node.parent.links += node.links + (node.tag == "a")
-    share = root.link_chars / max(1, root.chars)
+            node.parent.links += node.links + (node.tag == "a" or node.noise)
+    share = body.link_chars / max(1, body.chars)
     for node in order:
-        c, t, linked, links = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.links)
+        c, t, bound, links = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.links)
         if c:
             base = math.log(c / max(1, c - node.link_chars) * node.link_chars + share * c + math.e)
-            node.density = c / t * max(0.0, math.log(c / linked * t / links)) / max(LEAST_LOG, math.log(base))
+            node.density = c / t * max(0.0, math.log(c / bound * t / links)) / max(LEAST_LOG, math.log(base))
     for node in order:
-        if node.parent and node.tag in BLOCK:  # the parts of a paragraph don't compete with it
+        if node is not body and node.tag in BLOCK:  # the parts of a paragraph don't compete with it
             node.parent.total += node.density
     return order
 
 
-def main_nodes(root: Node) -> list[Node | str]:
-    """The node of the greatest density sum and what else on the way down to it is as dense as the path.
-
-    The threshold is the least density on the path from the body to that node; of the
-    path's other children those stay that reach it, or are headings, and aren't mostly links.
-    """
-    body = next((c for c in root.children if not isinstance(c, str) and c.tag == "body"), root)
-    body.parent = None
-    best = max(measure(body), key=lambda n: n.total)
-    path = [best]
-    while path[-1].parent:
+def _heart(order: list[Node]) -> Node:
+    """The node of the greatest sum of densities, or the only child that holds most of it."""
+    heart = max(order, key=lambda n: n.total)
+    while True:
+        follow = next((c for c in heart.children if not isinstance(c, str) and c.tag in BLOCK and c.density > MOST * heart.total), None)
+        if follow is None or not heart.total:
+            return heart
+        heart = follow
+
+
+def main_nodes(root: Node, hints: bool = True) -> list[Node | str]:
+    """The parts of the page that are its article, in page order; noise within them is left to :func:`blocks`."""
+    body = next((c for c in root.children if not isinstance(c, str) and c.tag == "body"), None)
+    if body is None or any(c is not body for c in root.children if (c.strip() if isinstance(c, str) else c.tag not in VOID)):
+        body = root
+    heart = _heart(measure(body, hints))
+    path = [heart]
+    while path[-1] is not body:
         path.append(path[-1].parent)
-    least = min(n.density for n in path)
-    out: list[Node | str] = []
-
-    def gather(node: Node) -> None:
-        for c in node.children:
-            if c is best:
-                out.append(c)
-            elif isinstance(c, str):
-                out.append(c)
-            elif c in path:
-                gather(c)
-            elif c.chars and (c.density >= least or c.tag in HEADINGS) and 3 * c.link_chars <= c.chars:
-                out.append(c)
-
-    if best is body:
+    if hints:
+        for kinds in (("article",), ("main",)):
+            around = next((x for x in path if x.tag in kinds or x.attributes.get("role", "").lower() in kinds), None)
+            if around is not None:
+                return [around]
+    if heart is body:
         return [body]
-    # the path is followed with a stack of its own only as deep as the page nests
-    gather_from = list(reversed(path))
-    if len(gather_from) > 500:
-        return [best]
-    gather(gather_from[0])
-    return out
+    least = min(n.density for n in path[:-1])
+    # what stands before and behind the path at each level, from the body inwards
+    before: list[Node | str] = []
+    behind: list[list[Node | str]] = []
+    for level in range(len(path) - 1, 0, -1):
+        parent, down, after = path[level], path[level - 1], False
+        later: list[Node | str] = []
+        for c in parent.children:
+            if c is down:
+                after = True
+                continue
+            if not isinstance(c, str):
+                title = (c.tag in HEADINGS or c.tag == "header") and not heart.whole
+                beside = (parent is not body or down.tag in TEXTUAL) and (c.tag in TEXTUAL or c.tag not in BLOCK)
+                if not c.chars or c.noise or not (title or beside or (c.density >= least and max(c.total, c.density) >= PART * heart.total)):
+                    continue
+                if 3 * c.link_chars > 2 * c.chars and c.tag in BLOCK:
+                    continue
+            (later if after else before).append(c)
+        behind.append(later)
+    return [*before, heart, *(c for later in reversed(behind) for c in later)]
 
 
 def blocks(nodes: list[Node | str]) -> list[str]:
-    """The texts of the blocks of ``nodes`` in page order, white space within each as one space."""
+    """The texts of the blocks of ``nodes`` in page order without noise, white space within each as one space."""
     out, now = [], []
 
     def flush() -> None:
-        text = _GAP.sub(" ", re.sub(r"\s+", " ", "".join(now))).strip()
+        text = _GAP.sub(" ", "".join(now)).strip()
         if text:
             out.append(text)
         now.clear()
@@ -229,7 +347,7 @@ def blocks(nodes: list[Node | str]) -> list[str]:
             now.append(entities.unescape(x))
         elif x.tag == "br":
             now.append(" ")
-        else:
+        elif not x.noise:
             if x.tag in BLOCK:
                 flush()
                 stack.append(None)
@@ -238,13 +356,15 @@ def blocks(nodes: list[Node | str]) -> list[str]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The article of ``page``; empty without one (or without a page)."""
+def main_text(page: str | None, hints: bool = True) -> str:
+    """The article of ``page``; empty without one (or without a page).
+
+    Without ``hints`` the density alone decides, whatever elements, roles and names say.
+    A page of any length or depth is read in linear time.
+    """
     if not page:
         return ""
-    root = parse(page)
-    _prune(root)
-    return "\n\n".join(blocks(main_nodes(root)))
+    return "\n\n".join(blocks(main_nodes(parse(page), hints)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
