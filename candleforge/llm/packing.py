@@ -1,7 +1,8 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
 Documents longer than the greatest length are cut into pieces; nothing is dropped.
-Rows are dealt evenly to shards of a bounded number of rows and each shard is packed:
+Pieces are dealt to shards by a hash of id, piece and length; a shard is sorted by them and packed in
+runs of a bounded number of pieces, so that the bins depend on the rows alone, not on how Spark reads them:
 by falling length, every piece goes to the open bin that it leaves the least room
 in; if none has room, a bin is opened of the length that costs least for what can
 still fill it. This is done for several rules for opening, the cheapest packing is
@@ -87,18 +88,27 @@ def pack(lengths: np.ndarray, capacities: Mapping[int, float] = CAPACITIES) -> t
 _BINS = "bin_id long, capacity int, used int, doc_id long, piece int, piece_start long, piece_length int"
 
 
-def _pack_shard(capacities: Mapping[int, float]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = list(batches)  # a shard: SHARD_ROWS rows of three numbers, or few more
-        rows = pa.Table.from_batches(given) if given else None
-        if not rows or not rows.num_rows:
-            return
-        length = rows.column("piece_length").to_numpy()
-        where, used, final = pack(length, capacities)
-        base = TaskContext.get().partitionId() << 32
+def _pack_shard(capacities: Mapping[int, float], most: int):
+    def packed(given: list[pa.RecordBatch], base: int) -> pa.Table:
+        rows = pa.Table.from_batches(given)
+        where, used, final = pack(rows.column("piece_length").to_numpy(), capacities)
         order = np.lexsort((np.arange(len(where)), where))
         table = pa.table({"bin_id": pa.array(where + base), "capacity": pa.array(final[where], pa.int32()), "used": pa.array(used[where], pa.int32()), **{n: rows.column(n) for n in ("doc_id", "piece", "piece_start", "piece_length")}})
-        yield from table.take(pa.array(order)).to_batches(max_chunksize=10_000)
+        return table.take(pa.array(order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, held, n = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            while n + batch.num_rows >= most:  # a full run of the shard
+                held.append(batch.slice(0, most - n))
+                batch = batch.slice(most - n)
+                yield from (table := packed(held, base)).to_batches(max_chunksize=10_000)
+                base, held, n = table.column("bin_id")[-1].as_py() + 1, [], 0
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+        if held:
+            yield from packed(held, base).to_batches(max_chunksize=10_000)
 
     return run
 
@@ -108,7 +118,8 @@ def pack_documents(docs: DataFrame, length, capacities: Mapping[int, float] = CA
 
     ``length`` is a column of the lengths of ``docs``; null or less than 1 counts
     as 1 (the end mark). Null ids and repeated rows are packed like others; a table
-    without rows gives no bins. Equal lengths keep the order in which they are dealt.
+    without rows gives no bins. Equal lengths keep the order of id (nulls first) and piece. Columns other than
+    the id and those of ``length`` aren't read. Texts of any length are packed whole, in as many pieces as it takes.
     """
     greatest = max(capacities)
     size = F.greatest(F.coalesce(length.cast("long"), F.lit(1)), F.lit(1))
@@ -117,7 +128,8 @@ def pack_documents(docs: DataFrame, length, capacities: Mapping[int, float] = CA
     start = F.col("piece").cast("long") * greatest
     pieces = pieces.select("doc_id", "piece", start.alias("piece_start"), F.least(F.col("size") - start, F.lit(greatest)).cast("int").alias("piece_length"))
     shards = max(1, -(-docs.count() // shard_rows))
-    return pieces.repartition(shards).mapInArrow(_pack_shard(dict(capacities)), _BINS)
+    keys = ["doc_id", "piece", "piece_length"]
+    return pieces.repartition(shards, *keys).sortWithinPartitions(*keys).mapInArrow(_pack_shard(dict(capacities), shard_rows), _BINS)
 
 
 def word_length(text: str = "text"):
