@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, cut
@@ -84,16 +84,71 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], kind), pa.array([f[2] for f in found], pa.list_(pa.int64()))], names=["conv_id", "turn", "role", "text", "quotes", "own"])
 
 
+#: Turns of a conversation that are ordered together; longer runs of one passage or of replies to one message are ordered by such pieces.
+PIECE = 1024
+
+
+def _last_before(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``found``, the greatest ``source`` of a row of the same ``keys`` at an earlier ``turn``.
+
+    The rows of a key are split by pieces of turns: within a piece a window carries the
+    source, and from piece to piece only a row a piece is carried.
+    """
+    rows = rows.withColumn("piece", F.floor(F.col("turn") / PIECE))
+    carried = rows.groupBy(*keys, "piece").agg(F.max("source").alias("most"))
+    earlier = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = carried.select(*keys, "piece", F.max("most").over(earlier).alias("carried"))
+    within = Window.partitionBy(*keys, "piece").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("found", F.max("source").over(within)).join(carried, [*keys, "piece"]).withColumn("found", F.coalesce("found", "carried")).drop("piece", "carried")
+
+
+def _next_sibling(links: DataFrame) -> DataFrame:
+    """``conv_id, turn, reply_to, next``: the next turn that replies to the same message, by pieces as above."""
+    rows = links.select("conv_id", "turn", "reply_to", F.floor(F.col("turn") / PIECE).alias("piece"))
+    first = rows.groupBy("conv_id", "reply_to", "piece").agg(F.min("turn").alias("first"))
+    first = first.select("conv_id", "reply_to", "piece", F.lead("first").over(Window.partitionBy("conv_id", "reply_to").orderBy("piece")).alias("later"))
+    rows = rows.withColumn("next", F.lead("turn").over(Window.partitionBy("conv_id", "reply_to", "piece").orderBy("turn")))
+    return rows.join(first, ["conv_id", "reply_to", "piece"]).select("conv_id", "turn", "reply_to", F.coalesce("next", "later").alias("next"))
+
+
+def _places(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``conv_id, turn, place``: a message's place in the reply order of its thread, counted from 0.
+
+    In this order a message is followed by its first reply, or else by the next reply to
+    the nearest message above that has one. The list is ranked by doubling steps.
+    """
+    step = scratch.table(_next_sibling(links).select("conv_id", "turn", F.coalesce("next", "reply_to").alias("to"), F.col("next").isNotNull().alias("done")))
+    while not step.where("not done").isEmpty():  # who has no next sibling takes that of the message above
+        up = step.select("conv_id", F.col("turn").alias("to"), F.col("to").alias("up"), F.col("done").alias("up_done"), F.lit(True).alias("known"))
+        got = step.join(up, ["conv_id", "to"], "left")
+        step = scratch.table(got.select("conv_id", "turn", F.when(F.col("done"), F.col("to")).otherwise(F.col("up")).alias("to"), (F.col("done") | F.coalesce("up_done", ~F.coalesce("known", F.lit(False)))).alias("done")))
+    first = links.groupBy("conv_id", "reply_to").agg(F.min("turn").alias("first")).withColumnRenamed("reply_to", "turn")
+    every = links.select("conv_id", "turn").union(links.select("conv_id", "reply_to")).distinct()
+    ahead = every.join(first, ["conv_id", "turn"], "left").join(step, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("first", "to").alias("next"))
+    ahead = scratch.table(ahead.withColumn("n", F.col("next").isNotNull().cast("long")))
+    while not ahead.where("next is not null").isEmpty():
+        after = ahead.select("conv_id", F.col("turn").alias("next"), F.col("next").alias("then"), F.col("n").alias("more"))
+        ahead = scratch.table(ahead.join(after, ["conv_id", "next"], "left").select("conv_id", "turn", F.col("then").alias("next"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+    return ahead.select("conv_id", "turn", "n")
+
+
+def _unmarked(text: Column) -> Column:
+    """Text in which no control mark can be read."""
+    return F.replace(text, F.lit("<|"), F.lit("<\\|"))
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """A row a message: ``conv_id, turn, role, text, reply_to, thread_turn, depth, n_quotes, n_linked, links, formatted``.
+    """A row a message: ``conv_id, turn, role, text, reply_to, thread_turn, place, depth, n_quotes, n_linked, links, formatted``.
 
     ``text`` is without quotes, ``reply_to`` the turn replied to (null if nothing quoted is
     found). ``n_quotes`` counts the quoted passages of all levels, ``links`` names the turns they are
     from, each once a level (``level, source``, sorted), and ``n_linked`` counts these turns, each
-    once. ``thread_turn`` is the first turn of its thread and ``depth`` the replies between. The
-    order of a conversation is ``thread_turn, turn``. Null text is empty; rows without
+    once. ``thread_turn`` is the first turn of its thread, ``depth`` the replies between and ``place`` the
+    place in the thread's reply order, in which each message is followed by the replies to it. The
+    order of a conversation is ``thread_turn, place``. In ``formatted``, ``<|`` of role and text is escaped.
+    Null text is empty; rows without
     conversation or turn, and rows that repeat a turn, are kept; the latter share their
-    links. Other columns aren't read.
+    links and place. A table without rows gives none, and texts of any length are parsed whole. Other columns aren't read.
     """
     spark = messages.sparkSession
     given = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
@@ -105,8 +160,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         has = placed.select("conv_id", "turn", F.explode("own").alias("hash")).join(wanted, ["conv_id", "hash"], "left_semi").distinct()
         # one ordered pass over those that have a passage and those that quote it; no pairs
         both = has.select("conv_id", "hash", "turn", F.col("turn").alias("source"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("size")).union(asked.select("conv_id", "hash", "turn", F.lit(None).cast("long"), "level", "size"))
-        before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-        linked = both.withColumn("source", F.when(F.col("level").isNotNull(), F.last("source", ignorenulls=True).over(before))).where("level is not null and source is not null")
+        linked = _last_before(both, ["conv_id", "hash"]).where("level is not null and found is not null").withColumn("source", F.col("found"))
         best = F.max(F.struct(-F.col("level"), "size", "source")).getField("source")
         found = F.array_sort(F.collect_set(F.struct("level", "source")))
         links = scratch.table(linked.groupBy("conv_id", "turn").agg(best.alias("reply_to"), F.count_distinct("source").alias("n_linked"), found.alias("links")))
@@ -117,11 +171,13 @@ def link_quotes(messages: DataFrame) -> DataFrame:
             jumps = step.drop("moved")
             if step.where("moved").isEmpty():
                 break
-        out = parsed.join(links, ["conv_id", "turn"], "left").join(jumps, ["conv_id", "turn"], "left")
+        behind = _places(links.select("conv_id", "turn", "reply_to"), scratch)
+        out = parsed.join(links, ["conv_id", "turn"], "left").join(jumps, ["conv_id", "turn"], "left").withColumn("thread_turn", F.coalesce("root", "turn"))
+        out = out.join(behind, ["conv_id", "turn"], "left").join(behind.select("conv_id", F.col("turn").alias("thread_turn"), F.col("n").alias("whole")), ["conv_id", "thread_turn"], "left")
         out = out.select(
-            "conv_id", "turn", "role", "text", "reply_to", F.coalesce("root", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), F.size("quotes").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+            "conv_id", "turn", "role", "text", "reply_to", "thread_turn", F.coalesce(F.col("whole") - F.col("n"), F.lit(0)).alias("place"), F.coalesce("depth", F.lit(0)).alias("depth"), F.size("quotes").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
             F.coalesce("links", F.array().cast("array<struct<level:int,source:bigint>>")).alias("links"),
-            F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("text"), F.lit("\n")).alias("formatted"),
+            F.concat(F.lit("<|"), _unmarked(F.coalesce("role", F.lit("user"))), F.lit("|>\n"), _unmarked(F.col("text")), F.lit("\n")).alias("formatted"),
         )
         return cut(out)
 
