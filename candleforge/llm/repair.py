@@ -2,7 +2,8 @@
 
 Documents are dealt to shards by ranges of doc_id and encoded; a shard is a row of
 blocks in the order of doc_id. In each block the frequent pairs of neighbouring ids
-are replaced by nonterminals, again and again, never across a document's end.
+are replaced by nonterminals, thousands in a round, until no pair is left that is frequent, never
+across a document's end.
 
 File format (Parquet, a row a block): ``part, block`` give the order; ``payload`` are
 the symbols as little-endian unsigned 32-bit integers (16-bit if ``wide`` is
@@ -29,7 +30,7 @@ from .shingles import text_groups
 
 END = 2
 BLOCK = 1 << 20
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 5, 3000, 12
+RULES_A_ROUND, LEAST_COUNT = 3000, 12
 #: Words that an encoder remembers, and that go through the library at once.
 CACHE, AT_ONCE, JOINED = 1_000_000, 4096, 64
 
@@ -137,32 +138,35 @@ def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return ((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(13)
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, first_rule: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, starts: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(symbols, rules, lengths, starts)``: Re-Pair of ``ids``, whose documents begin at ``starts``.
 
     A round counts all neighbouring pairs, takes the most frequent and replaces
-    them from the left where they don't overlap.
+    them from the left where they don't overlap. Rounds end when no pair stands ``LEAST_COUNT`` times.
     """
     seq = ids.astype(np.uint32)
     head = np.zeros(len(seq) + 1, bool)
     head[starts] = True
     rules, lengths, known = [], [], first_rule
     length = np.ones(first_rule, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    every = False  # whether all buckets are looked through, because the fullest held no frequent pair
+    while len(seq) >= 2:
         bucket = _bucket(seq[:-1], seq[1:])
         count = np.bincount(bucket, minlength=_BUCKETS)
         # a pair is no oftener than its bucket, so the best pairs are in the fullest buckets
         full = np.cumsum(np.bincount(np.minimum(count, 4095), minlength=4096)[::-1])[::-1]  # buckets that are as full, or fuller
-        least = max(LEAST_COUNT, int(np.flatnonzero(full >= 2 * RULES_A_ROUND)[-1]))
+        least = LEAST_COUNT if every else max(LEAST_COUNT, int(np.flatnonzero(full >= 2 * RULES_A_ROUND)[-1]))
         at = np.flatnonzero((count >= least)[bucket] & ~head[1 : len(seq)])
         code = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
         pair, times = np.unique(code, return_counts=True)
         best = np.flatnonzero(times >= LEAST_COUNT)
         best = np.sort(best[np.argsort(-times[best], kind="stable")[:RULES_A_ROUND]])
         if not len(best):
-            break
+            if least == LEAST_COUNT:
+                break
+            every = True
+            continue
+        every = False
         pair, times = pair[best], times[best]
         left, right = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         own = _bucket(left, right)
