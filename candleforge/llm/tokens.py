@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK, OVERLAP = 200_000, 2_000
+CHUNK, OVERLAP = 50_000, 1_000
 LIMIT = 1024
 SPECIAL = "<|endoftext|>"
 
@@ -43,61 +43,69 @@ def default_encoding():
     return byte_encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
-#: A letter or mark of punctuation, one space, a letter: the pattern always begins a pre-token at that
-#: space, because no pre-token goes on from a non-space to a space, and none that begins with the
-#: space depends on what stands before it.
-_STABLE = re.compile(r"(?<=[^\s]) (?=[^\W\d_])")
+#: Behind a letter and before a space, a line's end or a mark of punctuation that begins no contraction and is in no
+#: special string, the pattern always begins a pre-token: none that has letters goes on behind them, and none
+#: that begins there depends on what stands before it. Scripts without spaces have such places too.
+_STABLE = re.compile(r"(?<=[^\W\d_])(?=[ \n]|[^\w\s'<|>\x00-\x1f\x7f-\x9f])")
+#: Characters at either end of an overlap in which no boundary is looked for.
+MARGIN = 16
 
 
-def token_offsets(encoding, text: str) -> tuple[list[int], np.ndarray]:
-    """Ids of ``text`` and the byte offset of each token's begin."""
-    ids = encoding.encode(text, allowed_special="all")
-    sizes = [len(encoding.decode_single_token_bytes(i)) for i in ids]
-    return ids, np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.int64) if ids else np.zeros(0, np.int64)
-
+@lru_cache(maxsize=4)
+def _token_sizes(encoding) -> np.ndarray:
+    """Bytes of each token."""
+    sizes = np.zeros(encoding.n_vocab, np.int64)
+    for token in encoding.token_byte_values():
+        sizes[encoding.encode_single_token(token)] = len(token)
+    sizes[encoding.encode_single_token(SPECIAL)] = len(SPECIAL)
+    return sizes
 
-def splice_points(encoding, left: str, right: str, shared: int) -> tuple[int, int] | None:
-    """Numbers of tokens of ``left`` kept and of ``right`` dropped, so that the two meet at a stable boundary.
 
-    ``right`` begins with the last ``shared`` characters of ``left``. None if no
-    stable boundary in them is a token boundary of both.
-    """
-    begin = len(left) - shared
-    _, a = token_offsets(encoding, left)
-    _, b = token_offsets(encoding, right)
-    base = len(left[:begin].encode())
-    # the first and last quarter are context: a pre-token or special string reaching over the edge is never met
-    for m in _STABLE.finditer(right, shared // 4, max(shared // 4, shared - shared // 4)):
-        at = len(right[: m.start()].encode())
-        i, j = int(np.searchsorted(a, base + at)), int(np.searchsorted(b, at))
-        if i < len(a) and j < len(b) and a[i] == base + at and b[j] == at:
-            return i, j
-    return None
+def token_offsets(encoding, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of ``text`` and the byte offset of each token's begin."""
+    ids = np.array(encoding.encode(text, allowed_special="all"), np.int64)
+    ends = np.cumsum(_token_sizes(encoding)[ids])
+    return ids, np.concatenate(([0], ends))[:-1] if len(ids) else np.zeros(0, np.int64)
 
 
 def encode_long(encoding, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Ids of ``text``, equal to encoding it at once, with memory for offsets of one chunk only."""
+    """Ids of ``text``, equal to encoding it at once, with memory for offsets of two chunks only.
+
+    A chunk without a stable boundary is doubled, so that the work stays in proportion to the text.
+    """
     if len(text) <= chunk + overlap:
         return encoding.encode(text, allowed_special="all")
     out: list[int] = []
     skip, begin, end = 0, 0, chunk
+    ids, at = token_offsets(encoding, text[:end])
     while end < len(text):
-        width = overlap
-        while True:
-            width = min(width, end - begin)
-            stop = min(len(text), end - width + chunk)
-            left, right = text[begin:end], text[end - width : stop]
-            got = splice_points(encoding, left, right, width)
-            if got or width == end - begin:
-                break
-            width *= 4  # alignment failed: widen
-        if got is None:  # no stable boundary in the whole chunk: lengthen it
-            end = min(len(text), end + chunk)
+        width, got = min(overlap, end - begin), None
+        while got is None:
+            first = end - width
+            places = _STABLE.finditer(text, first + MARGIN, max(first + MARGIN, end - MARGIN))
+            if (place := next(places, None)) is not None:
+                stop = min(len(text), first + max(chunk, 2 * width))
+                right_ids, right_at = token_offsets(encoding, text[first:stop])
+                base, begins = len(text[begin:first].encode()), len(text[first : place.start()].encode())
+                while place is not None:
+                    i, j = int(np.searchsorted(at, base + begins)), int(np.searchsorted(right_at, begins))
+                    if i < len(at) and j < len(right_at) and at[i] == base + begins and right_at[j] == begins:
+                        got = i, j
+                        break
+                    last = place.start()
+                    if (place := next(places, None)) is not None:
+                        begins += len(text[last : place.start()].encode())
+            if got is None:
+                if width == end - begin:
+                    break
+                width = min(4 * width, end - begin)  # alignment failed: widen
+        if got is None:  # no stable boundary in the whole chunk
+            end = min(len(text), begin + 2 * (end - begin))
+            ids, at = token_offsets(encoding, text[begin:end])
             continue
-        keep, drop = got
-        out += encoding.encode(left, allowed_special="all")[skip:keep]
-        skip, begin, end = drop, end - width, stop
-    return out + encoding.encode(text[begin:], allowed_special="all")[skip:]
+        out += ids[skip : got[0]].tolist()
+        skip, begin, end, ids, at = got[1], first, stop, right_ids, right_at
+    return out + ids[skip:].tolist()
 
 
 def count_tokens(texts: list[str | None], chunk: int = CHUNK) -> np.ndarray:
