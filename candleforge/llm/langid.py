@@ -4,7 +4,8 @@ Subwords are the byte 3- and 4-grams of the lower-cased text, in which ASCII
 characters other than letters count as spaces; they are hashed to ``BUCKETS``
 embeddings. A text's vector is the mean over all its subwords, and a linear
 layer with softmax gives the language. Embeddings and layer are trained with
-stochastic gradient descent in numpy on a bounded, stratified sample; a part of the
+stochastic gradient descent in numpy on a bounded, stratified sample of rows, whose whole texts
+the executors turn into bags of buckets; a part of the
 sample is held back to calibrate the softmax temperature and the rejection.
 
 Since the layer is linear, embedding and layer are folded into one table of a row
@@ -27,15 +28,15 @@ from .shingles import text_groups
 
 BUCKETS = 1 << 15
 DIM = 16
-#: The documented bounds of what is fitted: sampled rows a language, characters of each, languages.
-SAMPLE_ROWS, SAMPLE_CHARS, MOST_LANGUAGES = 1500, 1500, 200
+#: The documented bounds of what is fitted: sampled rows a language, and of all languages (but ``LEAST_ROWS`` of each).
+SAMPLE_ROWS, SAMPLE_TOTAL, LEAST_ROWS = 800, 40_000, 20
 #: Share of calibration texts that each of the two rejection rules may refuse.
 REFUSED = 0.001
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[:128] = 32
 _LOWER[97:123] = np.arange(97, 123)
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _PAD = b"    "
 
 
@@ -63,13 +64,13 @@ class Model:
         out = np.zeros((len(texts), width))
         step = 1 << 20
         for lo, hi in text_groups(texts, step):
-            buf = np.frombuffer(_PAD.join([b"", *texts[lo:hi], b""]), np.uint8)
+            buf = np.frombuffer(_PAD.join([b"", *texts[lo:hi], b""]), np.uint8)[:-1]  # the last text has no more grams than others
             size = np.array([len(t) + len(_PAD) for t in texts[lo:hi]])
-            if hi - lo == 1:  # possibly very long: summed in steps
-                total = sum(self.table[h].sum(axis=0, dtype=np.float64) for at in range(0, len(buf) - 3, step) for h in _buckets(buf[at : at + step + 3]))
-            else:
-                starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-                total = sum(np.add.reduceat(self.table[h], starts, axis=0) for h in _buckets(buf))
+            starts = np.concatenate(([0], np.cumsum(size)[:-1])) if hi - lo > 1 else np.zeros(1, np.int64)
+            total = np.zeros((hi - lo, width))
+            for at in range(0, len(buf) - 3, step if hi - lo == 1 else len(buf)):  # a text that stands alone may be very long
+                for h in _buckets(buf[at : at + step + 3] if hi - lo == 1 else buf):
+                    total += np.add.reduceat(self.table[h], starts, axis=0, dtype=np.float64)
             out[lo:hi] = total / (2 * size)[:, None]
         return out[:, :-1] + self.bias, np.minimum(out[:, -1], 1.0)
 
@@ -80,18 +81,34 @@ class Model:
         return z / z.sum(axis=1, keepdims=True), known
 
 
-def train(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 0.1, seed: int = 11) -> Model:
-    """Fit on the texts given; every fifth is kept for calibration."""
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; circled or superscript numerals and the like are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
+#: The buckets of a text and the share of its subwords that each has.
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bag(text: bytes, step: int = 1 << 20) -> Bag:
+    """The bag of a whole (lower-cased) text of any length."""
+    buf = np.frombuffer(_PAD + text + _PAD, np.uint8)[:-1]
+    n = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(buf) - 3, step):
+        for h in _buckets(buf[at : at + step + 3]):
+            n += np.bincount(h, minlength=BUCKETS)
+    u = np.flatnonzero(n)
+    return u.astype(np.uint16), (n[u] / n.sum()).astype(np.float32)
+
+
+def train(bags: list[Bag], langs: list[str], epochs: int = 6, rate: float = 0.1, seed: int = 11) -> Model:
+    """Fit on the bags given; every fifth is kept for calibration."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
+    order = rng.permutation(len(bags))
     kept, fit = order[::5], np.concatenate([order[i::5] for i in range(1, 5)]) if len(order) >= 10 else order
-    y = np.array([names.index(x) for x in langs])
-    bags = []
-    for i in fit:
-        h = np.concatenate(_buckets(np.frombuffer(_PAD + texts[i] + _PAD, np.uint8)))
-        u, n = np.unique(h, return_counts=True)
-        bags.append((u, (n / n.sum()).astype(np.float32)))
+    place = {k: i for i, k in enumerate(names)}
+    y = np.array([place[x] for x in langs])
     E = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     W, b = np.zeros((DIM, len(names)), np.float32), np.zeros(len(names), np.float32)
     W += rng.normal(0, 0.1, W.shape).astype(np.float32)
@@ -99,14 +116,14 @@ def train(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 0
     weight = np.clip(len(fit) / np.maximum(1, rows) / len(names), 0.2, 5)
     steps, done = epochs * len(fit), 0
     for _ in range(epochs):
-        for k in rng.permutation(len(fit)):
+        for k in rng.permutation(fit):
             u, share = bags[k]
             x = share @ E[u]
             z = x @ W + b
             p = np.exp(z - z.max())
             p /= p.sum()
-            p[y[fit[k]]] -= 1
-            p *= rate * (1 - done / steps) * weight[y[fit[k]]]
+            p[y[k]] -= 1
+            p *= rate * (1 - done / steps) * weight[y[k]]
             step = W @ p
             W -= np.outer(x, p)
             b -= 0.1 * p
@@ -114,22 +131,26 @@ def train(texts: list[bytes], langs: list[str], epochs: int = 6, rate: float = 0
             E[u] -= (share * min(len(u), 300))[:, None] * step
             done += 1
     seen = np.zeros(BUCKETS, np.float32)
-    for u, _ in bags:
-        seen[u] = 1
-    model = Model(names, np.concatenate((E @ W, seen[:, None]), axis=1).astype(np.float32), b.astype(float))
+    for k in fit:
+        seen[bags[k][0]] = 1
+    table = np.concatenate((E @ W, seen[:, None]), axis=1).astype(np.float32)
+    model = Model(names, table, b.astype(float))
     check = kept if len(order) >= 10 else order
-    z, known = model.logits([texts[i] for i in check])
+    if not len(check):
+        return model
+    z = np.stack([share @ table[u] for u, share in (bags[k] for k in check)]).astype(float)
+    z, known = z[:, :-1] + model.bias, z[:, -1]
     loss = []
     grid = np.geomspace(0.05, 50, 60)
     for t in grid:
         s = z / t
         s = s - s.max(axis=1, keepdims=True)
-        loss.append(float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(check)), y[check]])) if len(check) else 0.0)
+        loss.append(float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(check)), y[check]])))
     model.temperature = float(grid[int(np.argmin(loss))])
-    if len(check):
-        p, known = model.scores([texts[i] for i in check])
-        model.least_score = float(min(0.4, np.quantile(p.max(axis=1), REFUSED)))
-        model.least_known = float(0.8 * np.quantile(known, REFUSED))
+    p = np.exp((z - z.max(axis=1, keepdims=True)) / model.temperature)
+    p /= p.sum(axis=1, keepdims=True)
+    model.least_score = float(min(0.4, np.quantile(p.max(axis=1), REFUSED)))
+    model.least_known = float(0.8 * np.quantile(known, REFUSED))
     return model
 
 
@@ -138,24 +159,30 @@ def held_out(id_column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
-    """Train on about ``rows`` documents a language, chosen by a hash of the id, a window of ``chars`` characters of each.
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = [bag(t) for t in pc.utf8_lower(batch.column(2)).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([u.tobytes() for u, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary())], names=["doc_id", "lang", "u", "share"])
+
+
+def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL) -> Model | None:
+    """Train on about ``rows`` documents a language, chosen by a hash of the id, and about ``total`` of all.
 
-    None if there is no labelled row.
+    Whole texts are read; what comes to the driver is a bag a row, of 6 bytes a distinct
+    bucket. None if there is no labelled row.
     """
     usable = docs.where("doc_id is not null and text is not null and lang is not null and trim(lang) <> ''").where(~held_out())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
+    rows = max(LEAST_ROWS, min(rows, total // len(counts)))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30))
-    below = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(min(1.0, rows / n) * (1 << 30)))) for k, n in counts.items()], F.lit(0))
-    start = F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int")
-    sample = usable.where(draw < below).select("doc_id", "lang", F.substring(F.col("text"), start, F.lit(chars)).alias("text"))
-    got = sorted(sample.limit(2 * rows * len(counts)).collect(), key=lambda r: (r["doc_id"], r["text"]))
+    share = docs.sparkSession.createDataFrame([(k, int(min(1.0, rows / n) * (1 << 30))) for k, n in counts.items()], "lang string, below long")
+    sample = usable.select("doc_id", "lang", "text", draw.alias("draw")).join(F.broadcast(share), "lang").where("draw < below").select("doc_id", "lang", "text")
+    got = sorted(sample.mapInArrow(_bags, "doc_id long, lang string, u binary, share binary").limit(2 * rows * len(counts)).collect())
     if not got:
         return None
-    lowered = pc.utf8_lower(pa.array([r["text"] for r in got], pa.string())).cast(pa.binary()).to_pylist()
-    return train(lowered, [r["lang"] for r in got])
+    return train([(np.frombuffer(r["u"], np.uint16), np.frombuffer(r["share"], np.float32)) for r in got], [r["lang"] for r in got])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -167,7 +194,7 @@ def _predict(model: Model | None):
         for batch in _slices(batches):
             texts = batch.column(1)
             plain = texts.to_pylist()
-            has = np.array([t is not None and _LETTER.search(t) is not None for t in plain], bool)
+            has = np.array([t is not None and has_letter(t) for t in plain], bool)
             del plain
             pred = np.full(len(has), "und", dtype=object)
             score, refused = np.zeros(len(has)), np.ones(len(has), bool)
@@ -206,7 +233,10 @@ def _keep(model: Model | None):
 
 
 def drop_unidentified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` without those that :func:`identify` rejects; columns and other rows as they are."""
+    """``docs`` without those that :func:`identify` rejects, null and letterless texts among them.
+
+    Columns and other rows stay as they are, rows without an id and repeated rows too.
+    """
     return docs.mapInArrow(_keep(model), docs.schema)
 
 
