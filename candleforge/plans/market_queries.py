@@ -35,7 +35,7 @@ FAMILIES: dict[str, list[str]] = {
     "ind_oscillators": "cci williams_r aroon_up aroon_down aroon_oscillator coppock_curve ttm_squeeze ttm_squeeze_release correlation_close_ema correlation_oscillator".split(),
     "ind_regression": "linreg_slope_atr_ratio linreg_angle_degrees linreg_value linreg_upper linreg_lower ha_bullish ha_bearish ha_strong_bullish ha_strong_bearish".split(),
 }
-#: Columns of the stateful kernels; beyond plain SQL.
+#: Columns of the stateful kernels.
 KERNEL_FAMILY = "supertrend_line supertrend_direction supertrend_flip_bullish supertrend_flip_bearish supertrend_rising supertrend_falling supertrend_consecutive_rising supertrend_consecutive_falling dist_close_supertrend dist_high_supertrend dist_low_supertrend parabolic_sar_line parabolic_sar_direction".split()
 
 HOURLY_SQL = """bars as (
@@ -43,6 +43,18 @@ select symbol, '1h' as timeframe, datetime, open, high, low, close, volume, row_
 from (select event_type as symbol, date_trunc('hour', ts) as datetime, first(value order by ts, event_id) as open, max(value) as high, min(value) as low, last(value order by ts, event_id) as close, cast(count(*) as double) as volume
 from events where ts is not null and value is not null group by 1, 2) b)"""
 
+#: Supertrend and parabolic stop by recursion over the bars, one definition apart from the kernels: a state a series and bar.
+KERNEL_SQL = """x as (select symbol, bar_index as i, high as h, low as l, close as c, lag(close) over w as pc, lag(high) over w as ph, lag(low) over w as pl, coalesce(lag(high, 2) over w, lag(high) over w) as pph, coalesce(lag(low, 2) over w, lag(low) over w) as ppl from bars window w as (partition by symbol order by bar_index)),
+state as (select symbol, i, h - l as atr, (h + l) / 2 + 3 * (h - l) as top, (h + l) / 2 - 3 * (h - l) as bottom, -1 as way, true as up, l as stop, h as best, 0.02e0 as af from x where i = 0
+union all select symbol, i, atr, case when a < top or pc > top then a else top end, case when b > bottom or pc < bottom then b else bottom end,
+  case when way < 0 and c > top then 1 when way > 0 and c < bottom then -1 else way end,
+  case when turned then not up else up end, case when turned then best else held end, case when turned then (case when up then l else h end) when further then (case when up then h else l end) else best end,
+  case when turned then 0.02e0 when further then least(af + 0.02e0, 0.2e0) else af end
+from (select *, (h + l) / 2 + 3 * atr as a, (h + l) / 2 - 3 * atr as b, case when up then l < held else h > held end as turned, case when up then h > best else l < best end as further
+from (select x.symbol, x.i, h, l, c, pc, way, up, best, af, top, bottom, atr + (greatest(h - l, abs(h - pc), abs(l - pc)) - atr) / 10 as atr, case when up then least(stop + af * (best - stop), pl, ppl) else greatest(stop + af * (best - stop), ph, pph) end as held
+from state join x on x.symbol = state.symbol and x.i = state.i + 1) y) z),
+kbars as (select b.*, case when way > 0 then bottom else top end as supertrend_10_3_0_line, cast(way as double) as supertrend_10_3_0_direction, stop as sar_0_02_0_02_0_2_line, case when up then 1e0 else -1e0 end as sar_0_02_0_02_0_2_direction from bars b join state s on s.symbol = b.symbol and s.i = b.bar_index)"""
+
 
 def family_plan(names: list[str], dialect: Dialect) -> tuple[Plan, dict[str, str]]:
     plan = Plan(dialect)
@@ -94,4 +106,6 @@ def oracle_sql() -> dict[str, str]:
     out["bars_check"] = f"""with {HOURLY_SQL}, s as (select *, date_diff('minute', lag(datetime) over (partition by symbol order by datetime), datetime) as step from bars)
 select symbol, count(*) as n_rows, min(datetime) as first, max(datetime) as last, count(*) filter (where step = 0) as n_repeated, count(*) filter (where high < greatest(open, close, low) or low > least(open, close)) as n_bad, count(*) filter (where step > 300) as n_gaps from s group by symbol"""
     out |= {k: _family_sql(v) for k, v in FAMILIES.items()}
+    plan, outputs = family_plan(KERNEL_FAMILY, DUCKDB)
+    out["ind_kernels"] = f"with recursive {HOURLY_SQL}, {KERNEL_SQL} {plan.sql('kbars', outputs)}"
     return out

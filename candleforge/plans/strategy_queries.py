@@ -17,7 +17,7 @@ from candleforge.operators.kernels import with_kernels
 from candleforge.operators.ordering import ranked
 from candleforge.plans import signals
 from candleforge.plans.conditions import Compiler, evaluate, parse
-from candleforge.plans.market_queries import HOURLY_SQL, hourly
+from candleforge.plans.market_queries import HOURLY_SQL, KERNEL_SQL, hourly
 
 TREES = {
     "tree_long": {"op": "AND", "children": [
@@ -173,14 +173,17 @@ def _analysis_sql(name: str) -> str:
 SPACE = {"rr": [1.0, 1.5, 2.0], "breakout_bars": [5, 10, 20], "ema_length": [100, 200]}
 
 
+SENSITIVE = {"direction": "long", "rr": 1.5, "sl_basis": "fixed_pips", "sl_fixed_pips": 60.0, "pip_size": 1.0}
+SENSITIVE_SPACE = {"rr": [1.0, 2.0, 2.5], "sl_fixed_pips": [40.0, 80.0]}
+
+
 def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One parameter changed at a time: how flat the profit factor stays, by parameter."""
-    base = {"direction": "long", "rr": 1.5, "sl_basis": "fixed_pips", "sl_fixed_pips": 60.0, "pip_size": 1.0}
-    variants = search.one_at_a_time(base, {"rr": [1.0, 2.0, 2.5], "sl_fixed_pips": [40.0, 80.0]})
-    named = {f"{k}|{v[k]}": Strategy.of(v) for k, v in variants} | {"base|": Strategy.of(base)}
+    variants = search.one_at_a_time(SENSITIVE, SENSITIVE_SPACE)
+    named = {f"{k}|{v[k]}": Strategy.of(v) for k, v in variants}
     trades = simulate(signalled(spark, sf_dir), named).select(F.col("param_id").alias("series"), "trade_number", "entry_time", "exit_time", "profit")
     x = A.run(A.SUMMARY, trades).withColumn("param", F.element_at(F.split("series", "\\|"), 1))
-    out = x.where("param <> 'base'").groupBy("param").agg(F.min("profit_factor").alias("pf_min"), F.max("profit_factor").alias("pf_max"))
+    out = x.groupBy("param").agg(F.min("profit_factor").alias("pf_min"), F.max("profit_factor").alias("pf_max"))
     return out.withColumn("flatness", F.round(F.coalesce(F.try_divide("pf_min", "pf_max"), F.lit(0.0)) * 100, 6))
 
 
@@ -239,18 +242,26 @@ y as (select t.*, w.n, (select {worst}(b.{against}) from sig b where b.symbol =
 z as (select y.*, {side} * b.{against} <= {side} * sl as stopped, {side} * b.{along} >= {side} * tp as reached from y join sig b on b.symbol = y.symbol and b.bar_index = y.x)
 select symbol, cast(n as bigint) as trade_number, '{direction}' as direction, g as signal_bar_index, k as entry_bar_index, round(entry, 5) as entry_price, x as exit_bar_index, round(case when stopped then sl else tp end, 5) as exit_price, round(sl, 5) as sl, round(tp, 5) as tp,
   case when stopped and reached then 'SL_and_TP_SL_first' when stopped then 'SL' else 'TP' end as exit_reason, round(round({side} * (case when stopped then sl else tp end - entry) - {cost}, 5) + 1e-9, 4) as profit,
-  round(round(greatest(0, {side} * (entry - worst)), 5) + 1e-9, 4) as mae, round(round(greatest(0, {side} * (best - entry)), 5) + 1e-9, 4) as mfe from z"""
+  round(round(greatest(0, {side} * (entry - worst)), 5) + 1e-9, 4) as mae, round(round(greatest(0, {side} * (best - entry)), 5) + 1e-9, 4) as mfe, round({side} * (case when stopped then sl else tp end - entry) - {cost}, 5) as exact from z"""
 
 
-def _single_sql(name: str) -> str:
-    s = SINGLE[name]
+def _single_sql(s: Strategy) -> str:
     c = Compiler(DUCKDB, pip=1.0)
     inner = c.plan.sql("bars", {k: c.tree(parse(v)) for k, v in SIGNALS.items()}, keys="symbol, bar_index, datetime, open, high, low")
     long = s.direction == "long"
-    body = _SINGLE_SQL.format(side=1 if long else -1, behind="s.low" if long else "s.high", against="low" if long else "high", along="high" if long else "low", worst="min" if long else "max", best="max" if long else "min", rr=s.rr, cost=s.cost, direction=s.direction, signal=f"{s.direction}_signal")
+    side = 1 if long else -1
+    behind = f"(e.open - {side} * {s.sl_fixed_pips * s.pip_size!r})" if s.sl_basis == "fixed_pips" else "s.low" if long else "s.high"
+    body = _SINGLE_SQL.format(side=side, behind=behind, against="low" if long else "high", along="high" if long else "low", worst="min" if long else "max", best="max" if long else "min", rr=s.rr, cost=s.cost, direction=s.direction, signal=f"{s.direction}_signal")
     return f"with recursive {HOURLY_SQL}, sig as ({inner}), {body}"
 
 
+def _sensitivity_sql() -> str:
+    trades = " union all ".join(f"select '{k}' as param, {v[k]!r} as value, exact as profit from ({_single_sql(Strategy.of(v))}) x" for k, v in search.one_at_a_time(SENSITIVE, SENSITIVE_SPACE))
+    gain, loss = "sum(case when profit > 0 then profit else 0e0 end)", "sum(case when profit < 0 then -profit else 0e0 end)"
+    factors = f"select param, value, round({A.factor(gain, loss)} + 1e-9, 6) as pf from ({trades}) t group by param, value"
+    return f"select param, min(pf) as pf_min, max(pf) as pf_max, round(coalesce(min(pf) / nullif(max(pf), 0), 0e0) * 100, 6) as flatness from ({factors}) f group by param"
+
+
 #: Rankings in standard SQL, from the statements of the result rows.
 _RESULTS_SQL = f"""res as (select s.*, k.max_consecutive_wins, k.max_consecutive_losses, y.score as year_stability, m.score as month_stability, round((y.score + m.score) / 2 + 1e-9, 6) as overall_stability, 0e0 as walk_forward_score
 from ({A.SUMMARY}) s join ({A.STREAKS}) k on k.series = s.series join ({A.STABILITY.format(unit="week", trades="{trades}")}) y on y.series = s.series join ({A.STABILITY.format(unit="day", trades="{trades}")}) m on m.series = s.series)""".format(trades="trades")
@@ -300,7 +311,11 @@ def oracle_sql() -> dict[str, str]:
     out["legacy_candidate"] = _candidate_sql()
     out["backtest_concurrent"] = _concurrent_sql()
     out |= {n: _analysis_sql(n) for n in _statements("duckdb")}
-    out |= {n: _single_sql(n) for n in SINGLE}
+    out |= {n: f"select * exclude (exact) from ({_single_sql(s)}) x" for n, s in SINGLE.items()}
+    out["analysis_sensitivity"] = _sensitivity_sql()
+    kernels = Plan(DUCKDB)
+    y = _signals(kernels, True)
+    out["legacy_signals_kernels"] = f"with recursive {HOURLY_SQL}, {KERNEL_SQL} {kernels.sql('kbars', y)}"
     out |= {"analysis_ranking": _ranking_sql(), "analysis_ten_rankings": _ten_sql(), "analysis_composite": f"{_trades_sql()} {_COMPOSITE_SQL}"}
     merged = _MERGED.replace("{concat}", "concat(series, '/', trade_number)").format(trades="trades")
     out["analysis_composite_monte_carlo"] = f"{_trades_sql()}, merged as ({merged}) {_statements('duckdb')['analysis_monte_carlo'].format(trades='merged')}"
