@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from math import log10
 
-from candleforge.operators.patterns import NAMES, STATES
+from candleforge.operators.patterns import NAMES, STATES, parameters
 
 from . import indicators as I
 from .compiler import Plan, flag
@@ -392,14 +394,17 @@ define("correlation_oscillator", lambda p, length=20: correlation(p, "close", p.
 # chart patterns
 
 
-def pattern(name: str, state: str) -> str:
-    """The column that :func:`candleforge.operators.kernels.with_kernels` adds for a pattern's state."""
+def pattern(name: str, state: str, **params: float) -> str:
+    """The column that :func:`candleforge.operators.kernels.with_kernels` adds for a pattern's state; ``params`` are its detector's."""
     if state not in STATES:
         raise ValueError(f"unknown state: {state}")
+    given = {k: type(v)(params.get(k, v)) for k, v in parameters(name).items()}
     column = f"pattern_{name}_{state}"
-    I.KERNELS[column] = ("pattern", {"name": name, "state": state})
+    if given != parameters(name):
+        column += f"_{zlib.crc32(json.dumps(given, sort_keys=True).encode()):08x}"
+    I.KERNELS[column] = ("pattern", {"name": name, "state": state, "params": given})
     return column
 
 
 for _n in NAMES:
-    define(_n, lambda p, state="confirmed", _n=_n: pattern(_n, state))
+    define(_n, _with_defaults({"state": "confirmed", **parameters(_n)}, lambda p, _n=_n, **params: pattern(_n, **params)))

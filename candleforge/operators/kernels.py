@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from candleforge.functions.indicators import KERNELS
-from candleforge.operators.patterns import events
+from candleforge.operators.patterns import FAMILY, events
 
 
 def wilder(x: np.ndarray, n: int) -> np.ndarray:
@@ -86,12 +86,15 @@ def with_kernels(bars: DataFrame, wanted: str) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("bar_index")
         h, l, c = (table.column(x).to_numpy() for x in ("high", "low", "close"))  # noqa: E741
-        if shapes:
-            found = events(h, l)
-            for name, params in shapes.items():
-                hit = np.zeros(len(c))
-                hit[[e[2] for e in found if e[0] == params["name"] and e[1] == params["state"]]] = 1
-                table = table.append_column(name, pa.array(hit))
+        done: dict[tuple, list[tuple]] = {}
+        for name, wanted in shapes.items():
+            family, params = FAMILY[wanted["name"]], wanted["params"]
+            key = (family, *params.items())
+            if key not in done:
+                done[key] = events(h, l, (family,), **params)
+            hit = np.zeros(len(c))
+            hit[[e[2] for e in done[key] if e[0] == wanted["name"] and e[1] == wanted["state"]]] = 1
+            table = table.append_column(name, pa.array(hit))
         for name, (kind, params) in lines.items():
             line, side = _PASSES[kind](h, l, c, **params)
             table = table.append_column(f"{name}_line", pa.array(line, from_pandas=True)).append_column(f"{name}_direction", pa.array(side, from_pandas=True))

@@ -9,6 +9,7 @@ published descriptions of the families; those of the shape family are kept to th
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -386,6 +387,8 @@ def shapes(high: np.ndarray, low: np.ndarray, length: int = 8, tolerance: float
 
 
 FAMILIES: tuple[Callable[..., Iterator[Found]], ...] = (double_zigzag, reversals, abcd, abc, impulses, channels, flags, shapes)
+#: How many names of :data:`NAMES`, in their order, each family has.
+_SIZES = (2, 6, 2, 2, 2, 13, 4, 21)
 #: Names of all patterns, by family.
 NAMES = (
     "double_top_zigzag double_bottom_zigzag triple_top triple_bottom cup_and_handle inverted_cup_and_handle head_and_shoulders inverse_head_and_shoulders abcd_bullish abcd_bearish abc_bullish abc_bearish impulse_wave_bullish impulse_wave_bearish "
@@ -394,6 +397,14 @@ NAMES = (
 ).split()
 
 
+FAMILY = dict(zip(NAMES, (f for f, n in zip(FAMILIES, _SIZES, strict=True) for _ in range(n)), strict=True))
+
+
+def parameters(name: str) -> dict[str, float]:
+    """What a pattern's detector can be given, with defaults."""
+    return {k: v.default for k, v in list(inspect.signature(FAMILY[name]).parameters.items())[2:]}
+
+
 def first_cross(x: np.ndarray, level: float, up: bool, start: int) -> int:
     """The first bar from ``start`` on where ``x`` crosses the level, or the number of bars."""
     n = len(x)
@@ -405,11 +416,11 @@ def first_cross(x: np.ndarray, level: float, up: bool, start: int) -> int:
     return n
 
 
-def events(high: np.ndarray, low: np.ndarray) -> list[tuple]:
-    """``(kind, status, bar, neck, limit, level, point bars, point prices)`` of every pattern, each found once."""
+def events(high: np.ndarray, low: np.ndarray, families: tuple[Callable[..., Iterator[Found]], ...] = FAMILIES, **params: float) -> list[tuple]:
+    """``(kind, status, bar, neck, limit, level, point bars, point prices)`` of every pattern of ``families``, each found once."""
     out, seen = [], set()
-    for family in FAMILIES:
-        for f in family(high, low):
+    for family in families:
+        for f in family(high, low, **params):
             key = (f.kind, tuple(b for b, _ in f.points))
             if key in seen:
                 continue

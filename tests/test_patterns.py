@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from candleforge.operators import patterns as C
+from candleforge.plans.conditions import evaluate
 from candleforge.plans.market_queries import hourly
 
 
@@ -60,6 +61,21 @@ def test_later_bars_change_nothing(more):
     assert sorted(map(str, short)) == sorted(map(str, long)) and len({e[0] for e in short}) >= 15
 
 
+def test_parameters_reach_the_detectors(spark):
+    assert {n: C.FAMILY[n].__name__ for n in ("double_top_zigzag", "triple_top", "abcd_bullish", "abc_bearish", "impulse_wave_bullish", "ranging_channel", "bearish_pennant", "bearish_flag_shape")} == {"double_top_zigzag": "double_zigzag", "triple_top": "reversals", "abcd_bullish": "abcd", "abc_bearish": "abc", "impulse_wave_bullish": "impulses", "ranging_channel": "channels", "bearish_pennant": "flags", "bearish_flag_shape": "shapes"}
+    bars = hourly(spark, "/root/testdata/sf0.01")
+    trees = {f"n{k}": {"indicator": "double_top_zigzag", "operator": "==", "value": 1.0, "params": {"state": "candidate", "length": k}} for k in (5, 10, 20)}
+    got = evaluate(bars, trees, pip=1.0).toPandas()
+    plain = evaluate(bars, {"n": {"indicator": "double_top_zigzag", "operator": "==", "value": 1.0, "params": {"state": "candidate"}}}, pip=1.0).toPandas()
+    assert got.n10.sum() == plain.n.sum() > 0 and got.n5.sum() > got.n10.sum() > got.n20.sum()
+    one = bars.where("symbol = 'click'").toPandas().sort_values("bar_index") if bars.where("symbol = 'click'").count() else bars.toPandas().sort_values(["symbol", "bar_index"])
+    first = one[one.symbol == one.symbol.iloc[0]]
+    want = {e[2] for e in C.events(first.high.to_numpy(), first.low.to_numpy(), (C.double_zigzag,), length=5) if e[0] == "double_top_zigzag" and e[1] == "candidate"}
+    assert set(np.flatnonzero(got[got.symbol == first.symbol.iloc[0]].sort_values("datetime").n5)) == want
+    with pytest.raises(ValueError):
+        evaluate(bars, {"x": {"indicator": "double_top_zigzag", "operator": "==", "value": 1.0, "params": {"unheard_of": 1}}}, pip=1.0)
+
+
 def test_columns(spark):
     bars = hourly(spark, "/root/testdata/sf0.01")
     found = C.detect(bars).groupBy("pattern_type", "status").count().collect()
