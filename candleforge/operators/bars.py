@@ -79,6 +79,23 @@ def checked(bars: DataFrame, gap: float = 5.0) -> DataFrame:
     )
 
 
+def faults(bars: DataFrame, gap: float = 5.0) -> DataFrame:
+    """A row for each fault of a series: ``symbol, timeframe, fault, datetime, before, minutes``.
+
+    ``repeated`` is a bar at the time of the one before, ``gap`` one more than ``gap`` bar lengths after it,
+    ``prices`` one whose high or low doesn't hold the others, ``missing`` one without a price or volume.
+    """
+    w = Window.partitionBy("symbol", "timeframe").orderBy("datetime")
+    length = F.coalesce(*[F.when(F.col("timeframe") == k, F.lit(v)) for k, v in MINUTES.items()])
+    before = F.lag("datetime").over(w)
+    minutes = ((F.unix_timestamp(F.col("datetime").cast("timestamp")) - F.unix_timestamp(before.cast("timestamp"))) / 60).cast("long")
+    x = bars.select("*", before.alias("before"), minutes.alias("minutes"), length.alias("length"))
+    bad = (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close"))
+    missing = F.greatest(*[F.col(c).isNull() for c in ("open", "high", "low", "close", "volume")])
+    found = F.array(F.when(F.col("minutes") == 0, "repeated"), F.when(F.col("minutes") > gap * F.col("length"), "gap"), F.when(bad, "prices"), F.when(missing, "missing"))
+    return x.select("symbol", "timeframe", F.explode(F.array_compact(found)).alias("fault"), "datetime", "before", "minutes")
+
+
 def pip_size(symbol: Column) -> Column:
     """The price step that counts as a pip, by the symbol's name."""
     return F.when(symbol == "XAUUSD", 0.01).when(symbol == "XAGUSD", 0.001).when(symbol.contains("JPY"), 0.01).otherwise(0.0001)

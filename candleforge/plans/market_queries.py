@@ -93,6 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {"bars_hourly": lambda spark, sf_dir: hourly(spark, sf_dir).drop("timeframe")}
     out |= {f"resample_{t}": _resampled(t) for t in _BUCKETS}
     out |= {"bars_check": lambda spark, sf_dir: B.checked(hourly(spark, sf_dir)).drop("timeframe")}
+    out["bars_30m"] = lambda spark, sf_dir: B.from_ticks(spark.read.parquet(f"{sf_dir}/events.parquet"), "30m").drop("timeframe")
+    out["bars_faults"] = lambda spark, sf_dir: B.faults(hourly(spark, sf_dir), gap=1.0).drop("timeframe")
     out |= {k: _family(v) for k, v in FAMILIES.items()}
     out["ind_kernels"] = _family(KERNEL_FAMILY)
     out["chart_patterns"] = lambda spark, sf_dir: patterns.detect(hourly(spark, sf_dir))
@@ -105,6 +107,10 @@ def oracle_sql() -> dict[str, str]:
         out[f"resample_{t}"] = f"with {HOURLY_SQL} select symbol, cast({x} as timestamp) as datetime, first(open order by datetime) as open, max(high) as high, min(low) as low, last(close order by datetime) as close, sum(volume) as volume from bars group by 1, 2"
     out["bars_check"] = f"""with {HOURLY_SQL}, s as (select *, date_diff('minute', lag(datetime) over (partition by symbol order by datetime), datetime) as step from bars)
 select symbol, count(*) as n_rows, min(datetime) as first, max(datetime) as last, count(*) filter (where step = 0) as n_repeated, count(*) filter (where high < greatest(open, close, low) or low > least(open, close)) as n_bad, count(*) filter (where step > 300) as n_gaps from s group by symbol"""
+    out["bars_30m"] = """select event_type as symbol, time_bucket(interval 30 minute, ts) as datetime, arg_min(value, (ts, event_id)) as open, max(value) as high, min(value) as low, arg_max(value, (ts, event_id)) as close, cast(count(*) as double) as volume,
+row_number() over (partition by event_type order by time_bucket(interval 30 minute, ts)) - 1 as bar_index from events where ts is not null and value is not null group by 1, 2"""
+    out["bars_faults"] = f"""with {HOURLY_SQL}, s as (select *, lag(datetime) over (partition by symbol order by datetime) as before from bars), t as (select *, date_diff('minute', before, datetime) as minutes from s)
+select symbol, 'gap' as fault, datetime, before, minutes from t where minutes > 60 union all select symbol, 'repeated', datetime, before, minutes from t where minutes = 0 union all select symbol, 'prices', datetime, before, minutes from t where high < greatest(open, close, low) or low > least(open, close)"""
     out |= {k: _family_sql(v) for k, v in FAMILIES.items()}
     plan, outputs = family_plan(KERNEL_FAMILY, DUCKDB)
     out["ind_kernels"] = f"with recursive {HOURLY_SQL}, {KERNEL_SQL} {plan.sql('kbars', outputs)}"

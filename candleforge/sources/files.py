@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from candleforge.operators.bars import cleaned
+
 #: Header names that mean the same.
 HEADERS = {"datetime": ("datetime", "time", "date", "timestamp", "gmt time", "time (eet)"), "open": ("open", "o"), "high": ("high", "h"), "low": ("low", "l"), "close": ("close", "c"), "volume": ("volume", "v", "vol")}
 ZONES = {"EET": "Europe/Helsinki", "JST": "Asia/Tokyo", "UTC": "UTC"}
@@ -23,12 +28,22 @@ def renamed(raw: DataFrame) -> DataFrame:
 
 
 def parsed_time(x: Column, zone: str = "JST") -> Column:
-    """A broker's or ISO time, in Tokyo wall-clock time. An offset in the text goes before ``zone``."""
+    """A broker's or ISO time, in Tokyo wall-clock time. An offset in the text goes before ``zone``.
+
+    A local time that the zone's clock shows twice or never, when summer time ends or begins, is an error.
+    """
     if zone not in ZONES:
         raise ValueError(f"unknown zone: {zone}")
     plain = F.coalesce(*[F.try_to_timestamp(x, F.lit(p)).cast("timestamp_ntz") for p in ("yyyy.MM.dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")])
     with_offset = F.when(x.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$"), F.convert_timezone(F.lit("UTC"), F.lit("Asia/Tokyo"), F.to_utc_timestamp(F.try_to_timestamp(x), F.current_timezone()).cast("timestamp_ntz")))
-    local = plain if zone == "JST" else F.convert_timezone(F.lit(ZONES[zone]), F.lit("Asia/Tokyo"), plain)
+    local = plain
+    if zone != "JST":
+        here, there = F.lit(ZONES[zone]), F.lit("UTC")
+        instant = F.convert_timezone(here, there, plain)
+        shown = lambda hours: F.convert_timezone(there, here, instant + F.make_dt_interval(hours=F.lit(hours)))
+        unsure = (shown(0) != plain) | (shown(1) == plain) | (shown(-1) == plain)
+        sure = F.when(unsure, F.raise_error(F.concat(F.lit("no single instant for "), x, F.lit(f" in {zone}")))).otherwise(F.lit(True))
+        local = F.when(sure, F.convert_timezone(there, F.lit("Asia/Tokyo"), instant))
     return F.coalesce(with_offset, local).cast("timestamp_ntz")
 
 
@@ -38,20 +53,33 @@ def read_csv(spark: SparkSession, path: str, symbol: str, timeframe: str, zone:
     return raw.select(F.lit(symbol).alias("symbol"), F.lit(timeframe).alias("timeframe"), parsed_time(F.trim("datetime"), zone).alias("datetime"), "open", "high", "low", "close", "volume", F.lit(source).alias("source"))
 
 
+def import_files(spark: SparkSession, files: Iterable[tuple[str, str, str, str]]) -> DataFrame:
+    """Cleaned bars of many exports ``(path, symbol, timeframe, zone)`` of any series; where files overlap, the earlier one's bars stay."""
+    raw = [read_csv(spark, path, symbol, timeframe, zone, source) for source, (path, symbol, timeframe, zone) in enumerate(files)]
+    if not raw:
+        raise ValueError("no files to import")
+    return cleaned(reduce(DataFrame.unionByName, raw))
+
+
 def write_table(bars: DataFrame, path: str) -> None:
     """Bars by symbol and timeframe, so that a series is read without the others."""
     bars.repartition("symbol", "timeframe").sortWithinPartitions("datetime").write.mode("overwrite").partitionBy("symbol", "timeframe").parquet(path)
 
 
-def read_table(spark: SparkSession, path: str, symbol: str | None = None, timeframe: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Stored bars, pruned to what is asked; the dates are included."""
+def read_table(spark: SparkSession, path: str, symbol: str | None = None, timeframe: str | None = None, start: str | None = None, end: str | None = None, last: int | None = None) -> DataFrame:
+    """Stored bars, pruned to what is asked; the dates are included. ``last`` keeps so many of the latest of each series."""
     x = spark.read.parquet(path)
     for column, value in (("symbol", symbol), ("timeframe", timeframe)):
         if value is not None:
             x = x.where(F.col(column) == value)
     if start is not None:
         x = x.where(F.col("datetime") >= F.lit(start).cast("timestamp_ntz"))
-    return x if end is None else x.where(F.col("datetime") <= F.lit(end).cast("timestamp_ntz"))
+    if end is not None:
+        x = x.where(F.col("datetime") <= F.lit(end).cast("timestamp_ntz"))
+    if last is None:
+        return x
+    latest = Window.partitionBy("symbol", "timeframe").orderBy(F.col("datetime").desc())
+    return x.withColumn("n", F.row_number().over(latest)).where(F.col("n") <= last).drop("n")
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
