@@ -66,7 +66,7 @@ a as (select w.begin, p.series, sum(case when p.period < w.begin + {train} then
 sum(case when p.period >= w.begin + {train} and profit > 0 then profit else 0e0 end) as gain, sum(case when p.period >= w.begin + {train} and profit < 0 then -profit else 0e0 end) as loss, count(case when p.period >= w.begin + {train} then 1 end) as test_trades
 from w join p on p.period between w.begin and w.begin + {train} + {test} - 1 group by w.begin, p.series),
 r as (select *, row_number() over (partition by begin order by round(train_profit, 6) desc, series) as rank from a where train_profit is not null)
-select begin, series, cast(rank as bigint) as rank, round(train_profit + 1e-9, 6) as train_profit, round(coalesce(test_profit, 0) + 1e-9, 6) as test_profit, test_trades,
+select begin, series, cast(rank as bigint) as rank, round(train_profit + 1e-9, 6) as train_profit, round(coalesce(test_profit, 0) + 1e-9, 6) as test_profit, test_trades, round({factor} + 1e-9, 6) as test_profit_factor,
 case when test_trades = 0 then 'NO_TRADE' when test_profit > 0 and {factor} >= 1.2 then 'PASS' when test_profit > 0 then 'CAUTION' else 'FAIL' end as judgement from r where rank <= {top}"""
 
 
@@ -88,6 +88,33 @@ CONFIDENCE = """select series, components, round(score + 1e-9, 6) as score, case
 select series, count(*) as components, avg(case grade when 'A' then 1e2 when 'B' then 75e0 when 'C' then 5e1 else 25e0 end) as score from ({grades}) g group by series) x"""
 
 
+_SUMS = "select series, sum(case when r > 0 then 1 else 0 end) as good, sum(case when r < 0 then 1 else 0 end) as bad, sum(case when r = 0 then 1 else 0 end) as flat, 1e2 * sum(case when r > 0 then 1 else 0 end) / count(*) as rate, avg(r) as mean, max(r) as best, min(r) as worst from (select series, date_trunc('{unit}', entry_time) as p, sum(profit) as r from {trades} group by series, date_trunc('{unit}', entry_time)) g group by series"
+
+
+def stability_report(year: str, month: str) -> str:
+    """How the profits of ``year`` and ``month`` units are spread, their scores, the joint score (six and four tenths) and its rating."""
+    part = lambda a, n: f"cast({a}.good as bigint) as profitable_{n}, cast({a}.bad as bigint) as losing_{n}, cast({a}.flat as bigint) as flat_{n}, round({a}.rate + 1e-9, 6) as {n}_positive_rate, round({a}.mean + 1e-9, 6) as {n}_average, round({a}.best + 1e-9, 6) as {n}_best, round({a}.worst + 1e-9, 6) as {n}_worst, s{a}.score as {n}_score"
+    x = f"select y.series, {part('y', 'years')}, {part('m', 'months')}, round(sy.score * 0.6e0 + sm.score * 0.4e0 + 1e-9, 6) as overall_score from ({_SUMS.replace('{unit}', year)}) y join ({_SUMS.replace('{unit}', month)}) m on m.series = y.series join ({STABILITY.replace('{unit}', year)}) sy on sy.series = y.series join ({STABILITY.replace('{unit}', month)}) sm on sm.series = y.series"
+    return f"select *, case when overall_score >= 80 then 'A' when overall_score >= 65 then 'B' when overall_score >= 50 then 'C' else 'D' end as rating from ({x}) r"
+
+
+#: The older summary: the peak of the drawdown begins at 0, and one score of all.
+OLDER_METRICS = f"""select series, trades as total_trades, breakeven, win_rate, total_profit, gross_profit, gross_loss, profit_factor, average_profit, max_drawdown, 0e0 as sharpe_ratio,
+round(least(profit_factor, case when gross_loss > 0 then profit_factor else 10 end) * 100 + average_profit * 1000 + win_rate - max_drawdown * 50 + trades * 0.1e0 + 1e-9, 4) as score from (
+select a.series, trades, cast(trades - wins - losses as bigint) as breakeven, round(1e2 * wins / trades + 1e-9, 6) as win_rate, round(net_profit + 1e-9, 6) as total_profit, round(gross_profit + 1e-9, 6) as gross_profit, round(gross_loss + 1e-9, 6) as gross_loss, round({factor('gross_profit', 'gross_loss')} + 1e-9, 6) as profit_factor, round(net_profit / trades + 1e-9, 6) as average_profit, round(d.dd + 1e-9, 6) as max_drawdown
+from (select series, {_COUNTS} from {{trades}} group by series) a join (select series, max(greatest(equity_high, 0) - equity) as dd from ({EQUITY}) e group by series) d on d.series = a.series) x"""
+
+#: Yearly growth against the greatest drawdown, both of a capital of 100.
+CALMAR = f"select r.series, r.cagr, s.max_dd, round(case when s.max_dd > 0 then r.cagr / nullif(s.max_dd / 1e2, 0) else 0e0 end + 1e-9, 6) as calmar_ratio from ({RATIOS}) r join ({SUMMARY}) s on s.series = r.series"
+
+
+def grades(unit: str, monte_carlo: str, walk: str) -> str:
+    """Grades of stability, of the orders of trades and of walk-forward tests, for :data:`CONFIDENCE`."""
+    rated = f"select series, 1e2 * sum(case when judgement = 'PASS' then 1 else 0 end) / count(*) as passed, avg(test_profit_factor) as pf, sum(test_profit) as profit, sum(case when test_profit < 0 then 1 else 0 end) as negative from ({walk}) w group by series"
+    rating = "case when passed >= 70 and pf >= 1.5 and profit > 0 and negative <= 4 then 'A' when passed >= 55 and pf >= 1.2 and profit > 0 then 'B' when passed >= 40 and profit > 0 then 'C' else 'D' end"
+    return f"select series, 'stability' as component, grade from ({STABILITY.replace('{unit}', unit)}) s union all select series, 'monte_carlo', rating from ({monte_carlo}) m union all select series, 'walk_forward', {rating} from ({rated}) r"
+
+
 def run(statement: str, trades: DataFrame) -> DataFrame:
     """A statement of this module on Spark."""
     return trades.sparkSession.sql(statement, trades=trades)

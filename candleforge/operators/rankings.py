@@ -53,11 +53,11 @@ RANKINGS = {
 
 
 def metrics(trades: DataFrame, year: str = "year", month: str = "month") -> DataFrame:
-    """A row a series: the summary, the longest streaks, and the stability by ``year`` and ``month`` (any calendar unit) and their mean."""
+    """A row a series: the summary, the longest streaks, and the stability by ``year`` and ``month`` (any calendar unit) and both together, six tenths and four."""
     out = A.run(A.SUMMARY, trades).join(A.run(A.STREAKS, trades), "series")
     for name, unit in (("year_stability", year), ("month_stability", month)):
         out = out.join(A.run(A.STABILITY.format(unit=unit, trades="{trades}"), trades).select("series", F.col("score").alias(name)), "series")
-    return out.withColumn("overall_stability", F.round((F.col("year_stability") + F.col("month_stability")) / 2 + 1e-9, 6)).withColumn("walk_forward_score", F.lit(0.0))
+    return out.withColumn("overall_stability", F.round(F.col("year_stability") * 0.6 + F.col("month_stability") * 0.4 + 1e-9, 6)).withColumn("walk_forward_score", F.lit(0.0))
 
 
 def weighted(results: DataFrame, thresholds: Thresholds | None = None, weights: Mapping[str, float] = WEIGHTS, top: int | None = None) -> DataFrame:
@@ -132,6 +132,12 @@ def overall(rows: DataFrame) -> DataFrame:
     return x.select("tests", F.round("pass_rate", 6).alias("pass_rate"), F.round("avg_pf", 6).alias("avg_pf"), F.round("total_profit", 6).alias("total_profit"), "negative_tests", rating.alias("rating"))
 
 
+def sensitivity_rating(flat: DataFrame) -> DataFrame:
+    """``score, rating`` of how flat results stay over all parameters of ``flat``."""
+    x = flat.agg(F.round(F.avg("flatness") + 1e-9, 2).alias("score"))
+    return x.select("score", F.when(F.col("score") >= 80, "A").when(F.col("score") >= 65, "B").when(F.col("score") >= 50, "C").otherwise("D").alias("rating"))
+
+
 def composite(trades: DataFrame) -> DataFrame:
     """One row for all series merged by exit time; the peak begins at 0."""
     x = running_equity(trades, F.col("exit_time"), F.col("series"), F.col("trade_number"))

@@ -143,6 +143,7 @@ def _statements(dialect: str) -> dict[str, str]:
     numbers = "explode(sequence(1, 1000))" if spark else "unnest(range(1, 1001))"
     quantile = lambda q: f"percentile(dd, {q})" if spark else f"quantile_cont(dd, {q})"
     day = "datediff(exit_time, timestamp_ntz'2024-01-01 00:00:00')" if spark else "date_diff('day', timestamp '2024-01-01 00:00:00', exit_time)"
+    monte_carlo = A.MONTE_CARLO.format(q50=quantile(0.5), q90=quantile(0.9), q95=quantile(0.95), q99=quantile(0.99), text=text, numbers=numbers, trades=t)
     return {
         "analysis_days": A.periods("day").replace("{ntz}", "_ntz" if spark else ""),
         "analysis_months": A.periods("month").replace("{ntz}", "_ntz" if spark else ""),
@@ -151,10 +152,13 @@ def _statements(dialect: str) -> dict[str, str]:
         "analysis_equity": f"select series, trade_number, exit_time, profit, round(equity + 1e-9, 6) as equity, round(equity_high + 1e-9, 6) as equity_high, round(drawdown + 1e-9, 6) as drawdown from ({A.EQUITY}) e",
         "analysis_ratios": A.RATIOS.format(per_year=52, unit="week", days=_DAYS[dialect], trades=t),
         "analysis_stability": A.STABILITY.format(unit="week", trades=t),
-        "analysis_monte_carlo": A.MONTE_CARLO.format(q50=quantile(0.5), q90=quantile(0.9), q95=quantile(0.95), q99=quantile(0.99), text=text, numbers=numbers, trades=t),
+        "analysis_monte_carlo": monte_carlo,
         "analysis_walk_forward": A.walk_forward(day, 10, 3),
         "analysis_reranking": A.RERANKING.format(least=5, trades=t),
-        "analysis_confidence": A.CONFIDENCE.format(grades=f"select series, 'stability' as component, grade from ({A.STABILITY.format(unit='week', trades=t)}) s union all select series, 'profit', case when profit_factor >= 1.5 then 'A' when profit_factor >= 1.2 then 'B' when profit_factor >= 1 then 'C' else 'D' end from ({A.SUMMARY}) p"),
+        "analysis_confidence": A.CONFIDENCE.format(grades=A.grades("week", monte_carlo, A.walk_forward(day, 10, 3, top=1000)).replace("{trades}", t)),
+        "analysis_stability_report": A.stability_report("week", "day"),
+        "analysis_older_metrics": A.OLDER_METRICS,
+        "analysis_calmar": A.CALMAR.format(per_year=52, unit="week", days=_DAYS[dialect], trades=t),
         "analysis_out_of_sample": A.OUT_OF_SAMPLE.format(share="0.7", trades=t),
     }
 
@@ -263,7 +267,7 @@ def _sensitivity_sql() -> str:
 
 
 #: Rankings in standard SQL, from the statements of the result rows.
-_RESULTS_SQL = f"""res as (select s.*, k.max_consecutive_wins, k.max_consecutive_losses, y.score as year_stability, m.score as month_stability, round((y.score + m.score) / 2 + 1e-9, 6) as overall_stability, 0e0 as walk_forward_score
+_RESULTS_SQL = f"""res as (select s.*, k.max_consecutive_wins, k.max_consecutive_losses, y.score as year_stability, m.score as month_stability, round(y.score * 0.6e0 + m.score * 0.4e0 + 1e-9, 6) as overall_stability, 0e0 as walk_forward_score
 from ({A.SUMMARY}) s join ({A.STREAKS}) k on k.series = s.series join ({A.STABILITY.format(unit="week", trades="{trades}")}) y on y.series = s.series join ({A.STABILITY.format(unit="day", trades="{trades}")}) m on m.series = s.series)""".format(trades="trades")
 
 
@@ -290,6 +294,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out |= {"backtest_strategies": backtest_strategies, "backtest_concurrent": concurrent_trades}
     out |= {n: _analysis(n) for n in _statements("spark")}
     out["analysis_sensitivity"] = sensitivity
+    out["analysis_sensitivity_rating"] = lambda spark, sf_dir: R.sensitivity_rating(sensitivity(spark, sf_dir))
     out |= {n: single(n) for n in SINGLE}
     out["analysis_ranking"] = lambda spark, sf_dir: R.weighted(results(spark, sf_dir), THRESHOLDS).select("series", "rank_score", F.col("rank").cast("long").alias("rank"))
     out["analysis_ten_rankings"] = lambda spark, sf_dir: R.ten_rankings(results(spark, sf_dir))
@@ -313,6 +318,7 @@ def oracle_sql() -> dict[str, str]:
     out |= {n: _analysis_sql(n) for n in _statements("duckdb")}
     out |= {n: f"select * exclude (exact) from ({_single_sql(s)}) x" for n, s in SINGLE.items()}
     out["analysis_sensitivity"] = _sensitivity_sql()
+    out["analysis_sensitivity_rating"] = f"select score, case when score >= 80 then 'A' when score >= 65 then 'B' when score >= 50 then 'C' else 'D' end as rating from (select round(avg(flatness) + 1e-9, 2) as score from ({_sensitivity_sql()}) s) r"
     kernels = Plan(DUCKDB)
     y = _signals(kernels, True)
     out["legacy_signals_kernels"] = f"with recursive {HOURLY_SQL}, {KERNEL_SQL} {kernels.sql('kbars', y)}"
