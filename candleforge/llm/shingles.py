@@ -16,6 +16,7 @@ _INVERSE = pow(_STEP, -1, 2**64)
 _PIECE = 1 << 20
 
 _BYTE = np.random.default_rng(20240917).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + np.random.default_rng(5).integers(0, 2, 256, dtype=np.uint64)
+_EXACT = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -62,9 +63,10 @@ def pieces(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start offsets and hashes of the words of ``data``."""
-    starts, hashes, base = [], [], 0
+def word_spans(data: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start offsets, end offsets and hashes of the words of ``data``; without ``fold``, A-Z differ from a-z."""
+    starts, ends, hashes, base = [], [], [], 0
+    table = _BYTE if fold else _EXACT
     for piece in pieces(data):
         buf = np.frombuffer(piece, np.uint8)
         if len(buf):
@@ -73,11 +75,19 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
             turn = np.concatenate(([0] if not space[0] else [], turn, [len(buf)] if not space[-1] else [])).astype(np.int64)
             s, e = turn[0::2], turn[1::2]
             total = np.zeros(len(buf) + 1, np.uint64)
-            np.cumsum(_BYTE[buf] * _power(_STEP, len(buf)), out=total[1:])
+            np.cumsum(table[buf] * _power(_STEP, len(buf)), out=total[1:])
             starts.append(s + base)
+            ends.append(e + base)
             hashes.append(mix((total[e] - total[s]) * _power(_INVERSE, len(buf))[s]))
         base += len(piece)
-    return np.concatenate(starts or [np.zeros(0, np.int64)]), np.concatenate(hashes or [np.zeros(0, np.uint64)])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(starts or none), np.concatenate(ends or none), np.concatenate(hashes or [np.zeros(0, np.uint64)])
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start offsets and hashes of the words of ``data``."""
+    starts, _, hashes = word_spans(data)
+    return starts, hashes
 
 
 def text_groups(texts: list[bytes | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
