@@ -7,9 +7,8 @@ Two windows of equal words have equal minimisers, so that
 
 * a super-k-mer whose minimiser stands nowhere else stays at home: only (minimiser, document, place)
   is counted for it, and no string travels;
-* a bucket of more than ``HOT`` super-k-mers is dealt out again by its windows. They
-  are counted with partial sums, and the windows met again find their places by a join that
-  adaptive execution can split.
+* a bucket of more than ``HOT`` super-k-mers is dealt to several places. Each marks what it holds twice and hands on
+  one row for each distinct window; only windows that it holds once have to be asked for in the others.
 """
 
 from __future__ import annotations
@@ -27,10 +26,10 @@ from .shingles import mix, text_groups, word_spans
 
 #: Words of a window, and of the runs whose hashes make the minimisers.
 WIDTH, RUN = 35, 6
-#: Super-k-mers of a bucket that are sorted in one place; larger buckets are dealt out by windows.
+#: Super-k-mers of a bucket that are sorted in one place; larger buckets are dealt to several.
 HOT = 512
 #: Packed bytes that are sorted together.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 _U = np.uint64
 _FIRST, _SECOND = _U(0x9FB21C651E98DF25), _U(0xC2B2AE3D27D4EB4F)
@@ -112,44 +111,37 @@ def _minimisers(width: int, run: int):
     return each
 
 
-_PACKED = "minimiser long, a long, b long, start int, words binary, w1 long, w2 long"
+_PACKED = "minimiser long, part int, parts int, a long, b long, start int, words binary"
 
 
-def _packed(width: int, run: int, hot: bool):
-    """The super-k-mers of the listed starts as packed strings; with ``hot`` those of hot buckets, a row a window."""
+def _packed(width: int, run: int):
+    """The super-k-mers of the listed starts as packed strings; a bucket of several parts is dealt by documents."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(i).to_numpy() for i in (0, 1))
             wanted = batch.column(3).to_pylist()
             for lo, data, s, e, h, first, last in _worded(batch.column(2).to_pylist()):
-                asked = [np.array([x["start"] for x in wanted[lo + i] if x["hot"] == hot], np.int64) + f for i, f in enumerate(first)]
-                asked = np.concatenate(asked)
+                asked = np.array([(x["start"] + f, x["parts"]) for i, f in enumerate(first.tolist()) for x in wanted[lo + i]], np.int64).reshape(-1, 2)
+                asked = asked[np.argsort(asked[:, 0])]
                 start, n, value, _ = super_kmers(h, first, last, width, run)
-                keep = np.isin(start, asked)
-                start, n, value = start[keep], n[keep], value[keep]
-                if not len(start):
-                    continue
-                if hot:
-                    value = np.repeat(value, n)
-                    start = np.repeat(start, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    w1, w2 = _signed(_rolled(h, width)[start]), _signed(_rolled(h, width, _SECOND)[start])
-                    words = pa.nulls(len(start), pa.binary())
-                else:
-                    w1 = w2 = pa.nulls(len(start), pa.int64())
-                    bounds = zip(start.tolist(), (start + n + width - 1).tolist(), strict=True)
-                    starts, ends = s.tolist(), e.tolist()
-                    words = pa.array([b" ".join([data[starts[i] : ends[i]] for i in range(x, y)]) for x, y in bounds], pa.binary())
+                keep = np.searchsorted(start, asked[:, 0])
+                start, n, value, parts = start[keep], n[keep], value[keep], asked[:, 1]
                 doc = np.searchsorted(first, start, side="right") - 1
-                yield pa.RecordBatch.from_arrays([_signed(value), pa.array(a[lo + doc]), pa.array(b[lo + doc]), pa.array((start - first[doc]).astype(np.int32)), words, w1, w2], names=["minimiser", "a", "b", "start", "words", "w1", "w2"])
+                part = (mix(b[lo + doc].astype(np.int64).view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
+                starts, ends = s.tolist(), e.tolist()
+                words = [b" ".join([data[starts[i] : ends[i]] for i in range(x, y)]) for x, y in zip(start.tolist(), (start + n + width - 1).tolist(), strict=True)]
+                columns = [_signed(value), pa.array(part), pa.array(parts.astype(np.int32)), pa.array(a[lo + doc]), pa.array(b[lo + doc]), pa.array((start - first[doc]).astype(np.int32)), pa.array(words, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["minimiser", "part", "parts", "a", "b", "start", "words"])
 
     return each
 
 
-def repeated_windows(packed: list[bytes], width: int = WIDTH) -> np.ndarray:
+def repeated_windows(packed: list[bytes], width: int = WIDTH, parted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """For each packed super-k-mer the bit mask of its windows that stand at another place of ``packed``, too.
 
-    Windows are sorted by hash; neighbours of one hash are compared by their bytes.
+    Windows are sorted by hash; neighbours of one hash are compared by their bytes. Of the super-k-mers that are
+    ``parted``, a place of each distinct window follows: two digests, the super-k-mer, the window in it and whether it stands there alone.
     """
     size = np.array([len(p) for p in packed], np.int64)
     data = b"\n".join(packed) + b"\n"
@@ -178,26 +170,41 @@ def repeated_windows(packed: list[bytes], width: int = WIDTH) -> np.ndarray:
             again[group] = len(group) > 1
     mask = np.zeros(len(packed), np.int64)
     np.bitwise_or.at(mask, row[again], np.int64(1) << bit[again])
-    return mask
+    some = np.flatnonzero(np.zeros(len(row), bool) if parted is None else parted[row])
+    one, two = w[some], _rolled(h, width, _SECOND)[at[some]]
+    order = np.lexsort((two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+    kept = order[new]
+    return mask, one[kept], two[kept], row[some[kept]], bit[some[kept]], ~again[some[kept]]
+
+
+_MARKS = "a long, b long, start int, mask long, w1 long, w2 long, lone boolean"
 
 
 def _buckets(width: int):
-    """Marks of sorted buckets; whole buckets are gathered up to ``CHUNK`` bytes."""
+    """Marks of sorted buckets, and the distinct windows of those dealt to several places; whole buckets are gathered up to ``CHUNK`` bytes."""
 
     def marks(rows: list[tuple]) -> pa.RecordBatch:
-        mask = repeated_windows([r[4] for r in rows], width)
+        mask, one, two, row, bit, lone = repeated_windows([r[6] for r in rows], width, np.array([r[2] > 1 for r in rows]))
         found = np.flatnonzero(mask)
-        return pa.RecordBatch.from_arrays([pa.array([rows[i][k] for i in found], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()))] + [pa.array(mask[found])], names=["a", "b", "start", "mask"])
+        a, b, start = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        at = np.concatenate((found, row))
+        start = start[at] + np.concatenate((np.zeros(len(found), np.int64), bit))
+        marked = np.arange(len(at)) < len(found)
+        some = [np.concatenate((np.zeros(len(found), x.dtype), x)) for x in (one.view(np.int64), two.view(np.int64), lone)]
+        columns = [pa.array(a[at]), pa.array(b[at]), pa.array(start.astype(np.int32)), pa.array(np.concatenate((mask[found], np.zeros(len(row), np.int64))), mask=~marked)] + [pa.array(x, mask=marked) for x in some]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "start", "mask", "w1", "w2", "lone"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > CHUNK and row[0] != rows[-1][0]:
+                if size > CHUNK and row[:2] != rows[-1][:2]:
                     yield marks(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[4])
+                size += len(row[6])
         if rows:
             yield marks(rows)
 
@@ -253,17 +260,18 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, width: int = WIDTH, run: i
         raise ValueError("a window has 1 to 62 runs")
     keyed = _keyed(docs)
     places = keyed.select("a", "b", "text").mapInArrow(_minimisers(width, run), "minimiser long, a long, b long, start int, weight int")
-    met = places.groupBy("minimiser").agg(F.sum("weight").alias("n"), F.count("*").alias("rows")).where("n > 1").select("minimiser", (F.col("rows") > hot).alias("hot"))
-    asked = places.join(met, "minimiser").groupBy("a", "b").agg(F.collect_set(F.struct("start", "hot")).alias("asked"))
+    parts = F.ceil(F.col("rows") / hot).cast("int").alias("parts")
+    met = places.groupBy("minimiser").agg(F.sum("weight").alias("n"), F.count("*").alias("rows")).where("n > 1").select("minimiser", parts)
+    asked = places.join(met, "minimiser").groupBy("a", "b").agg(F.collect_set(F.struct("start", "parts")).alias("asked"))
     every = scratch.table(keyed.join(asked, ["a", "b"], "left"))
     some = every.where("asked is not null")
-    given = some.select("a", "b", "text", "asked")
-    strings = given.mapInArrow(_packed(width, run, False), _PACKED).select("minimiser", "a", "b", "start", "words")
-    cool = strings.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_buckets(width), "a long, b long, start int, mask long")
-    windows = given.where(F.exists("asked", lambda x: x["hot"])).mapInArrow(_packed(width, run, True), _PACKED).select("a", "b", "start", "w1", "w2")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    warm = windows.join(twice, ["w1", "w2"]).select("a", "b", "start", F.lit(1).cast("long").alias("mask"))
-    marks = cool.union(warm).groupBy("a", "b").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
+    strings = some.select("a", "b", "text", "asked").mapInArrow(_packed(width, run), _PACKED)
+    sorted_ = strings.repartition("minimiser", "part").sortWithinPartitions("minimiser", "part").mapInArrow(_buckets(width), _MARKS)
+    found = scratch.table(sorted_)
+    windows = found.where("mask is null")
+    elsewhere = windows.groupBy("w1", "w2").agg(F.count("*").alias("places")).where("places > 1").select("w1", "w2")
+    lone = windows.where("lone").join(elsewhere, ["w1", "w2"]).select("a", "b", "start", F.lit(1).cast("long").alias("mask"))
+    marks = found.where("mask is not null").select("a", "b", "start", "mask").union(lone).groupBy("a", "b").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
     marked = some.join(marks, ["a", "b"], "left").select("doc_id", "text", "marks")
     rest = every.where("asked is null").select("doc_id", "text", F.lit(None).cast("array<struct<start:int,mask:bigint>>").alias("marks"))
     shape = "doc_id long, n_words long, n_removed long, removed array<struct<first:int,words:int>>, text binary"
