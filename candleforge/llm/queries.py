@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, htmltext, langid, licences, ngram_join, packing, prefix_trie, repair, substring_dedup, tokens
+from . import chat, decontaminate, embeddings, htmltext, langid, licences, ngram_join, packing, prefix_trie, repair, spelling, substring_dedup, tokens
 
 _OPERATORS = [
     ngram_join.op1_ngram_jaccard_join,
@@ -19,6 +19,7 @@ _OPERATORS = [
     embeddings.op8_embedding_near_dedup,
     licences.op9_license_scan,
     langid.op10_language_id,
+    spelling.op11_spelling_variants,
     prefix_trie.op12_conversation_prefix_trie,
     substring_dedup.op13_substring_dedup,
 ]
@@ -29,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op6_benchmark_decontamination": decontaminate.ORACLE_SQL, "op8_embedding_near_dedup": embeddings.ORACLE_SQL, "op12_conversation_prefix_trie": prefix_trie.ORACLE_SQL, "op13_substring_dedup": substring_dedup.ORACLE_SQL}
+    return {"op1_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op6_benchmark_decontamination": decontaminate.ORACLE_SQL, "op8_embedding_near_dedup": embeddings.ORACLE_SQL, "op11_spelling_variants": spelling.ORACLE_SQL, "op12_conversation_prefix_trie": prefix_trie.ORACLE_SQL, "op13_substring_dedup": substring_dedup.ORACLE_SQL}
