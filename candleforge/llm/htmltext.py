@@ -4,9 +4,10 @@ Every node of the parsed tree gets a density: its characters for each of its tag
 lessened by its link characters and link tags (composite text density). Text of menus, footers,
 forms and the like counts as link text: elements, roles and names are features of the density.
 The node with the greatest sum of its children's densities is the heart of the article; from it on
-a single child that holds most of the sum is followed. The article is the ``article`` or ``main``
-element around it; without one, the heart and, on the path to the body, what reaches the least
-density of the path and a share of the heart's sum, and paragraphs, headings, lists and sections beside it.
+a single child that holds most of the sum is followed. The article is the heart and, on the path to the body, what
+reaches the least density of the path and a share of the heart's sum, and paragraphs, headings, lists and sections
+beside it. Where a page has an ``article`` or ``main`` element, text outside it weighs as little as links, and all within it
+but menus, notices and the like belongs to it.
 """
 
 from __future__ import annotations
@@ -31,12 +32,17 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 TEXTUAL = HEADINGS | frozenset("p ul ol dl blockquote pre table figure section details hgroup address center".split())
 #: Elements whose names say nothing, because they are parts of a text.
 PARTS = HEADINGS | frozenset("p blockquote pre li dd dt td th tr tbody figure figcaption caption summary".split())
-#: Elements and roles that are no part of an article, and names of such elements.
+#: Elements and roles that are no part of an article.
 ASIDE = frozenset("nav footer aside form button dialog menu".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+#: Names of such elements: as whole names and as words of longer ones; those that also name parts of articles
+#: count only with many links, or as whole names outside of articles.
 ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertising adsbygoogle sponsor sponsors sponsored".split())
 COMMENTS = frozenset("comment comments commentlist commentform respond replies disqus".split())
-ASIDE_NAMES = ADVERTS | COMMENTS | frozenset("breadcrumb breadcrumbs cookie cookies consent footer gdpr menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promos promotion related share sharing sidebar skip social subscribe toolbar widget widgets".split())
+ASIDE_NAMES = ADVERTS | COMMENTS | frozenset("breadcrumb breadcrumbs cookie cookies consent footer gdpr modal nav navbar navigation newsletter pagination pager popup sidebar subscribe".split())
+EITHER_NAMES = frozenset("menu notice notices promo promos promotion related share sharing skip social toolbar widget widgets".split())
+#: Whole names of readers' comments and adverts of several words.
+COMPOUNDS = frozenset("comment-list comments-list comments-area comments-section comment-section reader-comments user-comments ad-banner ad-container ad-slot ad-wrapper cookie-notice cookie-banner cookie-consent newsletter-signup".split())
 TOP_NAMES = frozenset("banner header masthead".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -66,10 +72,17 @@ class Node:
         self.whole = tag in ("article", "main", "h1")
         self.depth = parent.depth + 1 if parent else 0
         self.block_depth = self.depth if tag in BLOCK or not parent else parent.block_depth
-        self.in_article = bool(parent) and (parent.in_article or parent.tag in ("article", "main"))
+        self.in_article = bool(parent) and (parent.in_article or parent.is_core())
         self.scope = _scope(tag, self, parent.scope if parent else _NOWHERE)
 
+    def is_core(self) -> bool:
+        return self.tag in ("article", "main") or self.attributes.get("role", "").lower() in ("article", "main")
+
+    def whole_names(self) -> set[str]:
+        return {x.lower() for k in ("class", "id") for x in self.attributes.get(k, "").split()}
+
     def names(self) -> set[str]:
+        """The words of the names."""
         return {x.lower() for k in ("class", "id") for x in _NAME.findall(self.attributes.get(k, ""))}
 
 
@@ -100,6 +113,7 @@ class Tags:
     def __init__(self, page: str):
         self.page = page
         self.missing: set[str] = set()
+        self.found: dict[str, int] = {}
 
     def find(self, what: str, at: int) -> int:
         if what in self.missing:
@@ -109,6 +123,21 @@ class Tags:
             self.missing.add(what)
         return found
 
+    def behind_comment(self, at: int) -> int:
+        """The place behind the comment at ``at``, which ends with ``-->`` or ``--!>``, or with the page."""
+        for empty in ("<!-->", "<!--->"):
+            if self.page.startswith(empty, at):
+                return at + len(empty)
+        ends = [(end, len(mark)) for mark in ("-->", "--!>") if (end := self.ahead(mark, at + 4)) >= 0]
+        end, size = min(ends, default=(len(self.page), 0))
+        return end + size
+
+    def ahead(self, what: str, at: int) -> int:
+        """As :meth:`find`, but what was found before and still lies ahead isn't searched for again."""
+        if (have := self.found.get(what, -1)) < at:
+            have = self.found[what] = self.find(what, at)
+        return have
+
     def attributes(self, at: int) -> tuple[dict[str, str], int, bool]:
         """Attributes from ``at`` on, the place behind the tag's ``>`` and whether it ends with ``/``."""
         page, found = self.page, {}
@@ -151,23 +180,25 @@ def parse(page: str) -> Node:
 
     while True:
         at = tags.find("<", at)
-        if at < 0 or tags.find(">", at) < 0:  # what never ends is text
+        if at < 0:
             text_to(len(page))
             return root
         if page.startswith("<!--", at):
             text_to(at)
-            end = tags.find("-->", at + 4) if not page.startswith("<!-->", at) else at + 2
-            at = text_from = end + 3 if end >= 0 else len(page)
+            at = text_from = tags.behind_comment(at)
             continue
         m = _TAG.match(page, at)
         if not m:
-            if page[at + 1 : at + 2] in ("!", "?", "/"):
+            if page[at + 1 : at + 2] in ("!", "?") or (page[at + 1 : at + 2] == "/" and at + 2 < len(page)):
                 text_to(at)
-                at = text_from = page.find(">", at) + 1
+                end = tags.find(">", at)
+                at = text_from = end + 1 if end >= 0 else len(page)
             else:
                 at += 1
             continue
         text_to(at)
+        if tags.find(">", at) < 0:  # a tag that never ends takes the rest of the page with it
+            return root
         tag = m[2].lower()
         if m[3]:
             attributes, at, empty = {}, m.end(), m[3].endswith("/>")
@@ -234,7 +265,7 @@ def _is_aside(node: Node, of_all: float) -> bool:
     wraps = node.whole and of_all > 0.5  # most of the page and its article or title
     if given.get("role", "").lower() in ASIDE_ROLES or (tag in ASIDE and not (tag == "form" and wraps)):
         return True
-    names = node.names()
+    whole, names = node.whole_names(), node.names()
     if tag == "article":
         return bool(names & COMMENTS) and not wraps
     if (tag == "header" or names & TOP_NAMES) and tag not in PARTS and not wraps:
@@ -243,7 +274,12 @@ def _is_aside(node: Node, of_all: float) -> bool:
             return True
     if tag in PARTS:
         return bool(names & ADVERTS)
-    return bool(names & ASIDE_NAMES) and not wraps and not (node.in_article and node.whole)
+    if wraps or (node.in_article and node.whole):
+        return False
+    many_links = 2 * node.link_chars > node.chars
+    if node.in_article:  # one word of a longer name says nothing here
+        return bool(whole & (ASIDE_NAMES | COMPOUNDS)) or (many_links and bool(whole & EITHER_NAMES))
+    return bool(names & ASIDE_NAMES or whole & (COMPOUNDS | EITHER_NAMES)) or (many_links and bool(names & EITHER_NAMES))
 
 
 def measure(body: Node, hints: bool = True) -> list[Node]:
@@ -256,12 +292,20 @@ def measure(body: Node, hints: bool = True) -> list[Node]:
         if node is not body:
             node.parent.chars += node.chars
             node.parent.whole = node.parent.whole or node.whole
+    linked: dict[int, bool] = {}
+    for node, n in zip(order, own, strict=True):
+        linked[id(node)] = node.tag == "a" or (node is not body and linked[id(node.parent)])
+        node.link_chars = n if linked[id(node)] else 0
+    for node in reversed(order):
+        if node is not body:
+            node.parent.link_chars += node.link_chars
     for node in order:
         node.noise = (node is not body and node.parent.noise) or (hints and _is_aside(node, node.chars / max(1, body.chars)))
-    linked: dict[int, bool] = {}
+    cored = hints and any(node.is_core() and not node.noise and node.chars for node in order)
     for node, n in zip(order, own, strict=True):
+        # where a page has an article, what stands outside weighs as little as links
         linked[id(node)] = node.noise or node.tag == "a" or (node is not body and linked[id(node.parent)])
-        node.link_chars = n if linked[id(node)] else 0
+        node.link_chars = n if linked[id(node)] or (cored and not (node.in_article or node.is_core())) else 0
     for node in reversed(order):
         if node is not body:
             node.parent.link_chars += node.link_chars
@@ -298,11 +342,6 @@ def main_nodes(root: Node, hints: bool = True) -> list[Node | str]:
     path = [heart]
     while path[-1] is not body:
         path.append(path[-1].parent)
-    if hints:
-        for kinds in (("article",), ("main",)):
-            around = next((x for x in path if x.tag in kinds or x.attributes.get("role", "").lower() in kinds), None)
-            if around is not None:
-                return [around]
     if heart is body:
         return [body]
     least = min(n.density for n in path[:-1])
@@ -317,11 +356,12 @@ def main_nodes(root: Node, hints: bool = True) -> list[Node | str]:
                 after = True
                 continue
             if not isinstance(c, str):
+                within = hints and (parent.in_article or parent.is_core())  # of an article, all but noise
                 title = (c.tag in HEADINGS or c.tag == "header") and not heart.whole
                 beside = (parent is not body or down.tag in TEXTUAL) and (c.tag in TEXTUAL or c.tag not in BLOCK)
-                if not c.chars or c.noise or not (title or beside or (c.density >= least and max(c.total, c.density) >= PART * heart.total)):
+                if not c.chars or c.noise or not (within or title or beside or (c.density >= least and max(c.total, c.density) >= PART * heart.total)):
                     continue
-                if 3 * c.link_chars > 2 * c.chars and c.tag in BLOCK:
+                if not within and 3 * c.link_chars > 2 * c.chars and c.tag in BLOCK:
                     continue
             (later if after else before).append(c)
         behind.append(later)

@@ -62,6 +62,26 @@ def test_generated_articles_are_whole():
         assert htmltext.main_text(page) == "\n\n".join(want), page
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>Art text</p><!-- hidden", "Art text"),
+        ("<p>x</p><!doctype html", "x"),
+        ("<p>x</p><?php echo 1", "x"),
+        ("<p>x</p><script", "x"),
+        ("<p>x</p></p", "x"),
+        ("<p>one<!--a--!> two</p><p>three</p>", "one two\n\nthree"),
+        ("<p>a<!-->b--c<!--->d", "ab--cd"),
+        ("a < b and c > d, x </", "a < b and c > d, x </"),
+        ('<article><p>Long text here</p><div class="share-price"><p>Five.</p></div><div id="notice-period"><p>Two weeks.</p></div><section class="related-work"><p>Prior art.</p></section></article>', "Long text here\n\nFive.\n\nTwo weeks.\n\nPrior art."),
+        ('<article><p>Text of it.</p><section id="comments"><p>A reader says a long thing, and more.</p></section><div class="ad">buy</div><div class="related"><a href=x>more like it</a></div></article>', "Text of it."),
+    ],
+)
+def test_open_ends_and_names(page, text):
+    """What is opened and never closed is no text; one word of a name drops nothing of an article."""
+    assert htmltext.main_text(page) == text
+
+
 LONG = "<p>" + "Long text, word after word. " * 30 + "</p>"
 
 
