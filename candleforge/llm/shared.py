@@ -41,10 +41,10 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.n = 0
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
