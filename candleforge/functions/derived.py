@@ -284,7 +284,7 @@ for _i, _n in enumerate(("upper", "middle", "lower")):
 
 @indicator()
 def obv(p: Plan) -> str:
-    return p.let(f"sum({p.let(f'coalesce(sign(close - {p.prev("close")}), 0) * volume')}) {p.so_far()}")
+    return p.running("sum", p.let(f"coalesce(sign(close - {p.prev('close')}), 0) * volume"))
 
 
 @indicator()
@@ -307,7 +307,7 @@ def cmf(p: Plan, period: int = 20) -> str:
 
 @indicator()
 def ad_line(p: Plan) -> str:
-    return p.let(f"sum({money_flow(p)}) {p.so_far()}")
+    return p.running("sum", money_flow(p))
 
 
 define("chaikin_oscillator", lambda p, short_length=3, long_length=10: f"({p.ewm(ad_line(p), 2 / (short_length + 1))} - {p.ewm(ad_line(p), 2 / (long_length + 1))})")

@@ -223,7 +223,7 @@ def swing(p: Plan, x: str, length: int) -> str:
 def swings(p: Plan, x: str, length: int) -> tuple[str, str, str]:
     """``(level on confirmation, last level, the one before it)``."""
     at = swing(p, x, length)
-    earlier = p.let(p.dialect.last_known(at, p.before()))
+    earlier = p.running("last", at, before=True)
     return at, p.known(at), p.known(p.let(f"case when {at} is not null then {earlier} end"))
 
 
@@ -268,29 +268,24 @@ def _day(p: Plan) -> str:
 
 
 def _in_day(p: Plan, aggregate: str, x: str, last: str = "current row") -> str:
-    return p.let(f"{aggregate}({x}) over (partition by {SERIES_DAY.format(_day(p))} order by bar_index rows between unbounded preceding and {last})")
-
-
-SERIES_DAY = "symbol, timeframe, {}"
+    return p.in_day(aggregate, x, _day(p), last)
 
 
 def yesterday(p: Plan, period: int = 14) -> dict[str, str]:
     """High, low, close and average range of the existing day before, on each bar of a day."""
     day = _day(p)
-    whole = f"over (partition by {SERIES_DAY.format(day)} order by bar_index rows between unbounded preceding and unbounded following)"
     first = p.let(f"coalesce({p.prev(day)} <> {day}, true)")
-    high, low, close = p.let(f"max(high) {whole}"), p.let(f"min(low) {whole}"), p.let(f"last_value(close) {whole}")
-    number = p.let(f"sum(cast({first} as int)) {p.so_far()}")
+    high, low, close = (p.in_day(f, x, day, "unbounded following") for f, x in (("max", "high"), ("min", "low"), ("last_value", "close")))
+    number = p.running("sum", f"cast({first} as int)")
     out = {}
     last = {k: p.let(f"case when {first} then {p.prev(x)} end") for k, x in (("high", high), ("low", low), ("close", close))}
     for k, x in last.items():
         out[k] = p.known(x)
     # the average over days: running sums of a day's range, counted on its first bar
     span = p.let(f"case when {first} then {high} - {low} end")
-    total = p.let(f"sum({span}) {p.so_far()}")
+    total = p.running("sum", span)
     before = p.let(f"case when {first} then {total} - {span} end")
-    days = f"over (partition by {SERIES_DAY.format(first)} order by bar_index)"
-    earlier = p.let(f"lag({before}, {int(period)}) {days}")
+    earlier = p.days_ago(before, period, first)
     out["adr"] = p.known(p.let(f"case when {first} and {number} > {int(period)} then ({before} - {earlier}) / {int(period)} end"))
     return out
 

@@ -6,7 +6,8 @@ statements run on Spark and on any engine with standard windows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: No loss at all counts as this factor.
 NO_LOSS = 999.0
@@ -59,21 +60,6 @@ select series, run, max(high - equity) as dd from (select series, run, equity, m
 select series, run, draw, trade_number, sum(profit) over (partition by series, run order by draw, trade_number rows between unbounded preceding and current row) as equity from (
 select series, run, trade_number, profit, md5(concat(cast(run as {text}), '-', cast(trade_number as {text}))) as draw from {trades} cross join (select {numbers} as run) n) d) e) h group by series, run) m group by series"""
 
-#: Windows of ``{train}`` periods to fit and ``{test}`` to prove, each beginning ``{step}`` later; what the best series of the first does in the second.
-WALK_FORWARD = """with p as (select series, trade_number, exit_time, profit, {period} as period from {trades}),
-w as (select distinct period as begin from p where period + {train} + {test} - 1 <= (select max(period) from p)),
-a as (select w.begin, p.series, sum(case when p.period < w.begin + {train} then profit end) as train_profit, sum(case when p.period >= w.begin + {train} then profit end) as test_profit,
-sum(case when p.period >= w.begin + {train} and profit > 0 then profit else 0e0 end) as gain, sum(case when p.period >= w.begin + {train} and profit < 0 then -profit else 0e0 end) as loss, count(case when p.period >= w.begin + {train} then 1 end) as test_trades
-from w join p on p.period between w.begin and w.begin + {train} + {test} - 1 group by w.begin, p.series),
-r as (select *, row_number() over (partition by begin order by round(train_profit, 6) desc, series) as rank from a where train_profit is not null)
-select begin, series, cast(rank as bigint) as rank, round(train_profit + 1e-9, 6) as train_profit, round(coalesce(test_profit, 0) + 1e-9, 6) as test_profit, test_trades, round({factor} + 1e-9, 6) as test_profit_factor,
-case when test_trades = 0 then 'NO_TRADE' when test_profit > 0 and {factor} >= 1.2 then 'PASS' when test_profit > 0 then 'CAUTION' else 'FAIL' end as judgement from r where rank <= {top}"""
-
-
-def walk_forward(period: str, train: int, test: int, top: int = 3) -> str:
-    return WALK_FORWARD.format(period=period, train=train, test=test, top=top, factor=f"({factor('gain', 'loss')})", trades="{trades}")
-
-
 #: The first ``{share}`` of each series' trades against the rest.
 OUT_OF_SAMPLE = f"""select series, part, {{n}} as trades, round(net_profit + 1e-9, 6) as net_profit, round({factor('gross_profit', 'gross_loss')} + 1e-9, 6) as profit_factor from (
 select series, case when k <= floor(n * {{share}}) then 'in' else 'out' end as part, {_COUNTS} from (select *, row_number() over (partition by series order by exit_time, trade_number) as k, count(*) over (partition by series) as n from {{trades}}) o group by series, case when k <= floor(n * {{share}}) then 'in' else 'out' end) x""".replace("{n}", "trades")
@@ -108,11 +94,34 @@ from (select series, {_COUNTS} from {{trades}} group by series) a join (select s
 CALMAR = f"select r.series, r.cagr, s.max_dd, round(case when s.max_dd > 0 then r.cagr / nullif(s.max_dd / 1e2, 0) else 0e0 end + 1e-9, 6) as calmar_ratio from ({RATIOS}) r join ({SUMMARY}) s on s.series = r.series"
 
 
-def grades(unit: str, monte_carlo: str, walk: str) -> str:
-    """Grades of stability, of the orders of trades and of walk-forward tests, for :data:`CONFIDENCE`."""
-    rated = f"select series, 1e2 * sum(case when judgement = 'PASS' then 1 else 0 end) / count(*) as passed, avg(test_profit_factor) as pf, sum(test_profit) as profit, sum(case when test_profit < 0 then 1 else 0 end) as negative from ({walk}) w group by series"
-    rating = "case when passed >= 70 and pf >= 1.5 and profit > 0 and negative <= 4 then 'A' when passed >= 55 and pf >= 1.2 and profit > 0 then 'B' when passed >= 40 and profit > 0 then 'C' else 'D' end"
-    return f"select series, 'stability' as component, grade from ({STABILITY.replace('{unit}', unit)}) s union all select series, 'monte_carlo', rating from ({monte_carlo}) m union all select series, 'walk_forward', {rating} from ({rated}) r"
+def rated(tests: DataFrame) -> DataFrame:
+    """``series, grade`` of judged walk-forward ``tests`` of each series: by the share of passes, the mean factor, the profit and the losing tests.
+
+    The mean leaves out tests without trades and without a loss.
+    """
+    known = F.when((F.col("test_trades") > 0) & (F.col("test_profit_factor") < NO_LOSS), F.col("test_profit_factor"))
+    passes, losing = F.count(F.when(F.col("judgement") == "PASS", 1)), F.count(F.when(F.col("test_net_profit") < 0, 1))
+    x = tests.groupBy("series").agg((100 * passes / F.count("*")).alias("passed"), F.coalesce(F.avg(known), F.lit(0.0)).alias("pf"), F.sum("test_net_profit").alias("profit"), losing.alias("negative"))
+    return x.select("series", walk_forward_grade("passed", "pf", "profit", "negative").alias("grade"))
+
+
+def walk_forward_grade(passed: str, factor: str, profit: str, losing: str) -> Column:
+    gain = F.col(profit) > 0
+    return F.when((F.col(passed) >= 70) & (F.col(factor) >= 1.5) & gain & (F.col(losing) <= 4), "A").when((F.col(passed) >= 55) & (F.col(factor) >= 1.2) & gain, "B").when((F.col(passed) >= 40) & gain, "C").otherwise("D")
+
+
+def flat_grade(score: Column) -> Column:
+    """The grade of a flatness from 0 to 100."""
+    return F.when(score >= 80, "A").when(score >= 65, "B").when(score >= 50, "C").otherwise("D")
+
+
+def confidence(**components: DataFrame) -> DataFrame:
+    """``series, components, score, grade`` of components with ``series, grade``; a series counts those that it has."""
+    rows = None
+    for name, x in components.items():
+        x = x.select("series", F.lit(name).alias("component"), "grade")
+        rows = x if rows is None else rows.union(x)
+    return rows.sparkSession.sql(CONFIDENCE.format(grades="select * from {grades}"), grades=rows)
 
 
 def run(statement: str, trades: DataFrame) -> DataFrame:

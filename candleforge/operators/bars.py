@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,12 @@ def indexed(bars: DataFrame) -> DataFrame:
     return bars.withColumn("bar_index", (F.row_number().over(w) - 1).cast("long"))
 
 
-def from_ticks(ticks: DataFrame, timeframe: str, symbol: str = "event_type", price: str = "value", ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """OHLC bars of ticks; the volume is the number of ticks. Ticks without time or price are left out."""
+def from_ticks(ticks: DataFrame, timeframe: str, symbol: str = "event_type", price: str = "value", ts: str = "ts", tie: str = "event_id", index: Callable[[DataFrame], DataFrame] = indexed) -> DataFrame:
+    """OHLC bars of ticks; the volume is the number of ticks. Ticks without time or price are left out. ``index`` numbers the bars of each series."""
     order = F.struct(ts, tie)
     rows = ticks.where(F.col(ts).isNotNull() & F.col(price).isNotNull())
     rows = rows.groupBy(F.col(symbol).alias("symbol"), F.lit(timeframe).alias("timeframe"), bucket(F.col(ts), timeframe).alias("datetime"))
-    return indexed(rows.agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.count("*").cast("double").alias("volume")))
+    return index(rows.agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.count("*").cast("double").alias("volume")))
 
 
 def resample(bars: DataFrame, timeframe: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from candleforge.operators import analysis as A
 from candleforge.operators.ordering import kept, ranked, running_equity
+from candleforge.operators.walk_forward import Windows, scores
 
 #: Fixed weights of the metrics of a ranking; ``max_dd`` counts downwards.
 WEIGHTS = {"profit_factor": 30.0, "net_profit": 20.0, "max_dd": 15.0, "win_rate": 10.0, "expected_value": 10.0, "year_stability": 10.0, "month_stability": 5.0, "walk_forward_score": 20.0}
@@ -52,12 +53,53 @@ RANKINGS = {
 }
 
 
-def metrics(trades: DataFrame, year: str = "year", month: str = "month") -> DataFrame:
-    """A row a series: the summary, the longest streaks, and the stability by ``year`` and ``month`` (any calendar unit) and both together, six tenths and four."""
-    out = A.run(A.SUMMARY, trades).join(A.run(A.STREAKS, trades), "series")
-    for name, unit in (("year_stability", year), ("month_stability", month)):
-        out = out.join(A.run(A.STABILITY.format(unit=unit, trades="{trades}"), trades).select("series", F.col("score").alias(name)), "series")
-    return out.withColumn("overall_stability", F.round(F.col("year_stability") * 0.6 + F.col("month_stability") * 0.4 + 1e-9, 6)).withColumn("walk_forward_score", F.lit(0.0))
+def metrics(trades: DataFrame, year: str = "year", month: str = "month", windows: Windows | None = None) -> DataFrame:
+    """A row a series: the summary, the longest streaks, how the profits of ``year`` and ``month`` (any calendar unit) are spread, and the walk-forward score.
+
+    Both stabilities make the overall one, six tenths and four. The trades are evaluated once.
+    """
+    trades = kept(trades)
+    spread = A.run(A.stability_report(year, month), trades)
+    columns = [F.col(c).alias(n) for c, n in {"years_score": "year_stability", "months_score": "month_stability", "overall_score": "overall_stability", "profitable_years": "winning_years", "losing_years": "losing_years", "years_average": "avg_yearly_profit", "years_worst": "min_yearly_profit", "profitable_months": "winning_months", "losing_months": "losing_months", "months_average": "avg_monthly_profit", "months_worst": "min_monthly_profit"}.items()]
+    walked = scores(trades, windows or Windows()).select("series", F.col("wf_score").alias("walk_forward_score"))
+    return A.run(A.SUMMARY, trades).join(A.run(A.STREAKS, trades), "series").join(spread.select("series", *columns), "series").join(walked, "series")
+
+
+@dataclass(frozen=True)
+class Weights:
+    """Fixed default weights of a re-ranking; drawdown, losing periods and losing streaks count downwards."""
+
+    profit_factor: float = 1000.0
+    net_profit: float = 2.0
+    expected_value: float = 10000.0
+    win_rate: float = 10.0
+    max_dd: float = 50.0
+    trades: float = 0.0
+    year_stability: float = 20.0
+    winning_years: float = 30.0
+    losing_years: float = 50.0
+    avg_yearly_profit: float = 5.0
+    min_yearly_profit: float = 5.0
+    month_stability: float = 20.0
+    winning_months: float = 2.0
+    losing_months: float = 2.0
+    avg_monthly_profit: float = 10.0
+    min_monthly_profit: float = 10.0
+    max_consecutive_wins: float = 0.0
+    max_consecutive_losses: float = 20.0
+
+    def score(self, columns: list[str]) -> Column:
+        """The weighted sum; a column that ``columns`` lacks, or null, counts as 0."""
+        down = {"max_dd", "losing_years", "losing_months", "max_consecutive_losses"}
+        terms = [F.coalesce(F.col(f.name).cast("double"), F.lit(0.0)) * (-getattr(self, f.name) if f.name in down else getattr(self, f.name)) for f in fields(self) if f.name in columns]
+        return sum(terms, F.lit(0.0))
+
+
+def reranked(results: DataFrame, weights: Weights | None = None, exclusions: Exclusions | None = None) -> DataFrame:
+    """``results`` that no exclusion hits with ``new_score`` and ``rank``, the best first, ties by series."""
+    rest = results if exclusions is None else results.where(~exclusions.excluded(results.columns))
+    rest = rest.withColumn("new_score", F.round((weights or Weights()).score(results.columns) + 1e-9, 6))
+    return ranked(rest, F.col("new_score").desc(), F.col("series"))
 
 
 def weighted(results: DataFrame, thresholds: Thresholds | None = None, weights: Mapping[str, float] = WEIGHTS, top: int | None = None) -> DataFrame:
@@ -125,17 +167,30 @@ def judged(rows: DataFrame, most_dd: float = 5.0) -> DataFrame:
 
 
 def overall(rows: DataFrame) -> DataFrame:
-    """One row for judged walk-forward ``rows``: share of passes, mean profit factor, profit, losing tests and rating A to D."""
-    x = rows.agg(F.count("*").alias("tests"), (100 * F.count(F.when(F.col("judgement") == "PASS", 1)) / F.count("*")).alias("pass_rate"), F.avg("test_profit_factor").alias("avg_pf"), F.sum("test_net_profit").alias("total_profit"), F.count(F.when(F.col("test_net_profit") < 0, 1)).alias("negative_tests"))
-    gain = F.col("total_profit") > 0
-    rating = F.when((F.col("pass_rate") >= 70) & (F.col("avg_pf") >= 1.5) & gain & (F.col("negative_tests") <= 4), "A").when((F.col("pass_rate") >= 55) & (F.col("avg_pf") >= 1.2) & gain, "B").when((F.col("pass_rate") >= 40) & gain, "C").otherwise("D")
-    return x.select("tests", F.round("pass_rate", 6).alias("pass_rate"), F.round("avg_pf", 6).alias("avg_pf"), F.round("total_profit", 6).alias("total_profit"), "negative_tests", rating.alias("rating"))
-
-
-def sensitivity_rating(flat: DataFrame) -> DataFrame:
-    """``score, rating`` of how flat results stay over all parameters of ``flat``."""
-    x = flat.agg(F.round(F.avg("flatness") + 1e-9, 2).alias("score"))
-    return x.select("score", F.when(F.col("score") >= 80, "A").when(F.col("score") >= 65, "B").when(F.col("score") >= 50, "C").otherwise("D").alias("rating"))
+    """One row for judged walk-forward ``rows``: share of passes, means over the tests with trades, profit, losing tests and rating A to D.
+
+    The mean factor also leaves out tests without a loss, whose factor stands for infinity.
+    """
+    valid = F.col("test_trades") > 0
+    mean = lambda c, test: F.coalesce(F.avg(F.when(test, F.col(c))), F.lit(0.0))
+    x = rows.agg(
+        F.count("*").alias("tests"), F.count(F.when(valid, 1)).alias("valid_tests"), F.coalesce(100 * F.try_divide(F.count(F.when(F.col("judgement") == "PASS", 1)), F.count("*")), F.lit(0.0)).alias("pass_rate"),
+        mean("test_profit_factor", valid & (F.col("test_profit_factor") < A.NO_LOSS)).alias("avg_pf"), mean("test_win_rate", valid).alias("avg_win_rate"), F.coalesce(F.sum("test_net_profit"), F.lit(0.0)).alias("total_profit"), F.coalesce(F.max("test_max_dd"), F.lit(0.0)).alias("max_dd"), F.count(F.when(F.col("test_net_profit") < 0, 1)).alias("negative_tests"),
+    )
+    rating = A.walk_forward_grade("pass_rate", "avg_pf", "total_profit", "negative_tests").alias("rating")
+    return x.select("tests", "valid_tests", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("pass_rate", "avg_pf", "avg_win_rate", "total_profit", "max_dd")], "negative_tests", rating)
+
+
+def flatness(results: DataFrame, *by: str) -> DataFrame:
+    """``pf_min, pf_max, flatness`` of the profit factors of the variants of each parameter (and of each of ``by``), base value included; 0 without profits."""
+    out = results.groupBy(*by, "param").agg(F.count("*").alias("variants_tested"), F.min("profit_factor").alias("pf_min"), F.max("profit_factor").alias("pf_max"))
+    return out.withColumn("flatness", F.round(F.when(F.col("pf_max") > 0, F.col("pf_min") / F.col("pf_max")).otherwise(0.0) * 100 + 1e-9, 6))
+
+
+def sensitivity_rating(flat: DataFrame, *by: str) -> DataFrame:
+    """``score, rating`` of how flat results stay over all parameters of ``flat`` (of each of ``by``)."""
+    x = flat.groupBy(*by).agg(F.coalesce(F.round(F.avg("flatness") + 1e-9, 2), F.lit(0.0)).alias("score"))
+    return x.select(*by, "score", A.flat_grade(F.col("score")).alias("rating"))
 
 
 def composite(trades: DataFrame) -> DataFrame:

@@ -118,5 +118,5 @@ def reversed_strategy(params: dict[str, Any]) -> dict[str, Any]:
 
 
 def one_at_a_time(base: dict[str, Any], space: Space) -> list[tuple[str, dict[str, Any]]]:
-    """Variants of ``base`` that differ in one parameter, with its name."""
-    return [(k, {**base, k: v}) for k, items in space.items() for v in items if v != base.get(k)]
+    """Variants of ``base`` in one parameter of more than one value, with its name; the base's own value stays among them."""
+    return [(k, {**base, k: v}) for k, items in space.items() if len(items) > 1 for v in items]

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from candleforge.functions import candles, derived, indicators  # noqa: F401  (they register)
 from candleforge.functions.compiler import DUCKDB, SPARK, Dialect, Plan
 from candleforge.functions.indicators import REGISTRY, build
 from candleforge.operators import bars as B
-from candleforge.operators import patterns
+from candleforge.operators import patterns, slices, tails
 
 #: Fixed families of the registry, a query each.
 FAMILIES: dict[str, list[str]] = {
@@ -82,6 +83,36 @@ def _family_sql(names: list[str]) -> str:
     return f"with {HOURLY_SQL} {plan.sql('bars', outputs)}"
 
 
+#: Indicators of one long series in slices: with windows that end, and all kinds of those that don't.
+SLICED = "ema rsi atr adx macd_signal obv ad_line vwap adr prev_day_high bollinger_upper percentile_rank_rsi connors_rsi bos_bullish choch_bearish breaker_block_bullish fvg_first_retest_bullish higher_high".split()
+#: Indicators of a chart's last bars.
+CHART = {"ema_20": ("ema", {"length": 20}), "rsi_14": ("rsi", {}), "upper": ("bollinger_upper", {}), "slow": ("stochastic_d", {}), "day_vwap": ("vwap", {}), "hammer": ("hammer", {}), "gap": ("fvg_bullish", {})}
+ALL_SQL = HOURLY_SQL.replace("event_type as symbol", "'ALL' as symbol").replace("date_trunc('hour', ts)", "time_bucket(interval 15 minute, ts)").replace("'1h'", "'15m'")
+
+
+def sliced_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators of all ticks as one series, cut into eight slices."""
+    ticks = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("event_type", F.lit("ALL"))
+    bars = B.from_ticks(ticks, "15m", index=slices.indexed_in_ranges)
+    return slices.evaluate(bars, lambda plan: {n: f"round({build(plan, n)} + 1e-9, 5)" for n in SLICED}, 8)
+
+
+def chart_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 48 bars of each series with a chart's indicators, of which only as many earlier bars are read as they need."""
+    return tails.tail(hourly(spark, sf_dir), 48, lambda plan: {n: f"round({build(plan, i, **p)} + 1e-9, 6)" for n, (i, p) in CHART.items()})
+
+
+def _tail_sql() -> str:
+    plan = Plan(DUCKDB)
+    outputs = {n: f"round({build(plan, i, **p)} + 1e-9, 6)" for n, (i, p) in CHART.items()}
+    return f"with {HOURLY_SQL} select * exclude (bar_index) from ({plan.sql('bars', outputs, keys='symbol, datetime, bar_index')}) x where bar_index > (select max(bar_index) - 48 from bars b where b.symbol = x.symbol)"
+
+
+def _sliced_sql() -> str:
+    plan = Plan(DUCKDB)
+    return f"with {ALL_SQL} {plan.sql('bars', {n: f'round({build(plan, n)} + 1e-9, 5)' for n in SLICED})}"
+
+
 def _resampled(timeframe: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: B.resample(hourly(spark, sf_dir), timeframe).drop("timeframe", "bar_index")
 
@@ -97,6 +128,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["bars_faults"] = lambda spark, sf_dir: B.faults(hourly(spark, sf_dir), gap=1.0).drop("timeframe")
     out |= {k: _family(v) for k, v in FAMILIES.items()}
     out["ind_kernels"] = _family(KERNEL_FAMILY)
+    out |= {"ind_sliced_all": sliced_all, "chart_tail": chart_tail}
+    out["chart_marks"] = lambda spark, sf_dir: tails.marks(hourly(spark, sf_dir), 100).drop("timeframe")
     out["chart_patterns"] = lambda spark, sf_dir: patterns.detect(hourly(spark, sf_dir))
     return out
 
@@ -112,6 +145,7 @@ row_number() over (partition by event_type order by time_bucket(interval 30 minu
     out["bars_faults"] = f"""with {HOURLY_SQL}, s as (select *, lag(datetime) over (partition by symbol order by datetime) as before from bars), t as (select *, date_diff('minute', before, datetime) as minutes from s)
 select symbol, 'gap' as fault, datetime, before, minutes from t where minutes > 60 union all select symbol, 'repeated', datetime, before, minutes from t where minutes = 0 union all select symbol, 'prices', datetime, before, minutes from t where high < greatest(open, close, low) or low > least(open, close)"""
     out |= {k: _family_sql(v) for k, v in FAMILIES.items()}
+    out |= {"ind_sliced_all": _sliced_sql(), "chart_tail": _tail_sql()}
     plan, outputs = family_plan(KERNEL_FAMILY, DUCKDB)
     out["ind_kernels"] = f"with recursive {HOURLY_SQL}, {KERNEL_SQL} {plan.sql('kbars', outputs)}"
     return out

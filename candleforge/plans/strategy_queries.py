@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
+from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from candleforge.operators import rankings as R
 from candleforge.operators import search
 from candleforge.operators.backtest import CONCURRENT_SQL, Strategy, concurrent, simulate, walk_forward
 from candleforge.operators.kernels import with_kernels
-from candleforge.operators.ordering import ranked
+from candleforge.operators.ordering import kept
+from candleforge.operators.walk_forward import Windows, proven, scores, summary
 from candleforge.plans import signals
 from candleforge.plans.conditions import Compiler, evaluate, parse
 from candleforge.plans.market_queries import HOURLY_SQL, KERNEL_SQL, hourly
@@ -105,28 +107,36 @@ def backtest_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate(signalled(spark, sf_dir), STRATEGIES)
 
 
-#: An entry that stands in for a signal wherever standard SQL has to follow.
-_CONCURRENT = {"op": "AND", "children": [{"indicator": "close", "operator": ">", "value": "sma", "value_params": {"length": 20}}, {"indicator": "bullish_candle", "operator": "==", "value": 1.0}]}
+#: Settings of the concurrent trades.
+RR, LENGTH, FIRST = 1.5, 20, 50
+
+
+def _entry(length: int) -> dict:
+    """An entry that stands in for a signal wherever standard SQL has to follow."""
+    return {"op": "AND", "children": [{"indicator": "close", "operator": ">", "value": "sma", "value_params": {"length": length}}, {"indicator": "bullish_candle", "operator": "==", "value": 1.0}]}
+
+
+def _concurrent(spark: SparkSession, sf_dir: str, rr: float = RR, length: int = LENGTH) -> DataFrame:
+    x = evaluate(hourly(spark, sf_dir), {"long_signal": _entry(length)}, pip=1.0).select("symbol", "bar_index", "datetime", "open", "high", "low", "long_signal")
+    return concurrent(x, rr=rr, first=FIRST)
+
+
 def concurrent_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every signal opens a position; exits are the first touch, however many bars later."""
-    x = evaluate(hourly(spark, sf_dir), {"long_signal": _CONCURRENT}, pip=1.0).select("symbol", "bar_index", "datetime", "open", "high", "low", "long_signal")
-    return concurrent(x, rr=1.5, first=50)
+    return _concurrent(spark, sf_dir).drop("entry_time", "exit_time")
 
 
-def _concurrent_sql() -> str:
+def _concurrent_sql(rr: float = RR, length: int = LENGTH) -> str:
     c = Compiler(DUCKDB, pip=1.0)
-    x = c.tree(parse(_CONCURRENT))
+    x = c.tree(parse(_entry(length)))
     inner = c.plan.sql("bars", {"long_signal": x}, keys="symbol, bar_index, datetime, open, high, low")
-    body = CONCURRENT_SQL.format(rr=1.5, first=50, bars="sig").strip().removeprefix("with ")
+    body = CONCURRENT_SQL.format(rr=rr, first=FIRST, bars="sig").strip().removeprefix("with ")
     return f"with {HOURLY_SQL}, sig as ({inner}), {body}"
 
 
-def trade_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trade_list(spark: SparkSession, sf_dir: str, rr: float = RR, length: int = LENGTH) -> DataFrame:
     """The concurrent trades as ``series, trade_number, entry_time, exit_time, profit``."""
-    x = concurrent_trades(spark, sf_dir)
-    b = hourly(spark, sf_dir).select("symbol", "bar_index", "datetime")
-    x = x.join(b.select("symbol", F.col("bar_index").alias("entry_bar_index"), F.col("datetime").alias("entry_time")), ["symbol", "entry_bar_index"]).join(b.select("symbol", F.col("bar_index").alias("exit_bar_index"), F.col("datetime").alias("exit_time")), ["symbol", "exit_bar_index"])
-    return x.select(F.col("symbol").alias("series"), F.col("signal_bar_index").alias("trade_number"), "entry_time", "exit_time", "profit")
+    return _concurrent(spark, sf_dir, rr, length).select(F.col("symbol").alias("series"), F.col("signal_bar_index").alias("trade_number"), "entry_time", "exit_time", "profit")
 
 
 def _trades_sql() -> str:
@@ -142,7 +152,6 @@ def _statements(dialect: str) -> dict[str, str]:
     text = "string" if spark else "varchar"
     numbers = "explode(sequence(1, 1000))" if spark else "unnest(range(1, 1001))"
     quantile = lambda q: f"percentile(dd, {q})" if spark else f"quantile_cont(dd, {q})"
-    day = "datediff(exit_time, timestamp_ntz'2024-01-01 00:00:00')" if spark else "date_diff('day', timestamp '2024-01-01 00:00:00', exit_time)"
     monte_carlo = A.MONTE_CARLO.format(q50=quantile(0.5), q90=quantile(0.9), q95=quantile(0.95), q99=quantile(0.99), text=text, numbers=numbers, trades=t)
     return {
         "analysis_days": A.periods("day").replace("{ntz}", "_ntz" if spark else ""),
@@ -153,9 +162,7 @@ def _statements(dialect: str) -> dict[str, str]:
         "analysis_ratios": A.RATIOS.format(per_year=52, unit="week", days=_DAYS[dialect], trades=t),
         "analysis_stability": A.STABILITY.format(unit="week", trades=t),
         "analysis_monte_carlo": monte_carlo,
-        "analysis_walk_forward": A.walk_forward(day, 10, 3),
         "analysis_reranking": A.RERANKING.format(least=5, trades=t),
-        "analysis_confidence": A.CONFIDENCE.format(grades=A.grades("week", monte_carlo, A.walk_forward(day, 10, 3, top=1000)).replace("{trades}", t)),
         "analysis_stability_report": A.stability_report("week", "day"),
         "analysis_older_metrics": A.OLDER_METRICS,
         "analysis_calmar": A.CALMAR.format(per_year=52, unit="week", days=_DAYS[dialect], trades=t),
@@ -178,7 +185,7 @@ SPACE = {"rr": [1.0, 1.5, 2.0], "breakout_bars": [5, 10, 20], "ema_length": [100
 
 
 SENSITIVE = {"direction": "long", "rr": 1.5, "sl_basis": "fixed_pips", "sl_fixed_pips": 60.0, "pip_size": 1.0}
-SENSITIVE_SPACE = {"rr": [1.0, 2.0, 2.5], "sl_fixed_pips": [40.0, 80.0]}
+SENSITIVE_SPACE = {"rr": [1.0, 1.5, 2.0, 2.5], "sl_fixed_pips": [40.0, 60.0, 80.0], "pip_size": [1.0]}
 
 
 def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,17 +194,106 @@ def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = {f"{k}|{v[k]}": Strategy.of(v) for k, v in variants}
     trades = simulate(signalled(spark, sf_dir), named).select(F.col("param_id").alias("series"), "trade_number", "entry_time", "exit_time", "profit")
     x = A.run(A.SUMMARY, trades).withColumn("param", F.element_at(F.split("series", "\\|"), 1))
-    out = x.groupBy("param").agg(F.min("profit_factor").alias("pf_min"), F.max("profit_factor").alias("pf_max"))
-    return out.withColumn("flatness", F.round(F.coalesce(F.try_divide("pf_min", "pf_max"), F.lit(0.0)) * 100, 6))
+    return R.flatness(x)
 
 
 #: Orders of the merged trades of all series.
 _MERGED = "select 'all' as series, {concat} as trade_number, entry_time, exit_time, profit from {trades}"
 
 
+#: Windows of the walk-forward tests, and the drawdown that a test may have here, where prices are in tens.
+WALK, MOST_DD = Windows(10, 3, 1, "day"), 300.0
+_ROUNDED = ("net_profit", "profit_factor", "win_rate", "max_dd")
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result row a series of the concurrent trades; the bars span weeks, which stand for years and months here."""
-    return R.metrics(trade_list(spark, sf_dir), year="week", month="day")
+    return R.metrics(trade_list(spark, sf_dir), year="week", month="day", windows=WALK)
+
+
+def _rounded(x: DataFrame, *columns: str) -> list:
+    return [F.round(F.col(c) + 1e-9, 6).alias(c) for c in columns]
+
+
+def walk_forward_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best series of each training part, proven on the test part."""
+    x = R.judged(proven(trade_list(spark, sf_dir), WALK, top=3), MOST_DD)
+    return x.select("window_id", "series", "rank", *[F.col(f"{d}_{k}").cast("timestamp_ntz").alias(f"{d}_{k}") for d in ("train", "test") for k in ("start", "end")], "train_trades", "test_trades", *_rounded(x, *[f"{p}_{c}" for p in ("train", "test") for c in _ROUNDED]), "passed", "judgement")
+
+
+_SUMMED = ("pass_rate", "oos_total_profit", "oos_avg_profit", "oos_avg_pf", "oos_avg_win_rate", "oos_worst_dd", "wf_score")
+
+
+def walk_forward_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = summary(proven(trade_list(spark, sf_dir), WALK))
+    return x.select("total_windows", "passed_windows", "oos_total_trades", *_rounded(x, *_SUMMED))
+
+
+def walk_forward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = scores(trade_list(spark, sf_dir), WALK)
+    return x.select("series", "total_windows", "passed_windows", "oos_total_trades", *_rounded(x, *_SUMMED))
+
+
+#: Trades in windows, and measures of each part, by range joins and windows of standard SQL.
+_WALK_SQL = """cal as (select min(entry_time)::date as f, date_diff('day', min(entry_time)::date, max(entry_time)::date) as e from trades),
+wb as (select unnest(range(0, greatest(e - 12, 0))) as b from cal),
+wt as (select b, series, case when u < b + 10 then 'train' else 'test' end as part, trade_number, exit_time, profit from wb join (select t.*, date_diff('day', f, entry_time::date) as u from trades t, cal) x on u >= b and u < b + 13),
+we as (select *, sum(profit) over (partition by b, series, part order by exit_time, trade_number) as eq from wt),
+wm as (select b, series, part, count(*) as n, sum(profit) as net, 1e2 * count(*) filter (where profit > 0) / count(*) as wr, case when sum(greatest(-profit, 0)) > 0 then sum(greatest(profit, 0)) / sum(greatest(-profit, 0)) when sum(greatest(profit, 0)) > 0 then 999.0 else 0.0 end as pf, max(hi - eq) as dd
+from (select *, max(eq) over (partition by b, series, part order by exit_time, trade_number) as hi from we) h group by b, series, part),
+wr as (select b, series, row_number() over (partition by b order by round(net, 6) desc, series) as rank, n as train_trades, net as train_net_profit, pf as train_profit_factor, wr as train_win_rate, dd as train_max_dd from wm where part = 'train'),
+wp as (select r.*, coalesce(t.n, 0) as test_trades, coalesce(t.net, 0) as test_net_profit, coalesce(t.pf, 0) as test_profit_factor, coalesce(t.wr, 0) as test_win_rate, coalesce(t.dd, 0) as test_max_dd, coalesce(t.pf >= 1 and t.n >= 5 and t.net > 0, false) as passed,
+case when coalesce(t.n, 0) = 0 then 'NO_TRADE' when t.net > 0 and t.pf >= 1.2 and t.dd <= 300 then 'PASS' when t.net > 0 then 'CAUTION' else 'FAIL' end as judgement from wr r left join wm t on t.b = r.b and t.series = r.series and t.part = 'test')"""
+_WF_SUMS = "count(*) filter (where passed) as passed_windows, coalesce(sum(test_net_profit), 0) as total, coalesce(sum(test_profit_factor), 0) as pfs, coalesce(sum(test_win_rate), 0) as wrs, coalesce(max(test_max_dd), 0) as oos_worst_dd, coalesce(sum(test_trades), 0)::bigint as oos_total_trades"
+
+
+def _wf_score_sql(inner: str, keys: str = "") -> str:
+    """The score over ``inner``, which has ``total_windows`` and the sums above."""
+    score = "35 * passed_windows / m + 20 * greatest(0, least(pfs / m / 2, 2)) + 10 * greatest(0, least(wrs / m / 60, 2)) + 20 * (case when oos_worst_dd <= 0 then 1 else greatest(0, least(total / nullif(oos_worst_dd, 0), 5)) end) + 5 * least(oos_total_trades / 1e2, 2) + 0.1 * least(greatest(total, 0), 100)"
+    return f"select {keys} total_windows, passed_windows, oos_total_trades, round(passed_windows / m + 1e-9, 6) as pass_rate, round(total + 1e-9, 6) as oos_total_profit, round(total / m + 1e-9, 6) as oos_avg_profit, round(pfs / m + 1e-9, 6) as oos_avg_pf, round(wrs / m + 1e-9, 6) as oos_avg_win_rate, round(oos_worst_dd + 1e-9, 6) as oos_worst_dd, round(round(case when oos_total_trades > 0 then {score} else 0e0 end + 1e-9, 6) + 1e-9, 6) as wf_score from (select *, greatest(total_windows, 1)::double as m from ({inner}) i) j"
+
+
+_SERIES_SCORES = _wf_score_sql(f"select series, (select count(*) from wb) as total_windows, {_WF_SUMS} from (select s.series, coalesce(n, 0) as test_trades, coalesce(net, 0) as test_net_profit, coalesce(pf, 0) as test_profit_factor, coalesce(wr, 0) as test_win_rate, coalesce(dd, 0) as test_max_dd, coalesce(pf >= 1 and n >= 5 and net > 0, false) as passed from (select distinct series from trades) s left join wm t on t.series = s.series and t.part = 'test') q group by series", "series,")
+_TESTS_SQL = "select b + 1 as window_id, series, rank, " + ", ".join(f"cast(f + cast(b + {x} as int) as timestamp) as {n}" for n, x in (("train_start", 0), ("train_end", 10), ("test_start", 10), ("test_end", 13))) + ", train_trades, test_trades, " + ", ".join(f"round({p}_{c} + 1e-9, 6) as {p}_{c}" for p in ("train", "test") for c in _ROUNDED) + ", passed, judgement from wp, cal where rank <= 3"
+_RATED = "case when pass_rate >= 70 and avg_pf >= 1.5 and total_profit > 0 and negative_tests <= 4 then 'A' when pass_rate >= 55 and avg_pf >= 1.2 and total_profit > 0 then 'B' when pass_rate >= 40 and total_profit > 0 then 'C' else 'D' end"
+_OVERALL = "count(*) as tests, count(*) filter (where test_trades > 0) as valid_tests, 1e2 * count(*) filter (where judgement = 'PASS') / count(*) as pass_rate, coalesce(avg(test_profit_factor) filter (where test_trades > 0 and test_profit_factor < 999), 0) as avg_pf, coalesce(avg(test_win_rate) filter (where test_trades > 0), 0) as avg_win_rate, sum(test_net_profit) as total_profit, max(test_max_dd) as max_dd, count(*) filter (where test_net_profit < 0) as negative_tests"
+_OVERALL_SQL = f"select tests, valid_tests, round(pass_rate + 1e-9, 6) as pass_rate, round(avg_pf + 1e-9, 6) as avg_pf, round(avg_win_rate + 1e-9, 6) as avg_win_rate, round(total_profit + 1e-9, 6) as total_profit, round(max_dd + 1e-9, 6) as max_dd, negative_tests, {_RATED} as rating from (select {_OVERALL} from wp where rank <= 3) o"
+
+#: Variants of the concurrent trades in one setting at a time.
+VARIANTS = search.one_at_a_time({"rr": RR, "length": LENGTH}, {"rr": [1.0, 1.5, 2.0], "length": [10, 20, 40]})
+
+
+def sensitivity_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How flat each series' profit factor stays when one setting of its concurrent trades changes."""
+    trades = None
+    for k, v in VARIANTS:
+        one = trade_list(spark, sf_dir, v["rr"], v["length"]).withColumn("series", F.concat_ws("|", "series", F.lit(k), F.lit(str(v[k]))))
+        trades = one if trades is None else trades.union(one)
+    x = A.run(A.SUMMARY, trades).select(F.split("series", "\\|").alias("s"), "profit_factor")
+    return R.flatness(x.select(F.col("s")[0].alias("series"), F.col("s")[1].alias("param"), "profit_factor"), "series")
+
+
+def _series_sensitivity_sql() -> str:
+    trades = " union all ".join(f"select symbol as series, '{k}' as param, '{v[k]}' as value, profit from ({_concurrent_sql(v['rr'], v['length'])}) x" for k, v in VARIANTS)
+    gain, loss = "sum(case when profit > 0 then profit else 0e0 end)", "sum(case when profit < 0 then -profit else 0e0 end)"
+    return f"select series, param, count(*) as variants_tested, min(pf) as pf_min, max(pf) as pf_max, round(case when max(pf) > 0 then min(pf) / max(pf) else 0 end * 100 + 1e-9, 6) as flatness from (select series, param, value, round({A.factor(gain, loss)} + 1e-9, 6) as pf from ({trades}) t group by series, param, value) f group by series, param"
+
+
+def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four grades of each series and their mean: stability, orders of trades, walk-forward tests, sensitivity."""
+    trades = kept(trade_list(spark, sf_dir))
+    tests = R.judged(proven(trades, WALK, top=None), MOST_DD)
+    graded = lambda x, c: x.select("series", F.col(c).alias("grade"))
+    return A.confidence(
+        stability=graded(A.run(_statements("spark")["analysis_stability"], trades), "grade"), monte_carlo=graded(A.run(_statements("spark")["analysis_monte_carlo"], trades), "rating"),
+        walk_forward=A.rated(tests), sensitivity=graded(R.sensitivity_rating(sensitivity_by_series(spark, sf_dir), "series"), "rating"),
+    )
+
+
+def _confidence_sql() -> str:
+    x = _statements("duckdb")
+    grades = f"select series, grade from ({x['analysis_stability'].format(trades='trades')}) a union all select series, rating from ({x['analysis_monte_carlo'].format(trades='trades')}) b union all select series, {_RATED} from (select series, {_OVERALL} from wp group by series) c union all select series, case when score >= 80 then 'A' when score >= 65 then 'B' when score >= 50 then 'C' else 'D' end from (select series, round(avg(flatness) + 1e-9, 2) as score from ({_series_sensitivity_sql()}) f group by series) d"
+    return f"{_trades_sql()}, {_WALK_SQL}, g as (select series, case grade when 'A' then 1e2 when 'B' then 75 when 'C' then 50 else 25 end as points from ({grades}) e) select series, count(*) as components, round(avg(points) + 1e-9, 6) as score, case when avg(points) >= 87.5 then 'A' when avg(points) >= 62.5 then 'B' when avg(points) >= 37.5 then 'C' else 'D' end as grade from g group by series"
 
 
 def composite_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,18 +307,31 @@ EXCLUSIONS = R.Exclusions(minimum_trades=20, maximum_consecutive_losses=12, mini
 
 
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series that no exclusion hits, the best first by a linear score."""
-    x = results(spark, sf_dir)
-    score = F.col("profit_factor") * 10 + F.col("win_rate") * 0.5 + F.col("recovery_factor") * 5 - F.col("max_dd") * 0.01
-    x = x.where(~EXCLUSIONS.excluded(x.columns)).withColumn("score", F.round(score + 1e-9, 6))
-    return ranked(x, F.col("score").desc(), F.col("series")).select("series", "score", F.col("rank").cast("long").alias("rank"))
+    """Series that no exclusion hits, the best first by a linear score of four measures."""
+    four = {"profit_factor": 10.0, "win_rate": 0.5, "max_dd": 0.01, "max_consecutive_wins": 5.0}
+    weights = R.Weights(**{f.name: four.get(f.name, 0.0) for f in fields(R.Weights)})
+    x = R.reranked(results(spark, sf_dir), weights, EXCLUSIONS)
+    return x.select("series", F.col("new_score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+#: Exclusions that set all that have a number, and let some of the test tables' series pass.
+ALL_EXCLUSIONS = R.Exclusions(minimum_trades=20, minimum_profit=-100_000.0, minimum_pf=0.5, minimum_yearly_stability=1.0, minimum_monthly_stability=1.0, maximum_drawdown=100_000.0, minimum_win_rate=10.0, minimum_average_profit=-100.0, maximum_consecutive_losses=40, exclude_short=True)
+
+
+def reranked_by_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The re-ranking by its eighteen default weights, with every numeric exclusion set."""
+    x = R.reranked(results(spark, sf_dir), R.Weights(), ALL_EXCLUSIONS)
+    return x.select("series", "new_score", F.col("rank").cast("long").alias("rank"))
+
+
+_EIGHTEEN = "1000 * profit_factor + 2 * net_profit + 10000 * expected_value + 10 * win_rate - 50 * max_dd + 20 * year_stability + 30 * winning_years - 50 * losing_years + 5 * avg_yearly_profit + 5 * min_yearly_profit + 20 * month_stability + 2 * winning_months - 2 * losing_months + 10 * avg_monthly_profit + 10 * min_monthly_profit - 20 * max_consecutive_losses"
 
 
-WINDOWS = [(datetime.datetime(2024, 1, 1) + datetime.timedelta(days=a), datetime.datetime(2024, 1, 1) + datetime.timedelta(days=a + 20), datetime.datetime(2024, 1, 1) + datetime.timedelta(days=a + 30)) for a in (0, 10, 20)]
+WINDOWS = [(datetime.datetime(2024, 1, 1) + datetime.timedelta(days=a), datetime.datetime(2024, 1, 1) + datetime.timedelta(days=a + 15), datetime.datetime(2024, 1, 1) + datetime.timedelta(days=a + 20)) for a in (0, 4, 8)]
 
 
 def walk_forward_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strategies fitted on 20 days and proven on the next 10, with a judgement of each test."""
+    """Strategies fitted on 15 days and proven on the next 5, with a judgement of each test."""
     base = {"direction": "long", "sl_basis": "fixed_pips", "pip_size": 1.0, "first_bar": 1}
     grid = {f"{a}/{b}": Strategy.of({**base, "rr": a, "sl_fixed_pips": b}) for a in (1.0, 1.5, 2.0) for b in (40.0, 80.0)}
     return R.judged(walk_forward(signalled(spark, sf_dir), grid, WINDOWS))
@@ -263,12 +372,12 @@ def _sensitivity_sql() -> str:
     trades = " union all ".join(f"select '{k}' as param, {v[k]!r} as value, exact as profit from ({_single_sql(Strategy.of(v))}) x" for k, v in search.one_at_a_time(SENSITIVE, SENSITIVE_SPACE))
     gain, loss = "sum(case when profit > 0 then profit else 0e0 end)", "sum(case when profit < 0 then -profit else 0e0 end)"
     factors = f"select param, value, round({A.factor(gain, loss)} + 1e-9, 6) as pf from ({trades}) t group by param, value"
-    return f"select param, min(pf) as pf_min, max(pf) as pf_max, round(coalesce(min(pf) / nullif(max(pf), 0), 0e0) * 100, 6) as flatness from ({factors}) f group by param"
+    return f"select param, count(*) as variants_tested, min(pf) as pf_min, max(pf) as pf_max, round(coalesce(min(pf) / nullif(max(pf), 0), 0e0) * 100 + 1e-9, 6) as flatness from ({factors}) f group by param"
 
 
 #: Rankings in standard SQL, from the statements of the result rows.
-_RESULTS_SQL = f"""res as (select s.*, k.max_consecutive_wins, k.max_consecutive_losses, y.score as year_stability, m.score as month_stability, round(y.score * 0.6e0 + m.score * 0.4e0 + 1e-9, 6) as overall_stability, 0e0 as walk_forward_score
-from ({A.SUMMARY}) s join ({A.STREAKS}) k on k.series = s.series join ({A.STABILITY.format(unit="week", trades="{trades}")}) y on y.series = s.series join ({A.STABILITY.format(unit="day", trades="{trades}")}) m on m.series = s.series)""".format(trades="trades")
+_RESULTS_SQL = f"""{_WALK_SQL}, fw as ({_SERIES_SCORES}), res as (select s.*, k.max_consecutive_wins, k.max_consecutive_losses, y.years_score as year_stability, y.months_score as month_stability, y.overall_score as overall_stability, fw.wf_score as walk_forward_score, profitable_years as winning_years, losing_years, years_average as avg_yearly_profit, years_worst as min_yearly_profit, profitable_months as winning_months, losing_months, months_average as avg_monthly_profit, months_worst as min_monthly_profit
+from ({A.SUMMARY.format(trades="trades")}) s join ({A.STREAKS.format(trades="trades")}) k on k.series = s.series join ({A.stability_report("week", "day").format(trades="trades")}) y on y.series = s.series join fw on fw.series = s.series)"""
 
 
 def _ranking_sql() -> str:
@@ -301,6 +410,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["analysis_composite"] = lambda spark, sf_dir: R.composite(trade_list(spark, sf_dir))
     out["analysis_composite_monte_carlo"] = composite_monte_carlo
     out["analysis_exclusions"] = reranked
+    out |= {"analysis_reranking_weights": reranked_by_all, "analysis_confidence": confidence, "analysis_sensitivity_series": sensitivity_by_series}
+    out |= {"analysis_walk_forward": walk_forward_tests, "walk_forward_summary": walk_forward_summary, "walk_forward_scores": walk_forward_scores}
+    out["analysis_walk_forward_rating"] = lambda spark, sf_dir: R.overall(R.judged(proven(trade_list(spark, sf_dir), WALK, top=3), MOST_DD))
     out["walk_forward_fit"] = walk_forward_fit
     out["walk_forward_rating"] = lambda spark, sf_dir: R.overall(walk_forward_fit(spark, sf_dir))
     out["search_grid"] = lambda spark, sf_dir: search.grid_table(spark, SPACE)
@@ -325,7 +437,13 @@ def oracle_sql() -> dict[str, str]:
     out |= {"analysis_ranking": _ranking_sql(), "analysis_ten_rankings": _ten_sql(), "analysis_composite": f"{_trades_sql()} {_COMPOSITE_SQL}"}
     merged = _MERGED.replace("{concat}", "concat(series, '/', trade_number)").format(trades="trades")
     out["analysis_composite_monte_carlo"] = f"{_trades_sql()}, merged as ({merged}) {_statements('duckdb')['analysis_monte_carlo'].format(trades='merged')}"
-    out["analysis_exclusions"] = f"{_trades_sql()}, {_RESULTS_SQL}, q as (select series, round(profit_factor * 10 + win_rate * 0.5 + recovery_factor * 5 - max_dd * 0.01 + 1e-9, 6) as score from res where not (trades < 20 or max_consecutive_losses > 12 or win_rate < 30)) select series, score, row_number() over (order by score desc, series) as rank from q"
+    out["analysis_exclusions"] = f"{_trades_sql()}, {_RESULTS_SQL}, q as (select series, round(profit_factor * 10 + win_rate * 0.5 + max_consecutive_wins * 5 - max_dd * 0.01 + 1e-9, 6) as score from res where not (trades < 20 or max_consecutive_losses > 12 or win_rate < 30)) select series, score, row_number() over (order by score desc, series) as rank from q"
+    out["analysis_reranking_weights"] = f"{_trades_sql()}, {_RESULTS_SQL}, q as (select series, round({_EIGHTEEN} + 1e-9, 6) as new_score from res where trades >= 20 and net_profit >= -100000 and profit_factor >= 0.5 and year_stability >= 1 and month_stability >= 1 and max_dd <= 100000 and win_rate >= 10 and expected_value >= -100 and max_consecutive_losses <= 40) select series, new_score, row_number() over (order by new_score desc, series) as rank from q"
+    out |= {"analysis_confidence": _confidence_sql(), "analysis_sensitivity_series": _series_sensitivity_sql()}
+    out["analysis_walk_forward"] = f"{_trades_sql()}, {_WALK_SQL} {_TESTS_SQL}"
+    out["walk_forward_summary"] = f"{_trades_sql()}, {_WALK_SQL} " + _wf_score_sql(f"select count(*) as total_windows, {_WF_SUMS} from wp where rank = 1")
+    out["walk_forward_scores"] = f"{_trades_sql()}, {_WALK_SQL} {_SERIES_SCORES}"
+    out["analysis_walk_forward_rating"] = f"{_trades_sql()}, {_WALK_SQL} {_OVERALL_SQL}"
     rows = {k: ", ".join(f"({i}, '{v}')" for i, v in enumerate(vs)) for k, vs in SPACE.items()}
     tables = " cross join ".join(f"(values {r}) as d_{k}(i_{k}, {k})" for k, r in rows.items())
     out["search_grid"] = f"select cast(i_rr * 6 + i_breakout_bars * 2 + i_ema_length as bigint) as param_id, rr, breakout_bars, ema_length from {tables}"
