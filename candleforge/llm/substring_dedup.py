@@ -29,7 +29,7 @@ WIDTH, RUN = 35, 6
 #: Super-k-mers of a bucket that are sorted in one place; larger buckets are dealt to several.
 HOT = 512
 #: Packed bytes that are sorted together.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 _U = np.uint64
 _FIRST, _SECOND = _U(0x9FB21C651E98DF25), _U(0xC2B2AE3D27D4EB4F)
@@ -263,11 +263,11 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, width: int = WIDTH, run: i
     parts = F.ceil(F.col("rows") / hot).cast("int").alias("parts")
     met = places.groupBy("minimiser").agg(F.sum("weight").alias("n"), F.count("*").alias("rows")).where("n > 1").select("minimiser", parts)
     asked = places.join(met, "minimiser").groupBy("a", "b").agg(F.collect_set(F.struct("start", "parts")).alias("asked"))
-    every = scratch.table(keyed.join(asked, ["a", "b"], "left"), "zstd")
+    every = scratch.table(keyed.join(asked, ["a", "b"], "left"))
     some = every.where("asked is not null")
     strings = some.select("a", "b", "text", "asked").mapInArrow(_packed(width, run), _PACKED)
     sorted_ = strings.repartition("minimiser", "part").sortWithinPartitions("minimiser", "part").mapInArrow(_buckets(width), _MARKS)
-    found = scratch.table(sorted_, "zstd")
+    found = scratch.table(sorted_)
     windows = found.where("mask is null")
     elsewhere = windows.groupBy("w1", "w2").agg(F.count("*").alias("places")).where("places > 1").select("w1", "w2")
     lone = windows.where("lone").join(elsewhere, ["w1", "w2"]).select("a", "b", "start", F.lit(1).cast("long").alias("mask"))
