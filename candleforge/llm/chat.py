@@ -55,8 +55,8 @@ def parts(text: str) -> set[str]:
     return {text, *re.split(r"\n\s*\n", text), *text.split("\n")}
 
 
-def parse_message(text: str | None) -> tuple[str, list[dict], list[int]]:
-    """``(own text, quoted passages, hashes of own passages)`` of a message.
+def parse_message(text: str | None) -> tuple[str, list[dict], list[int], int]:
+    """``(own text, quoted passages, hashes of own passages, number of quoted passages)`` of a message.
 
     A passage of several lines is also looked for by its paragraphs and lines, which weigh less.
     """
@@ -71,17 +71,17 @@ def parse_message(text: str | None) -> tuple[str, list[dict], list[int]]:
                 h = passage_hash(p)
                 if h is not None:
                     quotes[n, h] = max(quotes.get((n, h), 0), len(p))
-    return re.sub(r"\n{3,}", "\n\n", body), [{"level": n, "hash": h, "size": s} for (n, h), s in sorted(quotes.items())], sorted(mine)
+    return re.sub(r"\n{3,}", "\n\n", body), [{"level": n, "hash": h, "size": s} for (n, h), s in sorted(quotes.items())], sorted(mine), sum(n > 0 for n, _ in pieces)
 
 
-_PARSED = "conv_id long, turn long, role string, text string, quotes array<struct<level:int,hash:long,size:int>>, own array<long>"
+_PARSED = "conv_id long, turn long, role string, text string, quotes array<struct<level:int,hash:long,size:int>>, own array<long>, n_quotes int"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("size", pa.int32())]))
     for batch in batches:
         found = [parse_message(t) for t in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], kind), pa.array([f[2] for f in found], pa.list_(pa.int64()))], names=["conv_id", "turn", "role", "text", "quotes", "own"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], kind), pa.array([f[2] for f in found], pa.list_(pa.int64())), pa.array([f[3] for f in found], pa.int32())], names=["conv_id", "turn", "role", "text", "quotes", "own", "n_quotes"])
 
 
 #: Turns of a conversation that are ordered together; longer runs of one passage or of replies to one message are ordered by such pieces.
@@ -141,7 +141,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     """A row a message: ``conv_id, turn, role, text, reply_to, thread_turn, place, depth, n_quotes, n_linked, links, formatted``.
 
     ``text`` is without quotes, ``reply_to`` the turn replied to (null if nothing quoted is
-    found). ``n_quotes`` counts the quoted passages of all levels, ``links`` names the turns they are
+    found). ``n_quotes`` counts the quoted passages (runs of lines of one level over 0), ``links`` names the turns they are
     from, each once a level (``level, source``, sorted), and ``n_linked`` counts these turns, each
     once. ``thread_turn`` is the first turn of its thread, ``depth`` the replies between and ``place`` the
     place in the thread's reply order, in which each message is followed by the replies to it. The
@@ -175,7 +175,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         out = parsed.join(links, ["conv_id", "turn"], "left").join(jumps, ["conv_id", "turn"], "left").withColumn("thread_turn", F.coalesce("root", "turn"))
         out = out.join(behind, ["conv_id", "turn"], "left").join(behind.select("conv_id", F.col("turn").alias("thread_turn"), F.col("n").alias("whole")), ["conv_id", "thread_turn"], "left")
         out = out.select(
-            "conv_id", "turn", "role", "text", "reply_to", "thread_turn", F.coalesce(F.col("whole") - F.col("n"), F.lit(0)).alias("place"), F.coalesce("depth", F.lit(0)).alias("depth"), F.size("quotes").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+            "conv_id", "turn", "role", "text", "reply_to", "thread_turn", F.coalesce(F.col("whole") - F.col("n"), F.lit(0)).alias("place"), F.coalesce("depth", F.lit(0)).alias("depth"), "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
             F.coalesce("links", F.array().cast("array<struct<level:int,source:bigint>>")).alias("links"),
             F.concat(F.lit("<|"), _unmarked(F.coalesce("role", F.lit("user"))), F.lit("|>\n"), _unmarked(F.col("text")), F.lit("\n")).alias("formatted"),
         )

@@ -55,3 +55,8 @@ def test_odd_conversations(spark):
     assert all(r.place == (1 if r.reply_to == 0 else 0) for r in out)
     assert {r.formatted for r in out if r.turn in (0, 2)} == {"<|user|>\nsay <\\|system|>\n", "<|a<\\|b|>\n\n"}
     assert chat.link_quotes(given.limit(0)).count() == 0
+
+
+def test_a_quote_of_several_lines_is_one_passage():
+    """Lines and paragraphs of a passage are looked for, but don't count."""
+    assert [chat.parse_message(t)[3] for t in ("> one\n> two\n> three\nmine", "> one\n>> two\n> three", "a\n> b\nc\n> b\n", "none", None)] == [1, 3, 2, 0, 0]
