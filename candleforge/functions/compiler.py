@@ -93,9 +93,14 @@ class Plan:
 
     def sql(self, source: str, outputs: dict[str, str], keys: str = "symbol, datetime", stages: int | None = None, where: str = "true") -> str:
         """A query over ``source``, which has symbol, timeframe, bar_index, datetime and the prices."""
+        wanted = set(_TEMP.findall(" ".join(outputs.values())))
+        for stage in reversed(self.stages[:stages]):
+            wanted.update(t for n, x in stage.items() if n in wanted for t in _TEMP.findall(x))
         inner = f"select * from {source}"
         for stage in self.stages[:stages]:
-            inner = f"select *, {', '.join(f'{x} as {n}' for n, x in stage.items())} from ({inner}) s"
+            columns = [f"{x} as {n}" for n, x in stage.items() if n in wanted]
+            if columns:
+                inner = f"select *, {', '.join(columns)} from ({inner}) s"
         return f"select {keys}, {', '.join(f'{x} as {n}' for n, x in outputs.items())} from ({inner}) s where {where}"
 
     # windows

@@ -42,20 +42,17 @@ def _cuts(bars: DataFrame, plan: SlicedPlan, slices: int) -> DataFrame:
     at = "transform(sequence(0, {0} - 1), i -> array_max(filter(days, d -> d <= n * i div {0})))"
     starts = days.withColumn("starts", F.array_distinct(F.expr(at.format(int(slices)))))
     rows = starts.select(*KEYS, "days", "n", "starts", F.posexplode("starts").alias("slice", "start")).withColumn("end", F.coalesce(F.expr("get(starts, slice + 1)"), F.col("n")))
-    edge = F.col("start")
-    edges = []
+    edge = "start"
     for stage in reversed(range(len(plan.stages))):
         back, whole = plan.bars_back[stage], plan.days_back[stage]
+        at = edge
         if back or whole >= 0:
-            # the beginning of the day of the first bar needed, and whole days before it
-            rows = rows.withColumn("at", edge - back).withColumn("at", F.expr(f"get(days, greatest(size(filter(days, d -> d <= at)) - 1 - {max(whole, 0)}, 0))"))
-        else:
-            rows = rows.withColumn("at", edge)
-        rows = rows.withColumnRenamed("at", f"edge{stage}")
-        edge = F.col(f"edge{stage}")
-        edges.append(f"edge{stage}")
-    rows = rows.withColumn("from", edge)
-    used = [e for e in edges if int(e[4:]) in plan.states]
+            # the beginning of the day of the first bar needed, and whole days before it; the inner array keeps the bar from being worked out anew for each day
+            at = f"transform(array({edge} - {back}), a -> get(days, greatest(size(filter(days, d -> d <= a)) - 1 - {max(whole, 0)}, 0)))[0]"
+        edge = f"edge{stage}"
+        rows = rows.withColumn(edge, F.expr(at))
+    rows = rows.withColumn("from", F.col(edge))
+    used = [f"edge{stage}" for stage in sorted(plan.states)]
     return rows.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("slice", "start", "end", "from", *used))).alias("cuts"))
 
 
