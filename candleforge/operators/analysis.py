@@ -65,9 +65,8 @@ OUT_OF_SAMPLE = f"""select series, part, {{n}} as trades, round(net_profit + 1e-
 select series, case when k <= floor(n * {{share}}) then 'in' else 'out' end as part, {_COUNTS} from (select *, row_number() over (partition by series order by exit_time, trade_number) as k, count(*) over (partition by series) as n from {{trades}}) o group by series, case when k <= floor(n * {{share}}) then 'in' else 'out' end) x""".replace("{n}", "trades")
 
 
-#: Series that pass the thresholds, the best first by a linear score.
-RERANKING = f"""select series, round(score + 1e-9, 6) as score, row_number() over (order by round(score + 1e-9, 6) desc, series) as rank from (
-select series, profit_factor * 10 + win_rate * 0.5e0 + recovery_factor * 5 - max_dd * 0.01e0 as score from ({SUMMARY}) s where trades >= {{least}} and win_rate between 1 and 99 and profit_factor < {NO_LOSS}) x"""
+#: A linear score of the series that pass the thresholds.
+RERANKING = f"""select series, round(profit_factor * 10 + win_rate * 0.5e0 + recovery_factor * 5 - max_dd * 0.01e0 + 1e-9, 6) as score from ({SUMMARY}) s where trades >= {{least}} and win_rate between 1 and 99 and profit_factor < {NO_LOSS}"""
 
 #: The mean of grades A to D (100, 75, 50, 25) of ``{{grades}}(series, component, grade)`` and its own grade.
 CONFIDENCE = """select series, components, round(score + 1e-9, 6) as score, case when score >= 87.5 then 'A' when score >= 62.5 then 'B' when score >= 37.5 then 'C' else 'D' end as grade from (

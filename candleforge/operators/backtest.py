@@ -379,8 +379,8 @@ def first_touch(low: np.ndarray, high: np.ndarray, begin: np.ndarray, stop: np.n
     return np.where(height == 0, at, -1)
 
 
-def concurrent(bars: DataFrame, rr: float, first: int) -> DataFrame:
-    """Trades of a position for each ``long_signal`` from bar ``first`` on, with their times, held until its stop or target, however long; open ones have no row."""
+def concurrent(bars: DataFrame, rr: float, first: int, open_too: bool = False) -> DataFrame:
+    """Trades of a position for each ``long_signal`` from bar ``first`` on, with their times, held until its stop or target, however long; open ones have no row, or with ``open_too`` one without exit."""
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("bar_index", ignore_index=True)
@@ -389,16 +389,16 @@ def concurrent(bars: DataFrame, rr: float, first: int) -> DataFrame:
         entry, stop = price[i + 1], low[i]
         target = entry + rr * (entry - stop)
         out = first_touch(low, high, i + 1, stop, target)
-        done = out >= 0
+        done = (out >= 0) | open_too
         i, out, entry, stop, target = i[done], out[done], entry[done], stop[done], target[done]
-        time = x["datetime"].to_numpy()
-        return pd.DataFrame({"symbol": x["symbol"].iloc[0], "entry_time": time[i + 1], "exit_time": time[out], "signal_bar_index": bar[i], "entry_bar_index": bar[i + 1], "exit_bar_index": bar[out], "entry_price": entry, "sl": stop, "tp": target, "low": low[out], "high": high[out]})
+        time, shut = x["datetime"].to_numpy(), out >= 0
+        return pd.DataFrame({"symbol": x["symbol"].iloc[0], "entry_time": time[i + 1], "exit_time": pd.Series(time[out]).where(shut), "signal_bar_index": bar[i], "entry_bar_index": bar[i + 1], "exit_bar_index": pd.Series(bar[out]).astype("Int64").where(shut), "entry_price": entry, "sl": stop, "tp": target, "low": low[out], "high": high[out]})
 
     given = bars.select("symbol", F.col("bar_index").cast("long").alias("bar_index"), F.col("datetime").cast("timestamp_ntz").alias("datetime"), *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low")], "long_signal")
     x = given.groupBy("symbol").applyInPandas(run, "symbol string, entry_time timestamp_ntz, exit_time timestamp_ntz, signal_bar_index long, entry_bar_index long, exit_bar_index long, entry_price double, sl double, tp double, low double, high double")
     return x.selectExpr(
         "symbol", "entry_time", "exit_time", "signal_bar_index", "entry_bar_index", "exit_bar_index", "round(entry_price, 5) as entry_price",
-        "case when low <= sl and high >= tp then 'SL_and_TP_SL_first' when low <= sl then 'SL' else 'TP' end as exit_reason",
+        "case when exit_bar_index is null then 'OPEN' when low <= sl and high >= tp then 'SL_and_TP_SL_first' when low <= sl then 'SL' else 'TP' end as exit_reason",
         "round(case when low <= sl then sl else tp end - entry_price + 1e-9, 5) as profit",
     )
 

@@ -14,8 +14,9 @@ from candleforge.operators import analysis as A
 from candleforge.operators import rankings as R
 from candleforge.operators import search
 from candleforge.operators.backtest import CONCURRENT_SQL, Strategy, concurrent, simulate, walk_forward
+from candleforge.operators.intervals import chosen
 from candleforge.operators.kernels import with_kernels
-from candleforge.operators.ordering import kept
+from candleforge.operators.ordering import kept, ranked
 from candleforge.operators.walk_forward import Windows, proven, scores, summary
 from candleforge.plans import signals
 from candleforge.plans.conditions import Compiler, evaluate, parse
@@ -162,7 +163,6 @@ def _statements(dialect: str) -> dict[str, str]:
         "analysis_ratios": A.RATIOS.format(per_year=52, unit="week", days=_DAYS[dialect], trades=t),
         "analysis_stability": A.STABILITY.format(unit="week", trades=t),
         "analysis_monte_carlo": monte_carlo,
-        "analysis_reranking": A.RERANKING.format(least=5, trades=t),
         "analysis_stability_report": A.stability_report("week", "day"),
         "analysis_older_metrics": A.OLDER_METRICS,
         "analysis_calmar": A.CALMAR.format(per_year=52, unit="week", days=_DAYS[dialect], trades=t),
@@ -358,6 +358,13 @@ select symbol, cast(n as bigint) as trade_number, '{direction}' as direction, g
   round(round(greatest(0, {side} * (entry - worst)), 5) + 1e-9, 4) as mae, round(round(greatest(0, {side} * (best - entry)), 5) + 1e-9, 4) as mfe, round({side} * (case when stopped then sl else tp end - entry) - {cost}, 5) as exact from z"""
 
 
+def without_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trades of ``backtest_long_rr`` chosen from all candidates by their intervals, without a pass from bar to bar."""
+    every = concurrent(signalled(spark, sf_dir), rr=1.5, first=250, open_too=True)
+    x = chosen(every.select(F.col("symbol").alias("series"), F.col("signal_bar_index").alias("begin"), F.col("exit_bar_index").alias("end"), "entry_bar_index", "entry_price", "exit_reason", "profit"))
+    return x.where("end is not null").select(F.col("series").alias("symbol"), F.col("number").alias("trade_number"), F.col("begin").alias("signal_bar_index"), "entry_bar_index", "entry_price", F.col("end").alias("exit_bar_index"), "exit_reason", F.round(F.col("profit") + 1e-9, 4).alias("profit"))
+
+
 def _single_sql(s: Strategy) -> str:
     c = Compiler(DUCKDB, pip=1.0)
     inner = c.plan.sql("bars", {k: c.tree(parse(v)) for k, v in SIGNALS.items()}, keys="symbol, bar_index, datetime, open, high, low")
@@ -402,9 +409,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out |= {"legacy_signals": legacy_signals, "legacy_signals_kernels": lambda spark, sf_dir: legacy_signals(spark, sf_dir, True), "legacy_candidate": legacy_candidate}
     out |= {"backtest_strategies": backtest_strategies, "backtest_concurrent": concurrent_trades}
     out |= {n: _analysis(n) for n in _statements("spark")}
+    out["analysis_reranking"] = lambda spark, sf_dir: ranked(A.run(A.RERANKING.format(least=5, trades="{trades}"), trade_list(spark, sf_dir)), F.col("score").desc(), F.col("series")).select("series", "score", F.col("rank").cast("long").alias("rank"))
     out["analysis_sensitivity"] = sensitivity
     out["analysis_sensitivity_rating"] = lambda spark, sf_dir: R.sensitivity_rating(sensitivity(spark, sf_dir))
     out |= {n: single(n) for n in SINGLE}
+    out["trades_without_overlap"] = without_overlap
     out["analysis_ranking"] = lambda spark, sf_dir: R.weighted(results(spark, sf_dir), THRESHOLDS).select("series", "rank_score", F.col("rank").cast("long").alias("rank"))
     out["analysis_ten_rankings"] = lambda spark, sf_dir: R.ten_rankings(results(spark, sf_dir))
     out["analysis_composite"] = lambda spark, sf_dir: R.composite(trade_list(spark, sf_dir))
@@ -429,6 +438,8 @@ def oracle_sql() -> dict[str, str]:
     out["backtest_concurrent"] = _concurrent_sql()
     out |= {n: _analysis_sql(n) for n in _statements("duckdb")}
     out |= {n: f"select * exclude (exact) from ({_single_sql(s)}) x" for n, s in SINGLE.items()}
+    out["analysis_reranking"] = f"{_trades_sql()} select series, score, row_number() over (order by score desc, series) as rank from ({A.RERANKING.format(least=5, trades='trades')}) r"
+    out["trades_without_overlap"] = f"select symbol, trade_number, signal_bar_index, entry_bar_index, entry_price, exit_bar_index, exit_reason, profit from ({_single_sql(SINGLE['backtest_long_rr'])}) x"
     out["analysis_sensitivity"] = _sensitivity_sql()
     out["analysis_sensitivity_rating"] = f"select score, case when score >= 80 then 'A' when score >= 65 then 'B' when score >= 50 then 'C' else 'D' end as rating from (select round(avg(flatness) + 1e-9, 2) as score from ({_sensitivity_sql()}) s) r"
     kernels = Plan(DUCKDB)

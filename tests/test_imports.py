@@ -1,6 +1,7 @@
 """Broker files: clocks that change, many files at once, the latest bars, and faults of series."""
 
 import datetime
+import time
 
 import pytest
 
@@ -40,3 +41,27 @@ def test_faults(spark):
     bars = spark.createDataFrame(rows, "symbol string, timeframe string, datetime timestamp_ntz, open double, high double, low double, close double, volume double")
     got = sorted((r.fault, r.datetime.hour, r.minutes) for r in B.faults(bars).collect())
     assert got == [("gap", 9, 480), ("missing", 9, 480), ("prices", 1, 60), ("repeated", 0, 0)]
+
+
+def test_a_folder_of_exports(spark, tmp_path):
+    """One scan; lines that aren't bars are listed with their cause, files that are stored are left out, and one that changed comes again."""
+    folder = tmp_path / "in" / "x_Data"
+    folder.mkdir(parents=True)
+    write(folder / "x_1h_Bid_a.csv", ["2024.01.10 12:00:00", "2024.10.27 03:30:00", "never", "2024.01.10 13:00:00"], 10)
+    write(folder / "x_1h_Bid_b.csv", ["2024.01.10 13:00:00", "2024.01.10 14:00:00"], 20)
+    (folder / "y_5m.csv").write_text("Time,Open,High,Low,Close\n2024.01.10 12:00:00,1,2,0.5,1.5\n2024.01.10 12:05:00,1,2\n2024.01.10 12:10:00,1,x,0.5,1.5\n2024.01.10 12:15:00,1,2,0.5,1.5,7,8\n")
+    (folder / "notes.csv").write_text("a,b\n1,2\n")
+    first = files.import_exports(spark, str(tmp_path / "in"), "EET")
+    bars = sorted((r.symbol, r.timeframe, r.datetime.hour, r.close, r.volume) for r in first.bars.collect())
+    assert bars == [("x", "1h", 19, 10.0, 5.0), ("x", "1h", 20, 10.0, 5.0), ("x", "1h", 21, 20.0, 5.0), ("y", "5m", 19, 1.5, 0.0)]
+    failures = sorted((r.file.rsplit("/", 1)[1], r.cause) for r in first.failures.collect())
+    assert failures == [("notes.csv", "name"), ("x_1h_Bid_a.csv", "clock"), ("x_1h_Bid_a.csv", "time"), ("y_5m.csv", "columns"), ("y_5m.csv", "columns"), ("y_5m.csv", "price")]
+    assert sorted((r.file.rsplit("/", 1)[1], r.n_bars, r.n_failures) for r in first.files.collect()) == [("notes.csv", 0, 1), ("x_1h_Bid_a.csv", 2, 2), ("x_1h_Bid_b.csv", 2, 0), ("y_5m.csv", 1, 3)]
+    first.files.write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert files.import_exports(spark, str(tmp_path / "in"), "EET", log).bars.count() == 0
+    time.sleep(1.1)
+    write(folder / "x_1h_Bid_b.csv", ["2024.01.10 15:00:00"], 30)
+    again = files.import_exports(spark, str(tmp_path / "in"), "EET", log)
+    assert [(r.symbol, r.datetime.hour, r.close) for r in again.bars.collect()] == [("x", 22, 30.0)]
+    assert B.merged(first.bars, again.bars.select(*first.bars.columns)).count() >= 1
