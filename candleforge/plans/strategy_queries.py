@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candleforge.functions.compiler import DUCKDB, SPARK, Plan
+from candleforge.functions.indicators import build
 from candleforge.operators import analysis as A
 from candleforge.operators import rankings as R
 from candleforge.operators import search
 from candleforge.operators.backtest import CONCURRENT_SQL, Strategy, concurrent, simulate, walk_forward
+from candleforge.operators.comparison import compared, equity_by_share, halves
 from candleforge.operators.intervals import chosen
 from candleforge.operators.kernels import with_kernels
 from candleforge.operators.ordering import kept, ranked
 from candleforge.operators.walk_forward import Windows, proven, scores, summary
 from candleforge.plans import signals
+from candleforge.plans.combined import Combined, combined
 from candleforge.plans.conditions import Compiler, evaluate, parse
 from candleforge.plans.market_queries import HOURLY_SQL, KERNEL_SQL, hourly
 
@@ -358,6 +361,57 @@ select symbol, cast(n as bigint) as trade_number, '{direction}' as direction, g
   round(round(greatest(0, {side} * (entry - worst)), 5) + 1e-9, 4) as mae, round(round(greatest(0, {side} * (best - entry)), 5) + 1e-9, 4) as mfe, round({side} * (case when stopped then sl else tp end - entry) - {cost}, 5) as exact from z"""
 
 
+#: A signal of all six kinds of the oldest conditions.
+COMBINED, LEVELS = Combined(use_ema=True, ema_above=True, use_rsi=True, rsi_above=True, use_atr=True, atr_above=True, use_adx=True, adx_above=True, use_session=True, session_start=20, session_end=15, use_weekday=True, days=("monday", "tuesday", "wednesday", "thursday")), {"rsi": 45.0, "atr": 50.0, "adx": 5.0}
+
+
+def legacy_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = Plan(SPARK)
+    return spark.sql(plan.sql("{bars}", {"signal": combined(plan, COMBINED, {"ema": 20}, **LEVELS)}), bars=hourly(spark, sf_dir))
+
+
+def _combined_sql() -> str:
+    plan = Plan(DUCKDB)
+    x = {n: build(plan, n, length=20 if n == "ema" else 14) for n in ("ema", "rsi", "atr", "adx")}
+    inner = plan.sql("bars", {f"{k}_": v for k, v in x.items()}, keys="symbol, datetime, close")
+    return f"with {HOURLY_SQL} select symbol, datetime, coalesce(close > ema_ and rsi_ > 45 and atr_ > 50 and adx_ > 5, false) and (hour(datetime) >= 20 or hour(datetime) < 15) and isodow(datetime) <= 4 as signal from ({inner}) x"
+
+
+def signals_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a tree and the oldest conditions agree, by series."""
+    ours = _tree("tree_long")(spark, sf_dir)
+    return compared(ours, legacy_combined(spark, sf_dir)).groupBy("symbol", "verdict").agg(F.count("*").alias("n"))
+
+
+def _compared_sql() -> str:
+    return f"select symbol, case when a.signal and b.signal then 'both' when a.signal then 'ours_only' when b.signal then 'theirs_only' else 'neither' end as verdict, count(*) as n from ({_tree_sql('tree_long')}) a join ({_combined_sql()}) b using (symbol, datetime) group by all"
+
+
+def equity_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = equity_by_share(trade_list(spark, sf_dir))
+    return x.select("series", "trade", *_rounded(x, "share", "equity"))
+
+
+SHARE = 0.7
+
+
+def split_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strategy on the first seven tenths of the bars and, knowing nothing of them, on the rest."""
+    x = evaluate(halves(hourly(spark, sf_dir), SHARE), {"long_signal": _entry(LENGTH)}, pip=1.0).select("symbol", "bar_index", "datetime", "open", "high", "low", "long_signal")
+    trades = concurrent(x, rr=RR, first=FIRST).select(F.col("symbol").alias("series"), F.col("signal_bar_index").alias("trade_number"), "entry_time", "exit_time", "profit")
+    return A.run(A.SUMMARY, kept(trades)).drop("gross_profit", "gross_loss")
+
+
+def _split_sql() -> str:
+    c = Compiler(DUCKDB, pip=1.0)
+    x = c.tree(parse(_entry(LENGTH)))
+    half = "half as (select b.symbol || case when bar_index < cut then '|in' else '|out' end as symbol, timeframe, datetime, open, high, low, close, volume, case when bar_index < cut then bar_index else bar_index - cut end as bar_index from bars b join (select symbol, cast(floor((max(bar_index) + 1) * 0.7e0) as bigint) as cut from bars group by symbol) n on n.symbol = b.symbol)"
+    inner = c.plan.sql("half", {"long_signal": x}, keys="symbol, bar_index, datetime, open, high, low")
+    body = CONCURRENT_SQL.format(rr=RR, first=FIRST, bars="sig").strip().removeprefix("with ")
+    trades = f"with {HOURLY_SQL}, {half}, sig as ({inner}), con as (with {body}), trades as (select c.symbol as series, signal_bar_index as trade_number, a.datetime as entry_time, z.datetime as exit_time, profit from con c join half a on a.symbol = c.symbol and a.bar_index = entry_bar_index join half z on z.symbol = c.symbol and z.bar_index = exit_bar_index)"
+    return f"{trades} select * exclude (gross_profit, gross_loss) from ({A.SUMMARY.format(trades='trades')}) s"
+
+
 def without_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trades of ``backtest_long_rr`` chosen from all candidates by their intervals, without a pass from bar to bar."""
     every = concurrent(signalled(spark, sf_dir), rr=1.5, first=250, open_too=True)
@@ -414,6 +468,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["analysis_sensitivity_rating"] = lambda spark, sf_dir: R.sensitivity_rating(sensitivity(spark, sf_dir))
     out |= {n: single(n) for n in SINGLE}
     out["trades_without_overlap"] = without_overlap
+    out |= {"legacy_combined": legacy_combined, "signals_compared": signals_compared, "equity_compared": equity_compared, "analysis_split_bars": split_bars}
     out["analysis_ranking"] = lambda spark, sf_dir: R.weighted(results(spark, sf_dir), THRESHOLDS).select("series", "rank_score", F.col("rank").cast("long").alias("rank"))
     out["analysis_ten_rankings"] = lambda spark, sf_dir: R.ten_rankings(results(spark, sf_dir))
     out["analysis_composite"] = lambda spark, sf_dir: R.composite(trade_list(spark, sf_dir))
@@ -439,6 +494,8 @@ def oracle_sql() -> dict[str, str]:
     out |= {n: _analysis_sql(n) for n in _statements("duckdb")}
     out |= {n: f"select * exclude (exact) from ({_single_sql(s)}) x" for n, s in SINGLE.items()}
     out["analysis_reranking"] = f"{_trades_sql()} select series, score, row_number() over (order by score desc, series) as rank from ({A.RERANKING.format(least=5, trades='trades')}) r"
+    out |= {"legacy_combined": _combined_sql(), "signals_compared": _compared_sql(), "analysis_split_bars": _split_sql()}
+    out["equity_compared"] = f"{_trades_sql()} select series, k as trade, round(case when n > 1 then 1e2 * (k - 1) / (n - 1) else 0e0 end + 1e-9, 6) as share, round(equity + 1e-9, 6) as equity from (select series, row_number() over w as k, count(*) over (partition by series) as n, sum(profit) over w as equity from trades window w as (partition by series order by exit_time, trade_number)) x"
     out["trades_without_overlap"] = f"select symbol, trade_number, signal_bar_index, entry_bar_index, entry_price, exit_bar_index, exit_reason, profit from ({_single_sql(SINGLE['backtest_long_rr'])}) x"
     out["analysis_sensitivity"] = _sensitivity_sql()
     out["analysis_sensitivity_rating"] = f"select score, case when score >= 80 then 'A' when score >= 65 then 'B' when score >= 50 then 'C' else 'D' end as rating from (select round(avg(flatness) + 1e-9, 2) as score from ({_sensitivity_sql()}) s) r"
