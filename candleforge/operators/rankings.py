@@ -175,7 +175,7 @@ def overall(rows: DataFrame) -> DataFrame:
     mean = lambda c, test: F.coalesce(F.avg(F.when(test, F.col(c))), F.lit(0.0))
     x = rows.agg(
         F.count("*").alias("tests"), F.count(F.when(valid, 1)).alias("valid_tests"), F.coalesce(100 * F.try_divide(F.count(F.when(F.col("judgement") == "PASS", 1)), F.count("*")), F.lit(0.0)).alias("pass_rate"),
-        mean("test_profit_factor", valid & (F.col("test_profit_factor") < A.NO_LOSS)).alias("avg_pf"), mean("test_win_rate", valid).alias("avg_win_rate"), F.coalesce(F.sum("test_net_profit"), F.lit(0.0)).alias("total_profit"), F.coalesce(F.max("test_max_dd"), F.lit(0.0)).alias("max_dd"), F.count(F.when(F.col("test_net_profit") < 0, 1)).alias("negative_tests"),
+        mean("test_profit_factor", valid & (F.col("test_profit_factor") < A.NO_LOSS)).alias("avg_pf"), (mean("test_win_rate", valid) if "test_win_rate" in rows.columns else F.lit(0.0)).alias("avg_win_rate"), F.coalesce(F.sum("test_net_profit"), F.lit(0.0)).alias("total_profit"), F.coalesce(F.max("test_max_dd"), F.lit(0.0)).alias("max_dd"), F.count(F.when(F.col("test_net_profit") < 0, 1)).alias("negative_tests"),
     )
     rating = A.walk_forward_grade("pass_rate", "avg_pf", "total_profit", "negative_tests").alias("rating")
     return x.select("tests", "valid_tests", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("pass_rate", "avg_pf", "avg_win_rate", "total_profit", "max_dd")], "negative_tests", rating)

@@ -120,6 +120,9 @@ def _entry(length: int) -> dict:
     return {"op": "AND", "children": [{"indicator": "close", "operator": ">", "value": "sma", "value_params": {"length": length}}, {"indicator": "bullish_candle", "operator": "==", "value": 1.0}]}
 
 
+_CONCURRENT = _entry(LENGTH)
+
+
 def _concurrent(spark: SparkSession, sf_dir: str, rr: float = RR, length: int = LENGTH) -> DataFrame:
     x = evaluate(hourly(spark, sf_dir), {"long_signal": _entry(length)}, pip=1.0).select("symbol", "bar_index", "datetime", "open", "high", "low", "long_signal")
     return concurrent(x, rr=rr, first=FIRST)
