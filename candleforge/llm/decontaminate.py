@@ -45,7 +45,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, num: int = NUM, den:
 
     Null or wordless texts and null ids are in no pair; an item of fewer words than a
     shingle is found only in documents that consist of it. Rows that repeat an id
-    count together. Other columns aren't read.
+    count together. Without documents or items there is no pair; texts of any length are shingled
+    whole. Other columns aren't read.
     """
     items = shingled(benchmark.select("item_id", "text").where("item_id is not null"), "item_id", width).distinct()
     ranked = items.groupBy("item_id").agg(F.array_sort(F.collect_list("h")).alias("hs"))

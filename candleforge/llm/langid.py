@@ -214,7 +214,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     Null text or text without letters: ``und``, score 0, rejected. Without a model
     (nothing to learn from) every row is ``und``. Repeated rows get equal results; ties
-    go to the language first in alphabetical order; other columns aren't read.
+    go to the language first in alphabetical order. A table without rows gives none, and texts of any length are
+    read whole; other columns aren't read.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = given.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, rejected boolean")

@@ -128,7 +128,7 @@ def token_counts(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit``, a row for each of ``docs``.
 
     Null and empty text: 0 bytes, 0 tokens. Null ids and repeated rows are kept as
-    they are; other columns aren't read.
+    they are, a table without rows gives none, and texts of any length are counted whole; other columns aren't read.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return given.mapInArrow(_count(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
