@@ -93,6 +93,58 @@ def second(x):
     for i in range(1, len(x)):
         ho.append((ho[-1] + ha[i - 1]) / 2)
     out["ha_bullish"], out["ha_bearish"] = ha > np.array(ho), ha < np.array(ho)
+    # levels of days
+    woodie, width = (high + low + 2 * last) / 4, high - low
+    out |= {"woodie_pivot": woodie, "woodie_r1": 2 * woodie - low, "woodie_s1": 2 * woodie - high, "woodie_r2": woodie + width, "woodie_s2": woodie - width}
+    out |= {"woodie_r3": high + 2 * (woodie - low), "woodie_s3": low - 2 * (high - woodie), "woodie_r4": high + 2 * (woodie - low) + width, "woodie_s4": low - 2 * (high - woodie) - width, "fib_pivot": pivot}
+    out |= {f"fib_pivot_{k}{i}": pivot + way * d * width for k, way in (("r", 1), ("s", -1)) for i, d in enumerate((0.382, 0.618, 1.0), 1)}
+    out["today_range_pct_of_adr"] = 100 * (sofar_high - sofar_low) / out["adr"]
+    out["today_new_high"], out["today_new_low"] = h > sofar_high.groupby(day).shift(), l < sofar_low.groupby(day).shift()
+    # distances
+    top20, low20 = h.rolling(20).max().shift(), l.rolling(20).min().shift()
+    levels = {"ema": ema(c, 200), "sma": c.rolling(200).mean(), "vwap": out["vwap"], "pivot": pivot, "prev_day_high": high, "prev_day_low": low, "donchian_upper": top20, "donchian_lower": low20, "bb_upper": mid + 2 * sd, "bb_lower": mid - 2 * sd}
+    out |= {f"dist_{p}_{k}": (y - z).abs() for p, y in (("close", c), ("high", h), ("low", l)) for k, z in levels.items()}
+    out["fib_level"] = top20 - 0.618 * (top20 - low20)
+    out["dist_to_fib"], out["dist_to_round_number"] = (c - out["fib_level"]).abs(), (c - c.round()).abs() / 0.01
+    out["dist_to_ema_atr_ratio"], out["dist_close_ema_pct"] = (c - ema(c, 200)).abs() / atr, 100 * (c - ema(c, 200)).abs() / c
+    # slopes
+    for k, y in {"ema": ema(c, 200), "vwap": out["vwap"], "rsi": rsi, "adx": out["adx"], "macd": out["macd_line"], "atr": atr, "obv": out["obv"], "mfi": out["mfi"]}.items():
+        for name, way in (("rising", 1), ("falling", -1)):
+            step = way * y.diff() > 1e-9
+            out[f"{k}_{name}"], out[f"{k}_consecutive_{name}"] = step, step.rolling(3).sum() == 3
+    slope = out["ema_slope"]
+    out["ema_slope_degrees"], out["ema_roc"], out["atr_roc"] = np.degrees(np.arctan(slope / (5 * atr))), 100 * slope / ema(c, 200).shift(5), 100 * atr.pct_change()
+    # statistics
+    out |= {"body_size_std": body.rolling(20).std(), "close_rolling_std": sd, "historical_volatility": np.log(c / before).rolling(20).std() * 252**0.5 * 100, "adx_rolling_mean": out["adx"].rolling(20).mean(), "macd_rolling_mean": out["macd_line"].rolling(20).mean()}
+    score = lambda y: (y - y.rolling(20).mean()) / y.rolling(20).std()
+    out |= {"zscore_close": score(c), "zscore_rsi": score(rsi), "zscore_atr": score(atr)}
+    rank = lambda y, n: y.rolling(n).apply(lambda w: 100 * ((w < w[-1]).sum() + ((w == w[-1]).sum() + 1) / 2) / n, raw=True)
+    out |= {"percentile_rank_rsi": rank(rsi, 100), "percentile_rank_atr": rank(atr, 200), "percentile_rank_body": rank(body, 50)}
+    out |= {"is_max_body_of_n": body == body.rolling(100).max(), "is_min_atr_of_n": atr == atr.rolling(50).min(), "is_max_rsi_of_n": rsi == rsi.rolling(200).max()}
+    squeezed = rank(4 * sd / mid, 100) <= 10
+    out["bb_squeeze"], out["bb_expansion"] = squeezed, squeezed.shift(fill_value=False) & (out["bb_width"].diff() > 0)
+    for k, y in (("rsi", rsi), ("macd", out["macd_line"])):
+        out[f"{k}_divergence_bearish"] = (c > top20) & (y < y.rolling(20).max().shift())
+        out[f"{k}_divergence_bullish"] = (c < low20) & (y > y.rolling(20).min().shift())
+    # cloud
+    lead_a, lead_b = out["ichimoku_senkou_a"], out["ichimoku_senkou_b"]
+    known = lead_a.notna() & lead_b.notna()
+    out["ichimoku_price_vs_cloud"] = ((c > np.maximum(lead_a, lead_b)) & known).astype(float) - ((c < np.minimum(lead_a, lead_b)) & known)
+    now_a, now_b = (out["ichimoku_tenkan"] + out["ichimoku_kijun"]) / 2, (h.rolling(52).max() + l.rolling(52).min()) / 2
+    for k, over in (("bullish", now_a > now_b), ("bearish", now_a < now_b)):
+        out[f"ichimoku_kumo_twist_{k}"] = over & ~over.shift(fill_value=False)
+    # single candles, by the shares of body and wicks in the range
+    b, u, w = body / span, upper / span, lower / span
+    usual = body.rolling(20).mean().shift()
+    for k, colour in (("bullish", c > o), ("bearish", c < o)):
+        out |= {f"large_{k}_candle": colour & (body > 1.5 * usual), f"small_{k}_candle": colour & (body < 0.5 * usual), f"marubozu_{k}": colour & (b >= 0.95), f"consecutive_{k}_candles": colour.rolling(3).sum() == 3}
+    out |= {"doji": b < 0.1, "long_upper_wick": u >= 0.6, "long_lower_wick": w >= 0.6, "no_upper_wick": u <= 0.05, "no_lower_wick": w <= 0.05, "pin_bar_bullish": (b <= 0.3) & (w >= 0.6), "pin_bar_bearish": (b <= 0.3) & (u >= 0.6)}
+    down, raised = (b <= 0.3) & (w >= 0.6) & (u <= 0.1), (b <= 0.3) & (u >= 0.6) & (w <= 0.1)
+    out |= {"hammer": down, "hanging_man": down, "inverted_hammer": raised, "shooting_star": raised, "spinning_top": (b <= 0.3) & (u >= 0.3) & (w >= 0.3)}
+    out |= {"long_legged_doji": (b < 0.1) & (u >= 0.35) & (w >= 0.35), "dragonfly_doji": (b < 0.1) & (w >= 0.6) & (u <= 0.1), "gravestone_doji": (b < 0.1) & (u >= 0.6) & (w <= 0.1)}
+    out |= {"body_larger_than_average": body > 1.5 * usual, "wick_ratio_at_least": u + w >= 0.5, "body_ratio_at_least": b >= 0.5, "belt_hold_bullish": (c > o) & (w <= 0.05) & (b >= 0.7), "belt_hold_bearish": (c < o) & (u <= 0.05) & (b >= 0.7)}
+    out |= {"consecutive_higher_highs": (h.diff() > 0).rolling(3).sum() == 3, "consecutive_lower_lows": (l.diff() < 0).rolling(3).sum() == 3}
+    out["ichimoku_chikou_signal"] = np.sign(c - c.shift(26)).fillna(0)
     return out
 
 
@@ -108,4 +160,4 @@ def test_second_definitions(spark):
         if len(at) or far > 1e-6:
             wrong[n] = (len(at), at[:3].tolist(), far)
     assert not wrong, "\n".join(f"WRONG {k} {v}" for k, v in wrong.items())
-    assert len(want) >= 100 and set(want) <= set(I.REGISTRY)
+    assert len(want) >= 230 and set(want) <= set(I.REGISTRY)
