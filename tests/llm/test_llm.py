@@ -304,6 +304,25 @@ def test_no_near_vectors_are_lost_in_few_dimensions(spark):
     assert {r.vec_id: r.n_links for r in embeddings.near_copies(vectors).collect()} == dict(enumerate(n.tolist()))
 
 
+def test_no_copies_of_near_vectors_are_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 64)).astype(np.float32)
+    x[1000:] = x[:500] + rng.normal(size=(500, 64)).astype(np.float32) * 0.2
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    n = ((unit @ unit.T) >= 0.9).sum(axis=1) - 1
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 50)
+    cut = embeddings.cut
+
+    def exploded(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode" not in plan  # no vector is dealt to more than one place
+        return cut(df)
+
+    monkeypatch.setattr(embeddings, "cut", exploded)
+    assert {r.vec_id: r.n_links for r in embeddings.near_copies(vectors).collect()} == dict(enumerate(n.tolist()))
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.op10_language_id(spark, "/root/testdata/sf0.01")
