@@ -15,6 +15,7 @@ so that one document is decoded without the rest of the block.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,14 +40,44 @@ _MARK = "\ue000"
 #: What Python's white space and the tokenizer's may not agree on, and beginnings of special strings.
 _WHOLE = ("<|", _MARK, "\x0b", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
-
-def _stops_apart(raw: bytes) -> bytes:
-    """A space before each full stop or comma that ends a word of ASCII letters: it is a piece of its own there."""
-    buf = np.frombuffer(raw, np.uint8)
-    at = np.flatnonzero((buf[1:-1] == 46) | (buf[1:-1] == 44)) + 1
-    before, after = buf[at - 1], buf[at + 1]
-    return np.insert(buf, at[(before >= 97) & (before <= 122) & ((after == 32) | (after == 10))], 32).tobytes()
+#: White space beyond ASCII, on which both agree.
+_WIDE = "\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Classes of bytes: white space, small letters, digits, what else is ASCII, an apostrophe, no ASCII.
+_SPACE, _LETTER, _DIGIT, _OTHER, _QUOTE, _HIGH = range(6)
+_CLASS = np.full(256, _HIGH, np.uint8)
+_CLASS[:128] = _OTHER
+_CLASS[97:123], _CLASS[48:58], _CLASS[39], _CLASS[[9, 10, 12, 13, 32]] = _LETTER, _DIGIT, _QUOTE, _SPACE
+#: Whether a word begins at a byte of the second class behind one of the first: behind white space, and where the
+#: tokenizer parts pieces whatever stands around: at the end of letters, at digits, before letters but not behind an apostrophe.
+_BEGINS = np.zeros((6, 6), bool)
+_BEGINS[_SPACE, 1:] = True
+_BEGINS[_LETTER, [_DIGIT, _OTHER, _QUOTE]] = True
+_BEGINS[_DIGIT, [_DIGIT, _LETTER, _OTHER, _QUOTE]] = True
+_BEGINS[[_OTHER, _QUOTE], _DIGIT] = True
+_BEGINS[_OTHER, _LETTER] = True
+_BEGINS = _BEGINS.ravel()
+
+
+def _words(text: str) -> pa.DictionaryArray:
+    """The words of ``text`` with A-Z lowered, parted where pieces of the tokenizer are parted for certain."""
+    for x in _WIDE:
+        if x in text:
+            text = text.replace(x, " ")
+    buf = np.frombuffer(text.encode().translate(_LOWER), np.uint8)
+    kind = _CLASS[buf]
+    begins = _BEGINS[np.concatenate(([_SPACE], kind[:-1])).astype(np.uint8) * np.uint8(6) + kind]
+    held = kind != _SPACE
+    bytes_held = buf[held]
+    at = np.append(np.flatnonzero(begins[held]), len(bytes_held)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(bytes_held)]).dictionary_encode()
+
+
+def _gathered(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices of ``values`` that begin and are as long as given, one behind another."""
+    ends = np.cumsum(size, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    return values[np.repeat((begin - (ends - size)).astype(kind), size) + np.arange(total, dtype=kind)]
 
 
 class WordEncoder:
@@ -105,20 +136,25 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        for lo, hi in text_groups(texts, 1 << 20):
+        for lo, hi in text_groups(texts, 1 << 22):
             whole = {i for i in range(lo, hi) if texts[i] and any(x in texts[i] for x in _WHOLE)}
             plain = ["" if i in whole else texts[i] or "" for i in range(lo, hi)]
-            flat = _stops_apart(f"\n{_MARK}\n".join([*plain, ""]).encode().translate(_LOWER)).decode().split()
-            new = set(flat).difference(self.index)
+            found = _words(f"\n{_MARK}\n".join([*plain, ""]))
+            flat = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+            known = list(map(self.index.get, flat))
+            new = [k for k, i in enumerate(known) if i is None]
             if len(self.index) + len(new) > CACHE:
                 self._clear()
-                new = set(flat) - {_MARK}
+                known = list(map(self.index.get, flat))
+                new = [k for k, i in enumerate(known) if i is None]
             if new:
-                self._learn(sorted(new))
-            at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-            size = self.size[at].astype(np.int64)
-            ends = np.cumsum(size)
-            ids = self.ids[np.repeat(self.begin[at] - (ends - size), size) + np.arange(int(ends[-1]))]
+                self._learn([flat[k] for k in new])
+                for k in new:
+                    known[k] = self.index[flat[k]]
+            at = np.array(known, np.int64)[found.indices.to_numpy()]
+            size = self.size[at]
+            ends = np.cumsum(size, dtype=np.int64)
+            ids = _gathered(self.ids, self.begin[at], size)
             edge = np.concatenate(([0], ends[at == 0]))
             for i in range(lo, hi):
                 out.append(np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32) if i in whole else ids[edge[i - lo] : edge[i - lo + 1]])
@@ -127,7 +163,8 @@ class WordEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(file: str) -> WordEncoder:
-    """The encoder of a worker process, whose cache later tasks find."""
+    """The encoder of a worker process, whose cache later tasks find; Spark's tasks use the cores, so the library's threads would only cost time."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordEncoder(file)
 
 
@@ -151,7 +188,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, first_rule: int) -> tuple[np.n
     length = np.ones(first_rule, np.int64)
     every = False  # whether all buckets are looked through, because the fullest held no frequent pair
     while len(seq) >= 2:
-        bucket = _bucket(seq[:-1], seq[1:])
+        bucket = _bucket(seq[:-1], seq[1:]).astype(np.intp)
         count = np.bincount(bucket, minlength=_BUCKETS)
         # a pair is no oftener than its bucket, so the best pairs are in the fullest buckets
         full = np.cumsum(np.bincount(np.minimum(count, 4095), minlength=4096)[::-1])[::-1]  # buckets that are as full, or fuller
@@ -193,9 +230,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, first_rule: int) -> tuple[np.n
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), np.concatenate(lengths) if lengths else np.zeros(0, np.int64), np.flatnonzero(head)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
-    """The ids of ``symbols``; each pass expands all nonterminals by one level."""
-    seq = symbols.astype(np.uint32)
+def _expand_passes(seq: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
+    """The ids of a few symbols; each pass expands all nonterminals by one level."""
     while len(seq) and len(rules):
         big = seq >= first_rule
         if not big.any():
@@ -209,6 +245,27 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarra
     return seq
 
 
+def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
+    """The ids of ``symbols``. For many, each nonterminal is expanded once, those of lower levels first."""
+    seq = symbols.astype(np.uint32)
+    if len(seq) < len(rules) or not len(rules):
+        return _expand_passes(seq, rules, first_rule)
+    level = np.zeros(first_rule + len(rules), np.int32)
+    while True:
+        new = 1 + level[rules].max(axis=1)
+        if (new == level[first_rule:]).all():
+            break
+        level[first_rule:] = new
+    flat, begin, size = np.arange(first_rule, dtype=np.uint32), np.arange(len(level)), np.ones(len(level), np.int64)
+    for k in range(1, int(level.max()) + 1):
+        of = np.flatnonzero(level == k)
+        both = rules[of - first_rule].astype(np.int64)
+        size[of] = size[both].sum(axis=1)
+        begin[of] = len(flat) + np.cumsum(size[of]) - size[of]
+        flat = np.concatenate((flat, _gathered(flat, begin[both.ravel()], size[both.ravel()])))
+    return np.concatenate([_gathered(flat, begin[x], size[x]) for x in np.split(seq, range(1 << 20, len(seq), 1 << 20))])
+
+
 _BLOCKS = "part int, block int, first_rule int, wide boolean, payload binary, rules binary, lengths binary, doc_id array<long>, doc_at array<long>, doc_tokens array<long>, n_tokens long"
 
 
@@ -235,7 +292,7 @@ def _encode(file: str, end: int, block_size: int):
         tail = np.array([end], np.uint32)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in text_groups(texts, 1 << 21):
+            for lo, hi in text_groups(texts, 1 << 22):
                 for d, x in zip(ids[lo:hi], words.encode(texts[lo:hi]), strict=True):
                     docs.append((d, np.concatenate((x, tail))))
                     total += len(x) + 1

@@ -159,6 +159,28 @@ def test_repair_leaves_no_frequent_pair(spark):
     assert max(count.values()) < 2 * repair.LEAST_COUNT
 
 
+def test_words_are_learned_once_whatever_stands_beside_them():
+    file = P.path("word_bpe_49k.json")
+    t, words = Tokenizer.from_file(file), repair.WordEncoder(file)
+    texts = [f"{a}zebra{b}" for a in ("", "(", "**", "7", "\u3000") for b in ("", ",", "!?", "***", "42", "'s", "...")]
+    rng = np.random.default_rng(3)
+    odd = [*"abzAZ019'.,*-_<>|\"!\t\n \r\x0c\x00", "'s", "'ll", "é", "e\u0301", "É", "İ", "日", "\u0301", "\u20e3", "½", "\xa0", "\u3000", "\u200b", "’", "ß", "\u0338", "\U0001f600"]
+    mixed = ["".join(odd[k] for k in rng.integers(0, len(odd), rng.integers(0, 40))) for _ in range(3000)]
+    for some in (texts, mixed):
+        got = words.encode(some)
+        assert [x.tolist() for x in got] == [e.ids for e in t.encode_batch(some, add_special_tokens=False)]
+        if some is texts:
+            assert sum("zebra" in w for w in words.index) == 1
+
+
+def test_expansion_by_levels_equals_passes():
+    ids = np.concatenate((np.tile(np.arange(7), 3000), np.zeros(5000, int), np.random.default_rng(2).integers(0, 9, 40_000))).astype(np.uint32)
+    seq, rules, _, _ = repair.compress(ids, np.array([0]), 1000)
+    assert len(seq) > len(rules) > 0
+    assert (repair.expand(seq, rules, 1000) == ids).all()
+    assert (np.concatenate([repair.expand(seq[k : k + 1], rules, 1000) for k in range(len(seq))]) == ids).all()
+
+
 def test_repair_of_odd_input(spark):
     file = P.path("word_bpe_49k.json")
     rows = [(None, "a b"), (None, None), (3, "x"), (3, "x"), (3, "y z"), (4, "w " * 200_000)]
